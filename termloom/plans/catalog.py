@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators import heavy_keys
+from ..functions import codecs, ids, ranking, text
+from ..operators import gcs, heavy_keys, index, language, search
 from ..runtime import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+_INDEXES: dict[tuple[str, str], index.Index] = {}
+
+TERMS = ["the", "and"]
 
 
 def query(name: str, sql: str | None = None):
@@ -22,6 +26,43 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def the_index(spark: SparkSession, sf_dir: str) -> index.Index:
+    """The index of documents, written once per session and folder, as a search engine keeps one."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _INDEXES:
+        _INDEXES[key] = index.Index.build(table(spark, sf_dir, "documents"))
+    return _INDEXES[key]
+
+
+def _documents(spark, sf_dir):
+    return table(spark, sf_dir, "documents")
+
+
+# --- SQL pieces ---
+_SPLIT = r"regexp_split_to_array(text, '[^\p{L}\p{N}_]+')"
+_HAN = (r"flatten(list_transform(regexp_extract_all(text, '\p{Han}+|(?:[\p{L}\p{N}_]--\p{Han})+'), lambda r: [r]))")
+_TOKENS = """CASE WHEN lang = 'zh' THEN
+ flatten(list_transform(regexp_extract_all(regexp_replace(text, '(\\p{Han}+)', ' \\1 ', 'g'), '[\\p{L}\\p{N}_]+'),
+   lambda r: CASE WHEN regexp_matches(r, '^\\p{Han}{2,}') THEN list_transform(range(1, len(r)), lambda i: substr(r, i, 2)) ELSE [r] END))
+ ELSE """ + _SPLIT + " END"
+_TOK = f"tok AS (SELECT doc_id, unnest({_TOKENS}) AS term FROM documents)"
+_POST = _TOK + ", post AS (SELECT term, doc_id, count(*) AS tf FROM tok WHERE term <> '' GROUP BY ALL)"
+_DOCS = f"d AS (SELECT doc_id, url, lang, len({_TOKENS}) AS len FROM documents WHERE text IS NOT NULL)"
+_ALL = (f"WITH {_POST}, {_DOCS}, terms_ AS (SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM post GROUP BY term),"
+        " st AS (SELECT (SELECT count(*) FROM d) AS n_docs, (SELECT count(*) FROM post) AS n_postings),"
+        " sc AS (SELECT term, doc_id, tf, df, ln((n_docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) AS idf,"
+        "  1.2::DOUBLE * (1 - 0.75::DOUBLE) + len * (1.2::DOUBLE * 0.75::DOUBLE) / (n_postings / n_docs) AS k FROM post JOIN terms_ USING (term) JOIN d USING (doc_id), st),"
+        " im AS (SELECT *, floor(tf / (tf + k) * 16384)::INT AS score, idf * 2.2::DOUBLE * tf / (k + tf) AS w FROM sc)")
+
+
+def _ranked(terms: list[str], mode: str = "or", page: int = 0, need: int | None = None) -> str:
+    lst = ", ".join(f"'{t}'" for t in sorted(set(terms)))
+    having = f" HAVING count(*) = {len(set(terms)) if need is None else need}" if mode == "and" else ""
+    return (f"SELECT doc_id, round(sum(idf * score), 6) AS est, round(sum(w), 6) AS bm25, sum(tf)::BIGINT AS count FROM im WHERE term IN ({lst})"
+            f" GROUP BY doc_id{having} ORDER BY est DESC, doc_id DESC LIMIT 10 OFFSET {page * 10}")
+
+
+# --- problem 2: a few keys holding most rows ---
 _TOTALS = "SELECT term, count(*) AS lines, count(DISTINCT doc_id) AS records, sum(freq)::BIGINT AS weight_sum FROM lexicon GROUP BY term"
 
 
@@ -33,3 +74,376 @@ def p2_found(spark, sf_dir):
 @query("p2_term_totals", _TOTALS)
 def p2_term_totals(spark, sf_dir):
     return heavy_keys.per_key_totals(table(spark, sf_dir, "lexicon"))
+
+
+# --- index construction ---
+@query("tokenize_docs", f"WITH {_TOK} SELECT doc_id, count(*) AS tokens, count(DISTINCT term) AS terms FROM tok GROUP BY doc_id")
+def tokenize_docs(spark, sf_dir):
+    t = index.tokenized(_documents(spark, sf_dir)).where("text IS NOT NULL")
+    return t.select("doc_id", F.size("tokens").cast("bigint").alias("tokens"), F.size(F.array_distinct("tokens")).cast("bigint").alias("terms")).where("tokens > 0")
+
+
+@query("doc_table", f"WITH {_DOCS} SELECT * FROM d")
+def doc_table(spark, sf_dir):
+    return index.doc_table(_documents(spark, sf_dir))
+
+
+@query("lexicon_tf", f"WITH {_POST} SELECT * FROM post")
+def lexicon_tf(spark, sf_dir):
+    return index.lexicon(_documents(spark, sf_dir))
+
+
+@query("term_table", _ALL + " SELECT * FROM terms_")
+def term_table(spark, sf_dir):
+    return the_index(spark, sf_dir).terms
+
+
+@query("corpus_stats", _ALL + " SELECT n_docs, n_postings, (SELECT count(*) FROM terms_) AS n_terms, (SELECT sum(len)::BIGINT FROM d) AS sum_len,"
+       " n_postings / n_docs AS avgdl, (SELECT sum(len) FROM d) / n_docs AS avg_len FROM st")
+def corpus_stats(spark, sf_dir):
+    docs = _documents(spark, sf_dir)
+    return index.corpus_stats(index.doc_table(docs), index.lexicon(docs))
+
+
+@query("has_content_filter", "SELECT doc_id FROM documents WHERE length(text) > 0 AND url IS NOT NULL AND url <> ''")
+def has_content_filter(spark, sf_dir):
+    return index.with_url(index.with_content(_documents(spark, sf_dir))).select("doc_id")
+
+
+@query("lang_filter", "SELECT doc_id, lang FROM documents WHERE lang IN ('en', 'fr', 'de', 'it', 'la', 'es', 'zh')")
+def lang_filter(spark, sf_dir):
+    return index.in_languages(_documents(spark, sf_dir)).select("doc_id", "lang")
+
+
+@query("lang_filter_skip_chinese", "SELECT doc_id, lang FROM documents WHERE lang IN ('en', 'fr', 'de', 'it', 'la', 'es')")
+def lang_filter_skip_chinese(spark, sf_dir):
+    return index.in_languages(_documents(spark, sf_dir), skip_chinese=True).select("doc_id", "lang")
+
+
+@query("title_body", r"SELECT doc_id, split_part(text, chr(10), 1) AS title, CASE WHEN contains(text, chr(10)) THEN substr(text, strpos(text, chr(10)) + 1) ELSE '' END AS body FROM documents")
+def title_body(spark, sf_dir):
+    return _documents(spark, sf_dir).select("doc_id", text.title(F.col("text")).alias("title"), text.body(F.col("text")).alias("body"))
+
+
+@query("postings_impact", _ALL + " SELECT term, doc_id, tf, score FROM im")
+def postings_impact(spark, sf_dir):
+    return the_index(spark, sf_dir).postings
+
+
+@query("idf_table", _ALL + " SELECT term, round(ln((n_docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)), 6) AS idf FROM terms_, st")
+def idf_table(spark, sf_dir):
+    ix = the_index(spark, sf_dir)
+    return ix.terms.select("term", F.round(ranking.idf(F.lit(float(ix.stats["n_docs"])), F.col("df")), 6).alias("idf"))
+
+
+@query("expected_rows", "SELECT count(*) AS n FROM lexicon")
+def expected_rows(spark, sf_dir):
+    return table(spark, sf_dir, "lexicon").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("lexicon_validate", "SELECT count(*) FILTER (WHERE term IS NULL) AS nulls, count(*) FILTER (WHERE term = '') AS empties, 0 AS invalid FROM lexicon")
+def lexicon_validate(spark, sf_dir):
+    return table(spark, sf_dir, "lexicon").agg(
+        F.count_if(F.col("term").isNull()).alias("nulls"), F.count_if(F.col("term") == "").alias("empties"),
+        F.count_if(~F.is_valid_utf8("term")).cast("int").alias("invalid"))
+
+
+# --- posting blocks and codecs ---
+_GAPS = "SELECT term, doc_id, doc_id - lag(doc_id, 1, 0) OVER (PARTITION BY term, block_no ORDER BY doc_id) AS delta FROM (SELECT *, (row_number() OVER (PARTITION BY term ORDER BY doc_id) - 1) // 128 AS block_no FROM p)"
+_P = "WITH p AS (SELECT term, doc_id, max(freq)::BIGINT AS tf, max(score) AS score FROM postings WHERE seg_id = 0 AND doc_id IS NOT NULL AND term IS NOT NULL AND score IS NOT NULL GROUP BY ALL)"
+
+
+def _segment(spark, sf_dir):
+    """The lists of the first index segment, each posting once."""
+    p = table(spark, sf_dir, "postings").where("seg_id = 0 AND doc_id IS NOT NULL AND term IS NOT NULL AND score IS NOT NULL")
+    return p.groupBy("term", "doc_id").agg(F.max("freq").cast("bigint").alias("tf"), F.max("score").alias("score"))
+
+
+@query("posting_deltas", f"{_P} {_GAPS}")
+def posting_deltas(spark, sf_dir):
+    b = (index.number_in_lists(_segment(spark, sf_dir)).withColumn("block", F.floor((F.col("rn") - 1) / 128))
+         .groupBy("term", "block").agg(F.array_sort(F.collect_list("doc_id")).alias("ids")))
+    return b.select("term", F.explode(F.arrays_zip("ids", codecs.deltas(F.col("ids")).alias("gaps"))).alias("z")).select(
+        "term", F.col("z.ids").alias("doc_id"), F.col("z.gaps").alias("delta"))
+
+
+@query("posting_undelta", f"{_P} SELECT term, doc_id FROM p")
+def posting_undelta(spark, sf_dir):
+    b = index.blocks(_segment(spark, sf_dir), 128)
+    return b.select("term", F.explode(codecs.partial_sums(codecs.vbyte_decode(F.col("ids")))).alias("doc_id"))
+
+
+@query("posting_blocks_meta", f"{_P} SELECT term, block_no, min(doc_id) AS begin_id, count(*)::INT AS n FROM (SELECT *, ((row_number() OVER (PARTITION BY term ORDER BY doc_id) - 1) // 2048)::INT AS block_no FROM p) GROUP BY ALL")
+def posting_blocks_meta(spark, sf_dir):
+    return index.blocks(_segment(spark, sf_dir)).select("term", "block_no", "begin_id", "n")
+
+
+@query("term_rows", f"{_P}, b AS (SELECT *, (row_number() OVER (PARTITION BY term ORDER BY doc_id) - 1) // 2048 AS block_no FROM p),"
+       " z AS (SELECT *, doc_id - lag(doc_id, 1, 0) OVER (PARTITION BY term, block_no ORDER BY doc_id) AS gap FROM b)"
+       " SELECT term, count(*) AS count, sum(CASE WHEN gap < 128 THEN 1 WHEN gap < 16384 THEN 2 WHEN gap < 2097152 THEN 3 ELSE 4 END)::BIGINT AS id_bytes FROM z GROUP BY term")
+def term_rows(spark, sf_dir):
+    t = index.term_rows(index.blocks(_segment(spark, sf_dir)))
+    return t.select("term", F.col("count").cast("bigint").alias("count"),
+                    F.aggregate("idOffs", F.lit(0).cast("bigint"), lambda a, x: a + x["len"]).alias("id_bytes"))
+
+
+@query("vbyte_roundtrip", f"{_P} SELECT * FROM p")
+def vbyte_roundtrip(spark, sf_dir):
+    return index.decode_blocks(index.blocks(_segment(spark, sf_dir), 512))
+
+
+@query("next_geq", f"{_P} SELECT term, min(doc_id) AS doc_id FROM p WHERE term = 'the' AND doc_id >= 100 GROUP BY term")
+def next_geq(spark, sf_dir):
+    return index.next_geq(_segment(spark, sf_dir), "the", 100)
+
+
+def _lists(spark, sf_dir):
+    """Each term's doc_ids in order, in blocks of 2,048 at most, so that no list is held whole."""
+    b = index.blocks(_segment(spark, sf_dir))
+    return b.select("term", "block_no", codecs.vbyte_decode(F.col("ids")).alias("gaps"))
+
+
+def _sql_groups(bits: int) -> str:
+    return " + ".join(["1"] + [f"(gap >= {1 << (bits * k)})::INT" for k in range(1, 32 // bits + 1)])
+
+
+@query("codec_sizes", f"{_P}, b AS (SELECT *, ((row_number() OVER (PARTITION BY term ORDER BY doc_id) - 1) // 2048)::INT AS block_no FROM p),"
+       " z AS (SELECT *, doc_id - lag(doc_id, 1, 0) OVER (PARTITION BY term, block_no ORDER BY doc_id) AS gap FROM b)"
+       f" SELECT term, block_no, sum({_sql_groups(7)})::BIGINT AS varint, ((sum({_sql_groups(3)}) + 1) // 2)::BIGINT AS varnibble,"
+       " (1 + (count(*) * length(bin(max(gap))) + 7) // 8)::BIGINT AS minbits, (4 * count(*))::BIGINT AS dword,"
+       f" least(sum({_sql_groups(7)}), (sum({_sql_groups(3)}) + 1) // 2)::BIGINT AS smaller FROM z GROUP BY term, block_no")
+def codec_sizes(spark, sf_dir):
+    g = F.col("gaps")
+    return _lists(spark, sf_dir).select(
+        "term", "block_no", codecs.varint_size(g).alias("varint"), codecs.varnibble_size(g).alias("varnibble"), codecs.minbits_size(g).alias("minbits"),
+        codecs.dword_size(g).alias("dword"), codecs.smaller(codecs.varint_size(g), codecs.varnibble_size(g)).alias("smaller"))
+
+
+@query("codec_varbits")
+def codec_varbits(spark, sf_dir):
+    return _lists(spark, sf_dir).select("term", "block_no", codecs.varbits_size(F.col("gaps")).alias("varbits"))
+
+
+@query("codec_bit_codes")
+def codec_bit_codes(spark, sf_dir):
+    one_up = F.transform("gaps", lambda g: g + 1)
+    return _lists(spark, sf_dir).select("term", "block_no", *(codecs.code_sizes_udf(n)(one_up).alias(n) for n in ("gamma", "omega", "fibonacci")))
+
+
+@query("golomb_roundtrip", f"{_P} SELECT term, doc_id FROM p")
+def golomb_roundtrip(spark, sf_dir):
+    bits = F.greatest(F.lit(0), F.floor(F.log2(F.array_max("gaps") / F.size("gaps") + 1))).cast("int")
+    b = _lists(spark, sf_dir).select("term", codecs.golomb_encode("gaps", bits).alias("data"), bits.alias("bits"), F.size("gaps").alias("n"))
+    return b.select("term", F.explode(codecs.partial_sums(codecs.golomb_decode("data", "bits", "n"))).alias("doc_id"))
+
+
+@query("bitmap_roundtrip", f"{_P} SELECT term, doc_id FROM p")
+def bitmap_roundtrip(spark, sf_dir):
+    return _lists(spark, sf_dir).select("term", F.explode(codecs.bitmap_round_trip(codecs.partial_sums(F.col("gaps")))).alias("doc_id"))
+
+
+@query("gcs_membership", "SELECT DISTINCT term, true AS contained FROM lexicon WHERE term <> ''")
+def gcs_membership(spark, sf_dir):
+    terms = table(spark, sf_dir, "lexicon").where("term <> ''").select("term").distinct()
+    return gcs.contains(gcs.build(terms, "term"), terms, "term").select("term", "contained")
+
+
+# --- retrieval ---
+@query("or_topk", _ALL + " " + _ranked(TERMS))
+def or_topk(spark, sf_dir):
+    return search.top_documents(the_index(spark, sf_dir), TERMS, "or")
+
+
+@query("or_page2", _ALL + " " + _ranked(["the", "der"], page=1))
+def or_page2(spark, sf_dir):
+    return search.top_documents(the_index(spark, sf_dir), ["the", "der"], "or", 1)
+
+
+@query("explicit_or", _ALL + " " + _ranked(["der", "les"]))
+def explicit_or(spark, sf_dir):
+    mode, words = search.SearchEngine(the_index(spark, sf_dir)).plan("der | les")
+    return search.top_documents(the_index(spark, sf_dir), words, mode)
+
+
+@query("and_topk", _ALL + " " + _ranked(TERMS, "and"))
+def and_topk(spark, sf_dir):
+    return search.top_documents(the_index(spark, sf_dir), TERMS, "and")
+
+
+@query("and_strict_unknown", _ALL + " " + _ranked(["the", "xyzzyplugh"], "and"))
+def and_strict_unknown(spark, sf_dir):
+    return search.top_documents(the_index(spark, sf_dir), ["the", "xyzzyplugh"], "and", strict=True)
+
+
+@query("and_nonstrict_unknown", _ALL + " " + _ranked(["the", "xyzzyplugh"], "and", need=1))
+def and_nonstrict_unknown(spark, sf_dir):
+    return search.top_documents(the_index(spark, sf_dir), ["the", "xyzzyplugh"], "and")
+
+
+def _single_sql(page: int) -> str:
+    return (_ALL + " SELECT doc_id, score, tf AS count, round(w, 6) AS bm25 FROM im WHERE term = 'the' ORDER BY score DESC, tf DESC, doc_id DESC"
+            f" LIMIT 10 OFFSET {page * 10}")
+
+
+@query("single_topk", _single_sql(0))
+def single_topk(spark, sf_dir):
+    return search.single_term(the_index(spark, sf_dir), "the")
+
+
+@query("single_page2", _single_sql(1))
+def single_page2(spark, sf_dir):
+    return search.single_term(the_index(spark, sf_dir), "the", 1)
+
+
+_AUTO = "SELECT CASE WHEN sum(df) > 0.03 * max(n_docs) AND min(df) > 200 THEN 'and' ELSE 'or' END AS mode FROM terms_, st WHERE term IN ({})"
+
+
+@query("auto_mode_decision", _ALL + " " + _AUTO.format("'the', 'and'"))
+def auto_mode_decision(spark, sf_dir):
+    return spark.range(1).select(search.auto_mode(the_index(spark, sf_dir), TERMS).alias("mode"))
+
+
+@query("auto_query", _ALL + ", md AS (" + _AUTO.format("'the', 'der'") + ") SELECT doc_id, round(sum(idf * score), 6) AS est, round(sum(w), 6) AS bm25,"
+       " sum(tf)::BIGINT AS count FROM im, md WHERE term IN ('the', 'der') GROUP BY doc_id, mode HAVING mode = 'or' OR count(*) = 2 ORDER BY est DESC, doc_id DESC LIMIT 10")
+def auto_query(spark, sf_dir):
+    ix = the_index(spark, sf_dir)
+    mode = spark.range(1).select(search.auto_mode(ix, ["the", "der"])).first()[0]
+    return search.top_documents(ix, ["the", "der"], mode)
+
+
+@query("hit_counts", _ALL + ", h AS (SELECT doc_id, count(*) AS k FROM im WHERE term IN ('the', 'and') GROUP BY doc_id)"
+       " SELECT count(*) AS or_hits, count(*) FILTER (WHERE k = 2) AS and_hits, ceil(count(*) / 10)::BIGINT AS or_pages FROM h")
+def hit_counts(spark, sf_dir):
+    m = search.matches(the_index(spark, sf_dir), TERMS, "or")
+    return m.agg(F.count(F.lit(1)).alias("or_hits"), F.count_if(F.col("k") == 2).alias("and_hits"), F.ceil(F.count(F.lit(1)) / 10).alias("or_pages"))
+
+
+@query("df_sum_min", _ALL + " SELECT sum(df)::BIGINT AS s, min(df) AS m FROM terms_ WHERE term IN ('the', 'and')")
+def df_sum_min(spark, sf_dir):
+    return search.known_terms(the_index(spark, sf_dir), TERMS).agg(F.sum("df").alias("s"), F.min("df").alias("m"))
+
+
+@query("two_phase_rank", _ALL + ", pg AS (" + _ranked(["und", "les"], page=0) + ") SELECT doc_id, est, bm25, row_number() OVER (ORDER BY est DESC, doc_id DESC) AS rank FROM pg")
+def two_phase_rank(spark, sf_dir):
+    from pyspark.sql import Window
+
+    top = search.top_documents(the_index(spark, sf_dir), ["und", "les"], "or")
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("est"), F.desc("doc_id")))).select("doc_id", "est", "bm25", "rank")
+
+
+@query("postings_union", _ALL + " SELECT DISTINCT doc_id FROM im WHERE term IN ('the', 'and')")
+def postings_union(spark, sf_dir):
+    return search.union_of(the_index(spark, sf_dir).postings, TERMS)
+
+
+@query("postings_intersect", _ALL + " SELECT doc_id FROM im WHERE term = 'the' INTERSECT SELECT doc_id FROM im WHERE term = 'and'")
+def postings_intersect(spark, sf_dir):
+    return search.intersection_of(the_index(spark, sf_dir).postings, TERMS)
+
+
+@query("boolean_nested", _ALL + " (SELECT doc_id FROM im WHERE term IN ('the', 'der')) EXCEPT (SELECT doc_id FROM im WHERE term = 'and')")
+def boolean_nested(spark, sf_dir):
+    return search.boolean(the_index(spark, sf_dir), ("not", ("or", "the", "der"), "and"))
+
+
+@query("search_results", _ALL + ", pg AS (" + _ranked(TERMS) + ") SELECT doc_id, url, lang, split_part(text, chr(10), 1) AS title, bm25, count FROM pg JOIN documents USING (doc_id)")
+def search_results(spark, sf_dir):
+    ix = the_index(spark, sf_dir)
+    return search.present(ix, search.top_documents(ix, TERMS, "or"), TERMS).select("doc_id", "url", "lang", "title", "bm25", "count")
+
+
+@query("snippets")
+def snippets(spark, sf_dir):
+    ix = the_index(spark, sf_dir)
+    return search.present(ix, search.top_documents(ix, TERMS, "or"), TERMS).select("doc_id", "snippets")
+
+
+# --- documents, ids, files ---
+@query("doc_range_lookup", "SELECT doc_id, file FROM docs JOIN doc_ranges ON doc_id > start_id AND doc_id <= end_id")
+def doc_range_lookup(spark, sf_dir):
+    return index.locate(table(spark, sf_dir, "docs"), table(spark, sf_dir, "doc_ranges")).select("doc_id", "file")
+
+
+@query("doc_range_names", r"SELECT regexp_replace(file, '\.gz$', '') AS file, regexp_replace(regexp_extract(file, '[^/]*$'), '\.warc\.wet\.gz$', '') AS base, (SELECT (max(end_id) - min(start_id)) / count(*) FROM doc_ranges) AS mean_ids FROM doc_ranges")
+def doc_range_names(spark, sf_dir):
+    r = table(spark, sf_dir, "doc_ranges")
+    mean = r.agg(((F.max("end_id") - F.min("start_id")) / F.count(F.lit(1))).alias("m")).scalar()
+    return r.select(text.strip_gz(F.col("file")).alias("file"), text.base_name(F.col("file")).alias("base"), mean.alias("mean_ids"))
+
+
+@query("file_ranges", "SELECT source AS file, min(doc_id) - 1 AS start_id, max(doc_id) AS end_id FROM documents GROUP BY source")
+def file_ranges(spark, sf_dir):
+    return index.file_ranges(_documents(spark, sf_dir))
+
+
+@query("docid_skip_numbering", "WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS n FROM documents), x AS (SELECT doc_id, n, n % 253 AS a, n // 253 % 253 AS b, n // 64009 AS c FROM r)"
+       " SELECT doc_id, n, a + CASE WHEN a < 9 THEN 0 WHEN a < 30 THEN 2 ELSE 3 END + 256 * (b + CASE WHEN b < 9 THEN 0 WHEN b < 30 THEN 2 ELSE 3 END)"
+       " + 65536 * (c + CASE WHEN c < 9 THEN 0 WHEN c < 30 THEN 2 ELSE 3 END) AS new_id FROM x")
+def docid_skip_numbering(spark, sf_dir):
+    n = ids.number_rows(_documents(spark, sf_dir).select("doc_id"), ["doc_id"])
+    return n.select("doc_id", "n", ids.skip_byte_id(F.col("n")).alias("new_id"))
+
+
+@query("id_bytes_roundtrip", "SELECT doc_id, doc_id AS back FROM docs")
+def id_bytes_roundtrip(spark, sf_dir):
+    return table(spark, sf_dir, "docs").select("doc_id", ids.id_from_bytes(ids.id_bytes(F.col("doc_id"))).alias("back"))
+
+
+@query("record_slugs", "SELECT record_id, record_id AS back, 22 AS length FROM wet_records")
+def record_slugs(spark, sf_dir):
+    s = ids.slug(F.col("record_id"))
+    return table(spark, sf_dir, "wet_records").select("record_id", ids.uuid_from_slug(s).alias("back"), F.length(s).alias("length"))
+
+
+@query("doc_point_read", "SELECT DISTINCT doc_id, url, lang, len, off FROM docs WHERE doc_id = 100")
+def doc_point_read(spark, sf_dir):
+    return table(spark, sf_dir, "docs").where("doc_id = 100").distinct()
+
+
+@query("random_access", "SELECT record_id, octet_length(content) AS bytes FROM wet_records WHERE source_file = (SELECT min(source_file) FROM wet_records) AND off = 0 AND url IS NOT NULL")
+def random_access(spark, sf_dir):
+    w = table(spark, sf_dir, "wet_records")
+    first = w.agg(F.min("source_file").alias("f")).scalar()
+    return w.where((F.col("source_file") == first) & (F.col("off") == 0) & F.col("url").isNotNull()).select("record_id", F.octet_length("content").cast("bigint").alias("bytes"))
+
+
+# --- text functions ---
+@query("keyword_line_coverage", rf"WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) SELECT doc_id, max(len(list_intersect(list_distinct(regexp_split_to_array(line, '[^\p{{L}}\p{{N}}_]+')), ['the', 'and', 'of'])))::INT AS best FROM l GROUP BY doc_id")
+def keyword_line_coverage(spark, sf_dir):
+    keywords = F.array(F.lit("the"), F.lit("and"), F.lit("of"))
+    best = F.array_max(F.transform(text.lines(F.col("text")), lambda x: text.keyword_coverage(x, keywords)))
+    return _documents(spark, sf_dir).select("doc_id", best.alias("best"))
+
+
+@query("sliding_window_tokens", f"WITH t AS (SELECT doc_id, {_SPLIT} AS x FROM documents), w AS (SELECT doc_id, x, unnest(range(1, len(x) + 1, 10)) AS i FROM t)"
+       " SELECT doc_id, ((i - 1) // 10)::INT AS n, array_to_string(list_concat(list_slice(x, i, i + 9), list_resize([]::VARCHAR[], greatest(0, i + 9 - len(x))::INT, '')), ' ') AS chunk FROM w")
+def sliding_window_tokens(spark, sf_dir):
+    w = text.sliding(text.words(F.col("text")), 10, 10)
+    return _documents(spark, sf_dir).select("doc_id", F.posexplode(w).alias("n", "c")).select("doc_id", "n", F.array_join("c", " ").alias("chunk"))
+
+
+@query("words_and_separators", "SELECT doc_id, string_split(text, chr(10))[1] AS line FROM documents")
+def words_and_separators(spark, sf_dir):
+    return _documents(spark, sf_dir).select("doc_id", F.array_join(text.words_and_separators(text.title(F.col("text"))), "").alias("line"))
+
+
+@query("highlighted", r"SELECT doc_id, regexp_replace(split_part(text, chr(10), 1), '(\b)(and|the)(\b)', '<mark>\2</mark>', 'gi') AS title FROM documents WHERE lang = 'en'")
+def highlighted(spark, sf_dir):
+    return _documents(spark, sf_dir).where("lang = 'en'").select("doc_id", text.highlight(text.title(F.col("text")), TERMS).alias("title"))
+
+
+@query("readable_urls", "SELECT doc_id, url, url_decode(url) AS shown, format('{:,}', n_chars) AS chars FROM documents")
+def readable_urls(spark, sf_dir):
+    return _documents(spark, sf_dir).select("doc_id", "url", text.readable_url(F.col("url")).alias("shown"), text.thousands(F.col("n_chars")).alias("chars"))
+
+
+@query("detect_language")
+def detect_language(spark, sf_dir):
+    model = language.train(table(spark, sf_dir, "lang_samples"))
+    return language.detect(_documents(spark, sf_dir), model, "doc_id")
+
+
+@query("detect_language_restricted")
+def detect_language_restricted(spark, sf_dir):
+    model = language.train(table(spark, sf_dir, "lang_samples"))
+    return language.detect(_documents(spark, sf_dir), model, "doc_id", languages=list(index.INDEX_LANGUAGES))
