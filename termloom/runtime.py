@@ -56,3 +56,11 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = new_scratch(spark, label)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def small_side(df: DataFrame, label: str, max_rows: int = 1_000_000) -> DataFrame:
+    """``df`` written once and marked for broadcast only if it has at most ``max_rows`` rows; else left to a shuffled join."""
+    from pyspark.sql import functions as F
+
+    written = materialize(df, label)
+    return F.broadcast(written) if written.count() <= max_rows else written
