@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..runtime import table
-from . import distinctive, term_counts, top_per_group
+from . import distinctive, mixing, packing, term_counts, top_per_group
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -110,3 +110,23 @@ _LLR = (_TF + ", x AS (SELECT doc_id, term, tf::DOUBLE AS o, greatest(len, tf)::
 def p7_llr(spark, sf_dir):
     """Log-likelihood ratios of all terms; 3 decimals, as sums near 1e7 differ in their last digits between engines."""
     return _weights(spark, sf_dir, "llr", 3)
+
+
+@query("p8_packed")
+def p8_packed(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pack_specs"))
+
+
+@query("p8_fill")
+def p8_fill(spark, sf_dir):
+    return packing.fill_report(p8_packed(spark, sf_dir), table(spark, sf_dir, "pack_specs"))
+
+
+@query("p9_mixture")
+def p9_mixture(spark, sf_dir):
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
+@query("p9_shares")
+def p9_shares(spark, sf_dir):
+    return mixing.shares(p9_mixture(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
