@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..runtime import table
-from . import distinctive, mixing, packing, term_counts, top_per_group
+from . import distinctive, mixing, packing, shared_spans, term_counts, top_per_group
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -130,3 +130,20 @@ def p9_mixture(spark, sf_dir):
 @query("p9_shares")
 def p9_shares(spark, sf_dir):
     return mixing.shares(p9_mixture(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
+
+
+@query("p10_found")
+def p10_found(spark, sf_dir):
+    return shared_spans.document_pairs(*shared_spans.shared_runs(table(spark, sf_dir, "documents")))
+
+
+@query("p10_runs")
+def p10_runs(spark, sf_dir):
+    """Every maximal run between different texts, by the representatives of their classes."""
+    return shared_spans.shared_runs(table(spark, sf_dir, "documents"))[0]
+
+
+@query("p10_shared")
+def p10_shared(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return shared_spans.shared_per_document(docs, *shared_spans.shared_runs(docs))

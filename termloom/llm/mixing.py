@@ -42,6 +42,32 @@ def pivotal(p: list[float], sizes: list[int], rng: random.Random) -> tuple[list[
     return out, held, ph
 
 
+def pooled(q: float, sizes: list[int], rng: random.Random) -> tuple[list[int | None], int | None, float]:
+    """``pivotal`` for items of equal probability: each is paired with the pool of all items after it, which share theirs.
+
+    With sizes in falling order a large item is settled against many smaller ones, and the one that stays open is the smallest
+    (unless the pool as a whole becomes 0 or 1 first; then it is the pool's partner).
+    """
+    eps, n = 1e-12, len(sizes)
+    out: list[int | None] = [None] * n
+    rest = sum(sizes)
+    for i, a in enumerate(sizes):
+        if not eps < q < 1 - eps:
+            out[i:] = [int(q > 0.5)] * (n - i)
+            return out, None, 0.0
+        rest -= a
+        if not rest:
+            return out, i, q
+        up, down = min((1 - q) * a, q * rest), min(q * a, (1 - q) * rest)
+        move = up if rng.random() * (up + down) < down else -down
+        p, q = q + move / a, q - move / rest
+        if eps < p < 1 - eps:
+            out[i + 1:] = [int(q > 0.5)] * (n - i - 1)
+            return out, i, p
+        out[i] = int(p > 0.5)
+    return out, None, 0.0
+
+
 def budgets(sizes: DataFrame, targets: DataFrame, total_tokens: float | None = None) -> list[dict]:
     """Per target source: available tokens and expected copies per document. A few rows (one per target).
 
@@ -82,7 +108,8 @@ def mix(docs: DataFrame, targets: DataFrame, size: Column | None = None, total_t
     def round_block(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["tokens", "doc_id"], ascending=[False, True], kind="stable").reset_index(drop=True)
         rng = random.Random(f"{seed}/{pdf['source'].iat[0]}/{pdf['block'].iat[0]}/{len(pdf)}")
-        done, held, left = pivotal(pdf["p"].tolist(), pdf["tokens"].tolist(), rng)
+        p, sizes_ = pdf["p"].tolist(), pdf["tokens"].tolist()
+        done, held, left = pooled(p[0], sizes_, rng) if min(p) == max(p) else pivotal(p, sizes_, rng)
         pdf["copies"] = [c + (x or 0) for c, x in zip(pdf["copies"].tolist(), done)]
         pdf["p"] = [left if i == held else None for i in range(len(pdf))]
         pdf["doc_id"] = pdf["doc_id"].astype("Int64")
