@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..runtime import table
-from . import distinctive, mixing, packing, shared_spans, term_counts, top_per_group
+from . import distinctive, mixing, packing, pages, shared_spans, term_counts, top_per_group
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -147,3 +147,22 @@ def p10_runs(spark, sf_dir):
 def p10_shared(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return shared_spans.shared_per_document(docs, *shared_spans.shared_runs(docs))
+
+
+def _pages(spark, sf_dir):
+    return pages.read_pages(table(spark, sf_dir, "wet_records"), table(spark, sf_dir, "lang_samples"))
+
+
+@query("p4_found")
+def p4_found(spark, sf_dir):
+    return pages.spam_records(_pages(spark, sf_dir))
+
+
+@query("p5_found")
+def p5_found(spark, sf_dir):
+    return pages.boilerplate(_pages(spark, sf_dir))
+
+
+@query("p5_main_text")
+def p5_main_text(spark, sf_dir):
+    return pages.main_text(_pages(spark, sf_dir), table(spark, sf_dir, "wet_records"))
