@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..runtime import table
-from . import distinctive, mixing, packing, pages, shared_spans, term_counts, top_per_group
+from . import distinctive, mixing, packing, page_languages, pages, shared_spans, term_counts, top_per_group
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -166,3 +166,25 @@ def p5_found(spark, sf_dir):
 @query("p5_main_text")
 def p5_main_text(spark, sf_dir):
     return pages.main_text(_pages(spark, sf_dir), table(spark, sf_dir, "wet_records"))
+
+
+def _languages(spark, sf_dir):
+    return page_languages.languages(table(spark, sf_dir, "wet_records"), table(spark, sf_dir, "lang_samples"))
+
+
+@query("p6_found")
+def p6_found(spark, sf_dir):
+    return page_languages.wrong_or_mixed(_languages(spark, sf_dir))
+
+
+@query("p6_languages")
+def p6_languages(spark, sf_dir):
+    """Every record's language with its confidence."""
+    return _languages(spark, sf_dir).select("record_id", "label", "lang", "confidence").distinct()
+
+
+@query("p6_passages")
+def p6_passages(spark, sf_dir):
+    """Every passage of one language, with its lines and confidence."""
+    each = _languages(spark, sf_dir).select("record_id", F.explode("passages").alias("p")).distinct()
+    return each.select("record_id", "p.*")

@@ -14,11 +14,10 @@ _BULLET = re.compile(r"^\s*(?:[-*•»›>·–]|\d+[.)])\s+")
 #: Marks that stand between the entries of one line.
 _BETWEEN = re.compile(r"\s+[|·•»›>/*–-]\s+|\s{2,}|\s*\|\s*|\t+")
 _SENTENCE = re.compile(r"(?<=[.!?。！？;])\s+|(?<=[。！？])")
-_ENDS = re.compile(r"[.!?。！？…][\"'”»」’)\]]*[\s\ufffd]*$")
+_STOPS = frozenset(".!?。！？…")
+_MAYBE = re.compile(r"[|·•»›>/*–\t]|  | - ").search
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*|\d+")
 _HAN = re.compile(r"[㐀-鿿]")
-_NAME = r"[A-Z][\w'’-]*"
-_NAMES = re.compile(rf"{_NAME}(?:(?:\s+&\s+|\s+){_NAME})*")
 
 
 def words(line: str) -> list[str]:
@@ -26,18 +25,26 @@ def words(line: str) -> list[str]:
 
 
 def weight(line: str) -> int:
-    """Words of a line; Chinese characters count two to a word."""
-    han = len(_HAN.findall(line))
-    return (han + 1) // 2 + len(_WORD.findall(_HAN.sub(" ", line))) if han else len(_WORD.findall(line))
+    """Words of a line, by its spaces; Chinese characters count two to a word."""
+    if not line.isascii():
+        han = len(_HAN.findall(line))
+        if han:
+            return (han + 1) // 2 + len(_HAN.sub("", line).split())
+    return len(line.split())
 
 
 def key(text: str) -> str:
     """A line or entry without what changes from page to page: bullet, numbers, addresses."""
-    return _DIGITS.sub("0", _MAIL.sub("@", _BULLET.sub("", text))).strip(" \t\ufffd\u00a0\u3000")
+    if text and text[0] in "-*•·»›>–0123456789":
+        text = _BULLET.sub("", text)
+    if "@" in text:
+        text = _MAIL.sub("@", text)
+    return _DIGITS.sub("0", text).strip(" \t\r\ufffd\u00a0\u3000")
 
 
 def entries(line: str) -> list[str]:
-    return [e for e in _BETWEEN.split(line.strip()) if e and e.strip()]
+    """The parts of a line between marks; the line alone where it has none."""
+    return [e for e in _BETWEEN.split(line.strip()) if e and e.strip()] if _MAYBE(line) else [line]
 
 
 def sentences(line: str) -> list[str]:
@@ -45,7 +52,7 @@ def sentences(line: str) -> list[str]:
 
 
 def ends_sentence(line: str) -> bool:
-    return bool(_ENDS.search(line))
+    return line.rstrip("\"'”»」’)] \t\r\ufffd")[-1:] in _STOPS
 
 
 def h(text: str) -> int:
@@ -69,7 +76,7 @@ def label(lang: str | None) -> str | None:
 
 
 def keys(line: str) -> list[str]:
-    """The line's key, then forms of it in which a name at the end, the start or the one name inside is a mark.
+    """The line's key, then forms of it in which a name at the start, the end or inside is a mark.
 
     A name can't be told from another capitalized word here, so every end of a capitalized run is tried; votes decide which form recurs.
     """
@@ -77,18 +84,23 @@ def keys(line: str) -> list[str]:
     out = [k]
     if not k or k[0].isdigit():
         return out
-    runs = [(m.start(), m.end()) for m in _NAMES.finditer(k)]
-    if not runs:
-        return out
-    a, b = runs[-1]
-    tail = k[b:].strip()
-    if not tail or tail in (".", "!"):
-        starts = [a + m.start() for m in re.finditer(_NAME, k[a:b])]
-        out += [k[:s] + "N" + k[b:] for s in starts if _WORD.search(k[:s]) or "©" in k[:s]]
-    a, b = runs[0]
-    if a == 0 and len(_WORD.findall(k[b:])) >= 1:
-        out.append("N" + k[b:])
-    inner = [r for r in runs if r[0] > 0 and k[r[1]:].strip()]
-    if len(inner) == 1 and len(_WORD.findall(k)) - 1 >= 2:
-        out.append(k[:inner[0][0]] + "N" + k[inner[0][1]:])
+    t = k.split(" ")
+    n = len(t)
+    head = 0
+    while head < n and (t[head][:1].isupper() or t[head] == "&"):
+        head += 1
+        if t[head - 1][-1] in ",.:;":
+            break
+    if 0 < head < n:
+        mark = t[head - 1][-1] if t[head - 1][-1] in ",.:;" else ""
+        out.append(f"N{mark} " + " ".join(t[head:]))
+    tail = n
+    if k[-1] not in ".!?":
+        while tail > 1 and (t[tail - 1][:1].isupper() or t[tail - 1] == "&"):
+            tail -= 1
+            out.append(" ".join(t[:tail]) + " N")
+    if len(k) <= 60 and tail == n and n > 3:
+        inside = [i for i in range(max(1, head), n) if t[i][:1].isupper() or t[i] == "&"]
+        if inside and inside[-1] - inside[0] == len(inside) - 1:
+            out.append(" ".join([*t[:inside[0]], "N", *t[inside[-1] + 1:]]))
     return out

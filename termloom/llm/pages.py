@@ -25,12 +25,17 @@ HOST_SHARE = 0.035
 #: A path is furniture of a host where it stands on this share of its pages, and on three at least.
 PAGE_SHARE = 0.5
 LONG_LINE = 160
+#: Share of recurring words from which prose counts as key words; that of sentences is below a third.
+STUFFED = 0.45
+#: So many titles or addresses one below the other are a list of links, not a block of furniture.
+LINKS = 12
+_LINK = re.compile(r"^\W*(?:https?://|www\.)").match
 FURNITURE, BLOCK_HEAD, HEADING = 1, 2, 3
 _URL = re.compile(r"https?://\S+|www\.\S+")
 _MEASURE = re.compile(r"^\d+\s+\S{1,3}\s+\S")
 _PAIR = re.compile(r"^[^:：]{1,60}[:：]\s*[^:：]{1,40}[,，]\s*\d+$")
 _SOURCE = re.compile(r"^\s*\[\d+\]\s")
-_VOTES = "path bigint, lang string, host bigint, page bigint, n int, content int, titles int, trail int"
+_VOTES = "lang string, host bigint, page bigint, paths array<bigint>, counts array<bigint>"
 
 
 # --- shapes of single lines ---
@@ -40,13 +45,15 @@ def is_paragraph(line: str) -> bool:
 
 def is_list_item(line: str) -> bool:
     """A measured item, a name with value pairs or a numbered source: lists that belong to a text."""
-    k = line.strip().lstrip("-*•·– ").strip()
+    k = line.lstrip("-*•·– ")
+    if not (k[:1].isdigit() or k[:1] == "[" or k[-1:].isdigit()):
+        return False
     return bool(_MEASURE.match(k) or _PAIR.match(k) or _SOURCE.match(line))
 
 
 def is_title(line: str) -> bool:
     """As long as a title, but no sentence and no list item."""
-    return not ends_sentence(line) and len(line) <= 120 and weight(key(line)) >= (3 if L._HAN.search(line) else 4) and not is_list_item(line)
+    return not ends_sentence(line) and len(line) <= 120 and weight(key(line)) >= (4 if line.isascii() or not L._HAN.search(line) else 3) and not is_list_item(line)
 
 
 def is_entry(line: str) -> bool:
@@ -54,34 +61,42 @@ def is_entry(line: str) -> bool:
 
 
 # --- first pass ---
-def votes_of_page(text: str) -> Iterator[tuple[int, int, int, int, int]]:
-    """``(path hash, lines, followed by content, followed by a title, after the last paragraph)`` of a page's short lines and entries."""
-    rows = [x.strip() for x in LINE_END.split(text)[1:]]
-    rows = [x for x in rows if x]
-    para = [is_paragraph(x) for x in rows]
-    last = max((i for i, p in enumerate(para) if p and len(rows[i]) > 60), default=-1)
-    got: dict[int, list[int]] = {}
-    for i, x in enumerate(rows):
-        if len(x) > LONG_LINE:
-            continue
-        nxt = rows[i + 1] if i + 1 < len(rows) else ""
-        content = nxt != "" and (para[i + 1] or is_list_item(nxt))
-        title = nxt != "" and not content and is_title(nxt)
-        for k in keys(x):
-            s = got.setdefault(h(k), [0, 0, 0, 0])
-            s[0] += 1
-            s[1] += content
-            s[2] += title
-            s[3] += i > last
-        parts = entries(x)
-        if len(parts) > 1:
-            for e in parts:
-                if len(e) <= 60:
-                    for k in keys(e):  # as an entry of a line it counts as behind the text: headings are never entries
-                        got.setdefault(h(k), [0, 0, 0, 0])[3] += 1
-    for k, s in got.items():
-        if s[0] <= 2:  # what a page repeats more often are its key words
-            yield k, *s
+class Voter:
+    """The votes of a page's short lines and of the entries in them."""
+
+    def __init__(self):
+        self._seen: dict[str, tuple] = {}
+
+    def look(self, x: str) -> tuple[tuple[int, ...], bool, bool, tuple[int, ...]]:
+        """``(path hashes, is content, is a title, path hashes of its entries)`` of a line; frequent lines are looked at once."""
+        got = self._seen.get(x)
+        if got is None:
+            content = is_paragraph(x) or is_list_item(x)
+            if len(x) > LONG_LINE:
+                return (), content, False, ()
+            parts = entries(x)
+            inner = tuple(h(k) for e in parts if len(e) <= 60 for k in keys(e)) if len(parts) > 1 else ()
+            got = (tuple([h(k) for k in keys(x)]), content, not content and is_title(x), inner)
+            if len(self._seen) < 100_000:
+                self._seen[x] = got
+        return got
+
+    def votes(self, text: str) -> dict[int, int]:
+        """By path: lines, of them followed by content, followed by a title, behind the last paragraph, in 16 bits each."""
+        rows = [y for y in [x.strip() for x in LINE_END.split(text)[1:]] if y]
+        seen = [self.look(x) for x in rows]
+        last = max((i for i, x in enumerate(rows) if len(x) > 60 and seen[i][1] and is_paragraph(x)), default=-1)
+        got: dict[int, int] = {}
+        for i, (paths, _, _, inner) in enumerate(seen):
+            if paths:
+                add = 1 | (i > last) << 48
+                if i + 1 < len(seen):
+                    add |= seen[i + 1][1] << 16 | seen[i + 1][2] << 32
+                for k in paths:
+                    got[k] = got.get(k, 0) + add
+                for k in inner:  # as an entry of a line it counts as behind the text: headings are never entries
+                    got[k] = got.get(k, 0) + (1 << 48)
+        return {k: v for k, v in got.items() if v & 0xFFFF <= 2}  # what a page repeats more often are its key words
 
 
 def _decoded(content) -> str:
@@ -89,20 +104,24 @@ def _decoded(content) -> str:
 
 
 def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["path", "lang", "host", "page", "n", "content", "titles", "trail"]
-    types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32()]
+    voter = Voter()
     for b in batches:
-        cols: list[list] = [[] for _ in names]
+        langs, hosts, pages, paths, counts, ends = [], [], [], [], [], [0]
         for content, lang, host, page in zip(*(c.to_pylist() for c in b.columns)):
-            text, g = _decoded(content), label(lang) or "?"
-            if not text.strip():
-                continue
-            rows = list(votes_of_page(text))
-            if rows:
-                path, n, con, tit, tra = zip(*rows)
-                for c, v in zip(cols, (path, [g] * len(rows), [host] * len(rows), [page] * len(rows), n, con, tit, tra)):
-                    c.extend(v)
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
+            text = _decoded(content)
+            if text.strip():
+                got = voter.votes(text)
+                langs.append(label(lang) or "?")
+                hosts.append(host)
+                pages.append(page)
+                paths.extend(got)
+                counts.extend(got.values())
+                ends.append(len(paths))
+        offsets = pa.array(ends, pa.int32())
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(langs, pa.string()), pa.array(hosts, pa.int64()), pa.array(pages, pa.int64()),
+             pa.ListArray.from_arrays(offsets, pa.array(np.array(paths, np.int64))), pa.ListArray.from_arrays(offsets, pa.array(np.array(counts, np.int64)))],
+            names=["lang", "host", "page", "paths", "counts"])
 
 
 def _places(records: DataFrame) -> DataFrame:
@@ -119,8 +138,11 @@ def vote(records: DataFrame) -> tuple[dict[int, int], DataFrame]:
     there are at most (paths of an average host) / HOST_SHARE of them, whatever the size of the crawl.
     """
     raw = _places(records).select("content", "lang", "host", "page").mapInArrow(_first_pass, _VOTES)
-    pages = raw.groupBy("path", "lang", "host", "page").agg(*(F.max(c).alias(c) for c in ("n", "content", "titles", "trail")))
-    on_host = pages.groupBy("path", "lang", "host").agg(F.count(F.lit(1)).alias("pages"), *(F.sum(c).alias(c) for c in ("n", "content", "titles", "trail")))
+    each = raw.groupBy("lang", "host", "page").agg(F.max(F.struct("paths", "counts")).alias("v"))  # one vote a page
+    field = {c: F.shiftright("z.counts", 16 * k).bitwiseAND(F.lit(0xFFFF)) for k, c in enumerate(("n", "content", "titles", "trail"))}
+    on_host = (each.select("lang", "host", F.explode(F.arrays_zip("v.paths", "v.counts")).alias("z"))
+               .groupBy(F.col("z.paths").alias("path"), "lang", "host")
+               .agg(F.count(F.lit(1)).alias("pages"), *(F.sum(f).alias(c) for c, f in field.items())))
     on_host = materialize(on_host, "path-votes")
     sizes = _places(records).where("content IS NOT NULL AND host IS NOT NULL").groupBy("host").agg(F.countDistinct("page").alias("all"))
     hosts = on_host.groupBy("lang", "host").agg(F.lit(1)).groupBy("lang").agg(F.count(F.lit(1)).alias("hosts"))
@@ -162,11 +184,12 @@ class PageReader:
         return got or (FURNITURE if own and h(key(text)) in own else 0)
 
     def covered(self, line: str, own: frozenset[int]) -> bool:
-        """Whether known entries or sentences make up half of a line's words."""
-        parts = entries(line)
-        pieces = [s for e in parts for s in sentences(e)]
+        """Whether known entries or sentences make up half of a line's words; the first or the last of them must be known."""
+        pieces = [s for e in entries(line) for s in sentences(e)]
         if len(pieces) < 2:
-            return self._glued(line, own) if len(line) <= 400 else False
+            return self._glued(line, own)
+        if not (self.known(pieces[0], own) or self.known(pieces[-1], own) or self._glued(pieces[0], own) or self._glued(pieces[-1], own)):
+            return False
         total = hit = 0
         for p in pieces:
             w = weight(p)
@@ -182,23 +205,24 @@ class PageReader:
             at = piece.find(" ", at + 1)
             if at < 0:
                 return False
-            if self.known(piece[:at], own) == FURNITURE and self.known(piece[at + 1:], own):
+            if self.winners.get(h(piece[:at])) == FURNITURE and self.known(piece[at + 1:], own):
                 return True
         return False
 
-    def recurrence(self, tokens: list[str], lag: int = 16) -> float:
-        """Share of the words, function words aside, that stand among the ``lag`` words before them too.
-
-        In prose it is small; in lists made of a few key words it is large and the gaps are short and regular.
-        """
+    @staticmethod
+    def recurring(tokens: list[str], lag: int = 16) -> np.ndarray:
+        """Whether each word stands among the ``lag`` words before it too: autocorrelation, lag by lag."""
         ids: dict[str, int] = {}
-        seq = np.array([ids.setdefault(t, len(ids)) for t in tokens if t not in self.function_words], np.int64)
-        if len(seq) < 6:
-            return 0.0
+        seq = np.array([ids.setdefault(t, len(ids)) for t in tokens], np.int64)
         hit = np.zeros(len(seq), bool)
-        for d in range(1, min(lag, len(seq) - 1) + 1):  # autocorrelation by lag
+        for d in range(1, min(lag, len(seq) - 1) + 1):
             hit[d:] |= seq[d:] == seq[:-d]
-        return float(hit.mean())
+        return hit
+
+    def recurrence(self, tokens: list[str]) -> float:
+        """Share of words, function words aside, that recur: small in prose, large in lists made of a few key words."""
+        content = [t for t in tokens if t not in self.function_words]
+        return float(self.recurring(content).mean()) if len(content) >= 6 else 0.0
 
     def tokens(self, line: str) -> list[str]:
         han = L._HAN.findall(line)
@@ -241,13 +265,28 @@ class PageReader:
                 out[i] = "P"
             else:
                 out[i] = "M"
-                shape[i] = "e" if is_entry(x) else "t"
+                shape[i] = "e" if is_entry(x) and not _LINK(x) else "t"
+        self._stuffed(rows, out)
         self._containers(rows, out, shape, own)
         return rows, ["F" if k == "B" else k for k in out]
 
+    def _stuffed(self, rows: list[str], out: list[str]) -> None:
+        """Key words made up as sentences: prose with few different words, which recur at short lags line after line."""
+        prose = [i for i, k in enumerate(out) if k == "P"]
+        text = " ".join([rows[i] for i in prose]).lower()
+        t = text.split() if text.isascii() or len(L._HAN.findall(text)) * 3 < len(text) else [text[i:i + 2] for i in range(len(text) - 1)]
+        if len(t) < 24 or len(set(t)) > 0.4 * len(t):
+            return
+        tokens = [self.tokens(rows[i]) for i in prose]
+        hit = self.recurring([w for u in tokens for w in u], 16 if text.isascii() or not L._HAN.search(text) else 32)
+        at = 0
+        for i, u in zip(prose, tokens):
+            if len(u) and hit[at:at + len(u)].mean() >= STUFFED:
+                out[i] = "K"
+            at += len(u)
+
     def _prose_like_furniture(self, x: str, own: frozenset[int]) -> bool:
-        first = sentences(x)
-        return len(x) <= 700 and (self.known(first[0], own) == FURNITURE or self._glued(first[0], own) or self.known(first[-1], own) == FURNITURE) and self.covered(x, own)
+        return len(x) <= 500 and self.covered(x, own)
 
     def _key_words(self, x: str) -> bool:
         """A line that by itself is a list of key words: hash tags, or many short parts between marks, without sentences."""
@@ -299,7 +338,7 @@ class PageReader:
             for i in undecided:
                 out[i] = "K"
             return
-        if len([i for i in undecided if shape[i] == "t"]) >= 12 and self._longest(shape, out, a, b) >= 12:
+        if self._longest(shape, a, b) >= LINKS and sum(shape[i] == "t" for i in undecided) * 3 >= len(undecided):
             for i in undecided:
                 out[i] = "X"
             return
@@ -332,15 +371,11 @@ class PageReader:
                 i += 1
 
     @staticmethod
-    def _longest(shape, out, a: int, b: int) -> int:
+    def _longest(shape: list[str], a: int, b: int) -> int:
         best = now = 0
-        below = False
         for i in range(a, b):
-            if shape[i] == "t":
-                now = now + 1
-                best = max(best, now)
-            else:
-                now = 0
+            now = now + 1 if shape[i] else 0
+            best = max(best, now)
         return best
 
     def _bare_list(self, rows, at: list[int]) -> bool:
