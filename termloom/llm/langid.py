@@ -78,11 +78,14 @@ class Model:
 
 def train(samples: list[tuple[str, str]], epochs: int = 30, alpha: float = 0.3, beta: float = 1.0, l1: float = 1e-3, l2: float = 1e-3,
           scale: float = 20.0, held_out: int = 5, seed: int = 3) -> Model:
-    """A model from ``(language, text)``; every ``held_out``-th text only serves to find the temperature.
+    """A model from ``(language, text)``; every ``held_out``-th text only serves to find the temperature. Without samples
+    every text is ``und``.
 
     Features are tf-idf values: the share of a sentence's n-grams, times ln(texts / texts with it) + 1, times ``scale``.
     """
     samples = sorted((lang, t) for lang, t in samples if lang and t and t.strip())[:MAX_SAMPLES]
+    if not samples:
+        return Model(("und",), np.zeros((len(ORDERS) * BUCKETS + 1, 1), np.float32), np.zeros(1, np.float32))
     languages = tuple(sorted({lang for lang, _ in samples}))
     width = len(ORDERS) * BUCKETS
     pieces = [(i, languages.index(lang), s) for i, (lang, t) in enumerate(samples) for s in {t.strip(), *sentences(t)}]
@@ -139,6 +142,9 @@ def train(samples: list[tuple[str, str]], epochs: int = 30, alpha: float = 0.3,
 def smooth(logp: np.ndarray, switch: float = 4.0) -> np.ndarray:
     """The most probable language of each sentence in a row, a change of language costing ``switch`` (Viterbi)."""
     n, k = logp.shape
+    alone = logp.argmax(axis=1)
+    if (alone == alone[0]).all():
+        return alone
     best, back = logp[0].copy(), np.zeros((n, k), np.int64)
     for i in range(1, n):
         j = int(best.argmax())

@@ -55,12 +55,22 @@ def ends_sentence(line: str) -> bool:
     return line.rstrip("\"'”»」’)] \t\r\ufffd")[-1:] in _STOPS
 
 
-def h(text: str) -> int:
-    """A 64-bit hash as a signed number."""
-    v = xxhash.xxh64_intdigest(text)
+def start_hash(words_: str) -> int:
+    return xxhash.xxh32_intdigest(words_) & 0xFFFF
+
+
+def h(k: str) -> int:
+    """A path's 64-bit hash as a signed number. Its low 16 bits are those of the first two words behind a leading mark (of the first alone
+    where no word follows), so a text can be told to be no known path by how it starts."""
+    t = k.split(" ", 3)
+    if len(t) > 1 and t[0] in _MARKS:
+        del t[0]
+    start = f"{t[0]} {t[1]}" if len(t) > 1 and t[1] != "N" else t[0]
+    v = xxhash.xxh64_intdigest(k) & ~0xFFFF | xxhash.xxh32_intdigest(start) & 0xFFFF
     return v - (1 << 64) if v >= 1 << 63 else v
 
 
+_MARKS = frozenset(["N", "N,", "N.", "N:", "N;"])
 _LABELS = {"eng": "en", "fra": "fr", "fre": "fr", "deu": "de", "ger": "de", "spa": "es", "ita": "it", "por": "pt", "nld": "nl", "dut": "nl", "lat": "la",
            "zho": "zh", "chi": "zh"}
 LANGUAGES = ("de", "en", "es", "fr", "it", "la", "nl", "pt", "zh")

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..runtime import materialize, small_side
 from . import lines as L
-from .lines import LANGUAGES, LINE_END, ends_sentence, entries, h, key, keys, label, sentences, weight, words
+from .lines import LINE_END, ends_sentence, entries, start_hash, h, key, keys, label, sentences, weight, words
 
 #: A path is furniture of a language where it stands on this share of its hosts, and on three hosts at least.
 HOST_SHARE = 0.035
@@ -169,43 +169,72 @@ class PageReader:
 
     def __init__(self, winners: dict[int, int], function_words: frozenset[str]):
         self.winners, self.function_words = winners, function_words
+        self.starts = frozenset(x & 0xFFFF for x in winners)
+        self.own = self.own_starts = frozenset()
         self._seen: dict[str, int] = {}
 
-    def known(self, text: str, own: frozenset[int]) -> int:
+    def may_start(self, text: str) -> bool:
+        """Whether the first words of a text, or those behind a name there, start any of the language's paths."""
+        t = text.split(" ", 8)
+        starts = self.starts
+        w = t[0]
+        if not w.isalpha() or start_hash(w) in starts:
+            return True
+        if len(t) == 1:
+            return False
+        if not t[1].isalpha() or start_hash(f"{w} {t[1]}") in starts:
+            return True
+        i = 0
+        while i < len(t) and (t[i][:1].isupper() or t[i] == "&"):  # a name may stand there
+            i += 1
+        if not 0 < i < len(t):
+            return i == len(t) and i > 2
+        if not t[i].isalpha() or start_hash(t[i]) in starts:
+            return True
+        return i + 1 < len(t) and (not t[i + 1].isalpha() or start_hash(f"{t[i]} {t[i + 1]}") in starts)
+
+    def known(self, text: str) -> int:
         """The kind of a line or entry by the language's and the host's votes; 0 if neither knows it."""
         got = self._seen.get(text)
         if got is None:
-            hashes = [h(k) for k in keys(text)]
-            got = next((self.winners[x] for x in hashes if x in self.winners), 0)
-            if got == HEADING and ends_sentence(text):
-                got = FURNITURE
+            got = 0
+            if self.may_start(text):
+                got = next((self.winners[x] for x in [h(k) for k in keys(text)] if x in self.winners), 0)
+                if got == HEADING and ends_sentence(text):
+                    got = FURNITURE
             if len(self._seen) < 200_000:
                 self._seen[text] = got
-        return got or (FURNITURE if own and h(key(text)) in own else 0)
+        if got or not self.own:
+            return got
+        t = text.split(" ", 2)
+        start = f"{t[0]} {t[1]}" if len(t) > 1 else t[0]
+        return FURNITURE if (start_hash(start) in self.own_starts or not start.replace(" ", "").isalpha()) and h(key(text)) in self.own else 0
 
-    def covered(self, line: str, own: frozenset[int]) -> bool:
+    def covered(self, line: str) -> bool:
         """Whether known entries or sentences make up half of a line's words; the first or the last of them must be known."""
         pieces = [s for e in entries(line) for s in sentences(e)]
         if len(pieces) < 2:
-            return self._glued(line, own)
-        if not (self.known(pieces[0], own) or self.known(pieces[-1], own) or self._glued(pieces[0], own) or self._glued(pieces[-1], own)):
+            return self._glued(line)
+        if not (self.known(pieces[0]) or self.known(pieces[-1]) or self._glued(pieces[0]) or self._glued(pieces[-1])):
             return False
         total = hit = 0
         for p in pieces:
             w = weight(p)
             total += w
-            if self.known(p, own) in (FURNITURE, BLOCK_HEAD) or self._glued(p, own):
+            if self.known(p) in (FURNITURE, BLOCK_HEAD) or self._glued(p):
                 hit += w
         return hit * 2 >= total > 0
 
-    def _glued(self, piece: str, own: frozenset[int]) -> bool:
+    def _glued(self, piece: str) -> bool:
         """Two known texts set one behind the other without a mark: the first has up to five words."""
+        t = piece.split(" ", 5)
+        if len(t) < 2:
+            return False
+        one, more = start_hash(t[0]) in self.starts, start_hash(f"{t[0]} {t[1]}") in self.starts
         at = 0
-        for _ in range(5):
-            at = piece.find(" ", at + 1)
-            if at < 0:
-                return False
-            if self.winners.get(h(piece[:at])) == FURNITURE and self.known(piece[at + 1:], own):
+        for n in range(1, len(t) if one or more else 1):
+            at += len(t[n - 1]) + (n > 1)
+            if (one if n == 1 else more) and self.winners.get(h(piece[:at])) == FURNITURE and self.known(piece[at + 1:]):
                 return True
         return False
 
@@ -236,7 +265,8 @@ class PageReader:
 
     def read(self, text: str, own: frozenset[int] = frozenset()) -> tuple[list[str], list[str]]:
         """``(lines, kinds)``; kinds are ``T`` title, blank ``_``, ``F`` furniture, ``K`` key words, ``X`` links, ``P`` prose, ``I`` list item, ``M`` other main text."""
-        rows = [x.strip() for x in LINE_END.split(text)]
+        self.own, self.own_starts = own, frozenset([x & 0xFFFF for x in own])
+        rows = [x.strip() for x in text.split("\n")]
         out = ["_"] * len(rows)
         out[0] = "T"
         title = rows[0]
@@ -245,21 +275,21 @@ class PageReader:
             x = rows[i]
             if not x:
                 continue
-            if len(x) > LONG_LINE and ends_sentence(x) and not self._prose_like_furniture(x, own):
+            if len(x) > LONG_LINE and ends_sentence(x) and not self._prose_like_furniture(x):
                 out[i] = "P"
                 continue
-            k = self.known(x, own)
+            k = self.known(x)
             if k == HEADING:
                 out[i] = "M"
             elif k:
                 out[i] = "F" if k == FURNITURE else "B"
             elif is_list_item(x):
                 out[i] = "I"
-            elif self.covered(x, own):
+            elif self.covered(x):
                 out[i] = "F"
             elif self._key_words(x):
                 out[i] = "K"
-            elif self._menu(x, own, title):
+            elif self._menu(x, title):
                 out[i] = "F"
             elif ends_sentence(x):
                 out[i] = "P"
@@ -267,7 +297,7 @@ class PageReader:
                 out[i] = "M"
                 shape[i] = "e" if is_entry(x) and not _LINK(x) else "t"
         self._stuffed(rows, out)
-        self._containers(rows, out, shape, own)
+        self._containers(rows, out, shape)
         return rows, ["F" if k == "B" else k for k in out]
 
     def _stuffed(self, rows: list[str], out: list[str]) -> None:
@@ -285,8 +315,8 @@ class PageReader:
                 out[i] = "K"
             at += len(u)
 
-    def _prose_like_furniture(self, x: str, own: frozenset[int]) -> bool:
-        return len(x) <= 500 and self.covered(x, own)
+    def _prose_like_furniture(self, x: str) -> bool:
+        return len(x) <= 500 and (self.known(x) or self.may_start(x) and self.covered(x))
 
     def _key_words(self, x: str) -> bool:
         """A line that by itself is a list of key words: hash tags, or many short parts between marks, without sentences."""
@@ -302,7 +332,7 @@ class PageReader:
         r = self.recurrence(t) if len(t) >= 12 else 0.0
         return r >= 0.6 or r >= 0.35 and self.bare(t)
 
-    def _menu(self, x: str, own: frozenset[int], title: str) -> bool:
+    def _menu(self, x: str, title: str) -> bool:
         parts = entries(x)
         if len(parts) < 2:
             return False
@@ -311,10 +341,10 @@ class PageReader:
         if any(ends_sentence(p) for p in parts):
             return False
         few = sum(weight(p) <= 4 for p in parts)
-        known = sum(self.known(p, own) in (FURNITURE, BLOCK_HEAD) for p in parts)
+        known = sum(self.known(p) in (FURNITURE, BLOCK_HEAD) for p in parts)
         return few == len(parts) and (len(parts) >= 3 or known >= 1)
 
-    def _containers(self, rows: list[str], out: list[str], shape: list[str], own: frozenset[int]) -> None:
+    def _containers(self, rows: list[str], out: list[str], shape: list[str]) -> None:
         # Runs of short lines that nothing but short lines and furniture interrupts.
         n, i = len(rows), 1
         while i < n:
@@ -328,10 +358,10 @@ class PageReader:
             a = i
             while a > 1 and out[a - 1] in ("F", "B"):
                 a -= 1
-            self._run(rows, out, shape, a, j, own)
+            self._run(rows, out, shape, a, j)
             i = j
 
-    def _run(self, rows, out, shape, a: int, b: int, own: frozenset[int]) -> None:
+    def _run(self, rows, out, shape, a: int, b: int) -> None:
         undecided = [i for i in range(a, b) if shape[i]]
         bare = self._bare_list(rows, undecided)
         if bare:
