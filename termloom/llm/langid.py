@@ -13,8 +13,9 @@ import numpy as np
 
 #: At most so many labelled texts are used for training.
 MAX_SAMPLES = 20_000
-ORDERS = (2, 3, 4)
-BUCKETS = 1 << 15
+ORDERS = (2, 4)
+BITS = 15
+BUCKETS = 1 << BITS
 _SPLIT = re.compile(r"(?<=[.!?。！？])\s+|(?<=[。！？])|\n+")
 
 
@@ -23,27 +24,27 @@ def sentences(text: str) -> list[str]:
 
 
 def grams(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
-    """For each order, the bucket of the n-gram at each character of all texts together (-1 at a text's end); and where texts start.
+    """For each order, the row of the weights for the n-gram at each character of all texts together (the last row, of zeroes, where
+    it would reach over its text's end); and where texts start.
 
-    Texts are lower-cased and stand between two spaces; digits are one character, runs of other marks stay as they are.
+    Texts are lower-cased and stand between two spaces; all digits are one character.
     """
     padded = [f" {t.lower()} " for t in texts]
-    starts = np.cumsum([0, *map(len, padded)])
-    codes = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    lengths = np.fromiter(map(len, padded), np.int64, len(padded))
+    ends = np.cumsum(lengths)
+    codes = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), np.uint32).copy()
     codes[(codes >= 48) & (codes <= 57)] = 48
-    left = np.repeat(starts[1:], np.diff(starts)) - np.arange(len(codes))  # characters to the end of the text
-    out, acc = [], np.zeros(len(codes), np.uint64)
-    with np.errstate(over="ignore"):
-        for n in range(1, max(ORDERS) + 1):
-            nxt = np.zeros(len(codes), np.uint64)
-            nxt[:len(codes) - n + 1] = codes[n - 1:]
-            acc = (acc + nxt) * np.uint64(0x9E3779B97F4A7C15)
-            acc ^= acc >> np.uint64(29)
-            if n in ORDERS:
-                b = ((acc * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(49)).astype(np.int64)
-                b[left < n] = -1
-                out.append(b)
-    return out, starts[:-1]
+    out, acc, none = [], codes * np.uint32(0x9E3779B1), len(ORDERS) * BUCKETS
+    for n in range(2, max(ORDERS) + 1):
+        acc = acc[:-1] * np.uint32(0x85EBCA6B) + codes[n - 1:] * np.uint32(0x9E3779B1)
+        acc ^= acc >> np.uint32(15)
+        if n in ORDERS:
+            b = np.full(len(codes), none, np.int32)
+            b[:len(acc)] = ((acc * np.uint32(0xC2B2AE35)) >> np.uint32(32 - BITS)).astype(np.int32) + ORDERS.index(n) * BUCKETS
+            for k in range(1, n):
+                b[np.maximum(ends - k, 0)] = none
+            out.append(b)
+    return out, ends - lengths
 
 
 @dataclass
@@ -53,8 +54,8 @@ class Model:
     bias: np.ndarray
     temperature: float = 1.0
 
-    def logits(self, texts: list[str], chunk: int = 150_000) -> np.ndarray:
-        """One row per text; not yet divided by the temperature."""
+    def logits(self, texts: list[str], chunk: int = 40_000) -> np.ndarray:
+        """One row per text; not yet divided by the temperature. Works on as many characters at a time as stay in the cache."""
         out, at = np.zeros((len(texts), len(self.languages)), np.float32), 0
         while at < len(texts):
             end, size = at, 0
@@ -62,11 +63,12 @@ class Model:
                 size += len(texts[end])
                 end += 1
             gs, starts = grams(texts[at:end])
-            total, count = 0, 0
-            for k, g in enumerate(gs):
-                total = total + self.weights[np.where(g >= 0, g + k * BUCKETS, len(self.weights) - 1)]
-                count = count + (g >= 0)
-            out[at:end] = np.add.reduceat(total, starts, axis=0) / np.maximum(1, np.add.reduceat(count, starts))[:, None] + self.bias
+            total = self.weights[gs[0]]
+            for g in gs[1:]:
+                total += self.weights[g]
+            n = np.diff(np.append(starts, len(gs[0])))
+            count = sum(np.maximum(0, n - (o - 1)) for o in ORDERS)
+            out[at:end] = np.add.reduceat(total, starts, axis=0) / np.maximum(1, count)[:, None] + self.bias
             at = end
         return out
 
@@ -76,7 +78,7 @@ class Model:
         return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
 
 
-def train(samples: list[tuple[str, str]], epochs: int = 30, alpha: float = 0.3, beta: float = 1.0, l1: float = 1e-3, l2: float = 1e-3,
+def train(samples: list[tuple[str, str]], epochs: int = 20, alpha: float = 0.3, beta: float = 1.0, l1: float = 1e-3, l2: float = 1e-3,
           scale: float = 20.0, held_out: int = 5, seed: int = 3) -> Model:
     """A model from ``(language, text)``; every ``held_out``-th text only serves to find the temperature. Without samples
     every text is ``und``.
@@ -95,7 +97,8 @@ def train(samples: list[tuple[str, str]], epochs: int = 30, alpha: float = 0.3,
     ends = np.append(starts[1:], len(gs[0]))
     rows = []
     for a, b in zip(starts, ends):
-        f = np.concatenate([g[a:b][g[a:b] >= 0] + k * BUCKETS for k, g in enumerate(gs)])
+        f = np.concatenate([g[a:b] for g in gs])
+        f = f[f < width]
         ids, n = np.unique(f, return_counts=True)
         rows.append((ids, n / len(f)))
     df = np.zeros(width)
@@ -135,7 +138,7 @@ def train(samples: list[tuple[str, str]], epochs: int = 30, alpha: float = 0.3,
             model.temperature = t
             return -float(model.log_probabilities(held)[np.arange(len(truth)), truth].mean())
 
-        model.temperature = min(np.geomspace(0.02, 8, 61), key=loss)
+        model.temperature = min(np.geomspace(0.3, 8, 41), key=loss)
     return model
 
 

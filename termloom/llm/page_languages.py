@@ -52,6 +52,13 @@ def _sentences_of(rows: list[str], kinds: list[str]) -> tuple[list[str], list[in
     return [], [], []
 
 
+def _prose_of(reader: PageReader, text: str, own: frozenset[int]) -> tuple[list[str], list[int], list[bool]]:
+    rows, kinds = reader.prose(text, own)
+    if "P" not in kinds:
+        rows, kinds = reader.read(text, own)
+    return _sentences_of(rows, kinds)
+
+
 def languages(records: DataFrame, samples: DataFrame, model: langid.Model | None = None) -> DataFrame:
     """``(record_id, label, lang, confidence, mixed, passages)`` of every record with content, repeated rows included.
 
@@ -67,7 +74,7 @@ def languages(records: DataFrame, samples: DataFrame, model: langid.Model | None
     rows = rows.join(small_side(of_host, "host-paths"), "host", "left").select("record_id", "content", "lang", "paths")
 
     def of_pages(reader: PageReader, pages: list[tuple]) -> list[tuple]:
-        parts = [_sentences_of(*reader.read(text, own)) for _, text, _, own in pages]
+        parts = [_prose_of(reader, text, own) for _, text, _, own in pages]
         flat = [s for p in parts for s in p[0]]
         if not flat:
             return []

@@ -20,19 +20,23 @@ from ..runtime import materialize, small_side
 from . import lines as L
 from .lines import LINE_END, ends_sentence, entries, start_hash, h, key, keys, label, sentences, weight, words
 
-#: A path is furniture of a language where it stands on this share of its hosts, and on three hosts at least.
-HOST_SHARE = 0.035
+#: Paths on a smaller share of a language's hosts have no vote beyond their own host.
+HOST_SHARE = 0.01
+#: Hosts with so many pages tell by their share of pages with a path whether it is the site's (most of them) or a page's own (few).
+CONSENSUS_PAGES, SITE, OWN = 3, 0.4, 0.25
+#: Without such hosts, a path is furniture where it stands on this share of a language's hosts, and on three at least.
+FREQUENT = 0.05
 #: A path is furniture of a host where it stands on this share of its pages, and on three at least.
 PAGE_SHARE = 0.5
 LONG_LINE = 160
 #: Share of recurring words from which prose counts as key words; that of sentences is below a third.
-STUFFED = 0.45
+STUFFED = 0.4
 #: So many titles or addresses one below the other are a list of links, not a block of furniture.
 LINKS = 12
 _LINK = re.compile(r"^\W*(?:https?://|www\.)").match
 FURNITURE, BLOCK_HEAD, HEADING = 1, 2, 3
 _URL = re.compile(r"https?://\S+|www\.\S+")
-_MEASURE = re.compile(r"^\d+\s+\S{1,3}\s+\S")
+_MEASURE = re.compile(r"^\d+\s+[^\W\d_]{1,3}\s+[^\W\d_]")
 _PAIR = re.compile(r"^[^:：]{1,60}[:：]\s*[^:：]{1,40}[,，]\s*\d+$")
 _SOURCE = re.compile(r"^\s*\[\d+\]\s")
 _VOTES = "lang string, host bigint, page bigint, paths array<bigint>, counts array<bigint>"
@@ -134,8 +138,8 @@ def _places(records: DataFrame) -> DataFrame:
 def vote(records: DataFrame) -> tuple[dict[int, int], DataFrame]:
     """``(winning paths of languages, (host, paths) of hosts)``.
 
-    Later captures of a url and repeated rows vote once. The language's winners are few: each stands on a share HOST_SHARE of its hosts, so
-    there are at most (paths of an average host) / HOST_SHARE of them, whatever the size of the crawl.
+    Later captures of a url and repeated rows vote once. The languages' winners are few: each stands on a share HOST_SHARE of a
+    language's hosts, so there are at most (paths of an average host) / HOST_SHARE of them a language, whatever the size of the crawl.
     """
     raw = _places(records).select("content", "lang", "host", "page").mapInArrow(_first_pass, _VOTES)
     each = raw.groupBy("lang", "host", "page").agg(F.max(F.struct("paths", "counts")).alias("v"))  # one vote a page
@@ -144,23 +148,38 @@ def vote(records: DataFrame) -> tuple[dict[int, int], DataFrame]:
                .groupBy(F.col("z.paths").alias("path"), "lang", "host")
                .agg(F.count(F.lit(1)).alias("pages"), *(F.sum(f).alias(c) for c, f in field.items())))
     on_host = materialize(on_host, "path-votes")
-    sizes = _places(records).where("content IS NOT NULL AND host IS NOT NULL").groupBy("host").agg(F.countDistinct("page").alias("all"))
+    sizes = _places(records).where("octet_length(content) > 0 AND host IS NOT NULL").groupBy("host").agg(F.countDistinct("page").alias("all"))
+    sizes = small_side(sizes.where(F.col("all") >= CONSENSUS_PAGES), "host-sizes")
     hosts = on_host.groupBy("lang", "host").agg(F.lit(1)).groupBy("lang").agg(F.count(F.lit(1)).alias("hosts"))
-    of_lang = (on_host.groupBy("path", "lang").agg(F.count("host").alias("h"), *(F.sum(c).alias(c) for c in ("n", "content", "titles", "trail")))
-               .where("h >= 3").join(F.broadcast(hosts), "lang").groupBy("path")  # at most ten languages
-               .agg(F.max(F.col("h") / F.col("hosts")).alias("share"), *(F.sum(c).alias(c) for c in ("n", "content", "titles", "trail")))
+    votes = on_host.join(sizes, "host", "left")
+    part = {c: F.sum(F.least(F.col(c) / F.greatest("n", F.lit(1)), F.lit(1.0))).alias(c) for c in ("content", "titles", "trail")}
+    of_lang = (votes.groupBy("path", "lang").agg(F.count("host").alias("h"), F.count_if(F.col("n") > 0).alias("n"), *part.values(),
+                                                 F.count("all").alias("judges"), F.sum(F.col("pages") / F.col("all")).alias("agree"))
+               .where("h >= 2").join(F.broadcast(hosts), "lang").groupBy("path")  # at most ten languages
+               .agg(F.max(F.col("h") / F.col("hosts")).alias("share"), *(F.sum(c).alias(c) for c in ("h", "n", "content", "titles", "trail", "judges", "agree")))
                .where(F.col("share") >= HOST_SHARE))
-    winners = {r["path"]: kind(r["n"], r["content"], r["titles"], r["trail"]) for r in of_lang.collect()}  # bounded, see above
-    of_host = (on_host.where("pages >= 3").join(sizes, "host").where(F.col("pages") >= PAGE_SHARE * F.col("all"))
+    winners = {r["path"]: k for r in of_lang.collect() if (k := kind(**{c: r[c] for c in r.asDict() if c != "path"}))}  # bounded, see above
+    of_host = (votes.where("pages >= 3").where(F.col("pages") >= PAGE_SHARE * F.col("all"))
                .groupBy("host").agg(F.collect_set("path").alias("paths")))  # at most (paths of an average page) / PAGE_SHARE each
     return winners, of_host
 
 
-def kind(n: int, content: int, titles: int, trail: int) -> int:
-    """What a frequent path is: always before content and never behind it, a heading of the text; before titles, a heading of links."""
-    if n and content >= 0.88 * n and trail <= 0.02 * n:
-        return HEADING
-    return BLOCK_HEAD if n and titles >= 0.6 * n else FURNITURE
+def kind(share: float, h: int, n: int, content: float, titles: float, trail: float, judges: int, agree: float) -> int:
+    """What a path is, from host averages; 0 for nothing in particular.
+
+    Where hosts with several pages know it, their consensus decides: on most pages of each it is furniture. On few it is the pages' own, as
+    headings are, unless it is frequent and mostly stands behind the text, as what changes from page to page around it does. Without
+    such hosts a frequent path is furniture, unless it always stands before content and never behind it. Furniture before titles
+    is a heading of links.
+    """
+    furniture = BLOCK_HEAD if n and titles >= 0.6 * n else FURNITURE
+    if judges and agree >= SITE * judges:
+        return furniture
+    if share < FREQUENT or h < 3:
+        return HEADING if judges and agree < OWN * judges and trail <= 0.1 * n and share >= FREQUENT / 2 else 0
+    if judges:
+        return HEADING if trail <= 0.1 * n else furniture if trail >= 0.3 * n else 0
+    return HEADING if n and content >= 0.88 * n and trail <= 0.02 * n else furniture
 
 
 # --- second pass ---
@@ -278,13 +297,14 @@ class PageReader:
             if len(x) > LONG_LINE and ends_sentence(x) and not self._prose_like_furniture(x):
                 out[i] = "P"
                 continue
+            if is_list_item(x):
+                out[i] = "I"
+                continue
             k = self.known(x)
             if k == HEADING:
                 out[i] = "M"
             elif k:
                 out[i] = "F" if k == FURNITURE else "B"
-            elif is_list_item(x):
-                out[i] = "I"
             elif self.covered(x):
                 out[i] = "F"
             elif self._key_words(x):
@@ -300,6 +320,18 @@ class PageReader:
         self._containers(rows, out, shape)
         return rows, ["F" if k == "B" else k for k in out]
 
+    def prose(self, text: str, own: frozenset[int] = frozenset()) -> tuple[list[str], list[str]]:
+        """``read`` for those who only want sentences: lines that end none are left as ``_`` and not looked at."""
+        self.own, self.own_starts = own, frozenset([x & 0xFFFF for x in own])
+        rows = [x.strip() for x in text.split("\n")]
+        out = ["_"] * len(rows)
+        for i in range(1, len(rows)):
+            x = rows[i]
+            if x and ends_sentence(x) and not (self._prose_like_furniture(x) if len(x) > LONG_LINE else is_list_item(x) or self.known(x) or self.covered(x)):
+                out[i] = "P"
+        self._stuffed(rows, out)
+        return rows, out
+
     def _stuffed(self, rows: list[str], out: list[str]) -> None:
         """Key words made up as sentences: prose with few different words, which recur at short lags line after line."""
         prose = [i for i, k in enumerate(out) if k == "P"]
@@ -307,7 +339,7 @@ class PageReader:
         t = text.split() if text.isascii() or len(L._HAN.findall(text)) * 3 < len(text) else [text[i:i + 2] for i in range(len(text) - 1)]
         if len(t) < 24 or len(set(t)) > 0.4 * len(t):
             return
-        tokens = [self.tokens(rows[i]) for i in prose]
+        tokens = [[w for w in self.tokens(rows[i]) if w not in self.function_words] for i in prose]
         hit = self.recurring([w for u in tokens for w in u], 16 if text.isascii() or not L._HAN.search(text) else 32)
         at = 0
         for i, u in zip(prose, tokens):
@@ -360,6 +392,21 @@ class PageReader:
                 a -= 1
             self._run(rows, out, shape, a, j)
             i = j
+        # What is left between furniture and more furniture, or the end, belongs to it: a heading has its text below.
+        before, i = "T", 1
+        while i < n:
+            if out[i] == "M" and shape[i] and before in "FB":
+                j = i
+                while j < n and (out[j] == "_" or out[j] == "M" and shape[j]):
+                    j += 1
+                if j == n or out[j] in "FB":
+                    for k in range(i, j):
+                        out[k] = "F" if out[k] == "M" else out[k]
+                before = out[j - 1] if out[j - 1] != "_" else before
+                i = j
+            else:
+                before = out[i] if out[i] != "_" else before
+                i += 1
 
     def _run(self, rows, out, shape, a: int, b: int) -> None:
         undecided = [i for i in range(a, b) if shape[i]]

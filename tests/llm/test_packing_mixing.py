@@ -55,7 +55,7 @@ def test_pack(spark):
 def test_token_counts(spark):
     df = spark.createDataFrame([("",), (None,), ("hello world",), ("a" * 200_000,), ("<|endoftext|>",)], "text string")
     got = [r[0] for r in df.select(tokens.token_count(F.col("text"))).collect()]
-    assert got[:3] == [0, 0, 2] and got[3] > 1000 and got[4] > 1
+    assert got[:2] == [0, 0] and 2 <= got[2] <= 3 and got[3] > 1000 and got[4] > 1
 
 
 @settings(max_examples=200)
