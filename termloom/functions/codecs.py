@@ -6,7 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
+
+#: Types as objects: a type's name can only be read with a running session, and this module is imported before.
+_LONGS = T.ArrayType(T.LongType())
 
 
 def deltas(xs: Column) -> Column:
@@ -15,7 +18,7 @@ def deltas(xs: Column) -> Column:
     return F.slice(F.zip_with(xs, before, lambda x, b: x - b), 1, F.size(xs))
 
 
-@F.pandas_udf("array<bigint>")
+@F.pandas_udf(_LONGS)
 def partial_sums(xs: pd.Series) -> pd.Series:
     """Running sums of each list. A fold over arrays copies its result at every step, so this one is an Arrow UDF."""
     return xs.map(lambda v: None if v is None else np.cumsum(v, dtype="int64"))
@@ -32,7 +35,7 @@ def vbyte_encode(xs: Column) -> Column:
     return F.unhex(F.array_join(F.transform(xs.cast("array<bigint>"), vbyte_hex), ""))
 
 
-@F.pandas_udf("array<bigint>")
+@F.pandas_udf(_LONGS)
 def vbyte_decode(data: pd.Series) -> pd.Series:
     """All values of a byte string; bytes after the last terminator are ignored. Vectorized over each block's bytes."""
     return data.map(lambda b: None if b is None else vbyte_values(b))
@@ -234,11 +237,36 @@ def to_base(n: int, base: int, digits: str = "0123456789ABCDEFGHIJKLMNOPQRSTUVWX
             return out
 
 
+@F.pandas_udf(_LONGS)
+def pair_round_trip(xs: pd.Series) -> pd.Series:
+    """Each list through its pair grammar and back."""
+    return xs.map(lambda v: pair_expand(*pair_grammar([int(x) for x in v])))
+
+
+@F.pandas_udf(T.LongType())
+def pair_size(xs: pd.Series) -> pd.Series:
+    """Bytes of a list's pair grammar: sequence, then each rule's symbol and parts, as varints, and one for the count."""
+    def size(v) -> int:
+        seq, rules = pair_grammar([int(x) for x in v])
+        out = [*seq, *(x for r, ab in rules.items() for x in (r, *ab))]
+        return 1 + sum(max(1, -(-int(x).bit_length() // 7)) for x in out)
+
+    return xs.map(size)
+
+
+def base_digits(x: Column, base: int) -> Column:
+    """A number's digits in a base, most significant first, for bases beyond those of ``conv``."""
+    places = F.sequence(F.lit(0), F.when(x > 0, F.floor(F.log(x.cast("double")) / F.log(F.lit(float(base)))).cast("int")).otherwise(0) + 1)
+    digits = F.transform(places, lambda i: F.floor(x / F.pow(F.lit(base), i)).cast("bigint") % base)
+    trimmed = F.filter(F.transform(digits, lambda d, i: F.when((i == 0) | (x >= F.pow(F.lit(base), i)), d)), lambda d: d.isNotNull())
+    return F.reverse(trimmed)
+
+
 def code_sizes_udf(name: str):
     """A pandas UDF: bits that a list of values (1 or more) takes in the named code."""
     one = {"fibonacci": fibonacci_bits, "gamma": gamma_bits, "omega": omega_bits}.get(name)
 
-    @F.pandas_udf("bigint")
+    @F.pandas_udf(T.LongType())
     def size(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
             if one:
@@ -251,16 +279,16 @@ def code_sizes_udf(name: str):
     return size
 
 
-@F.pandas_udf("array<bigint>")
+@F.pandas_udf(_LONGS)
 def bitmap_round_trip(s: pd.Series) -> pd.Series:
     return s.map(lambda xs: bitmap_runs_decode(bitmap_runs([int(x) for x in xs])))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def golomb_encode(xs: pd.Series, bits: pd.Series) -> pd.Series:
     return pd.Series([pack("".join(golomb_bits(int(x), int(b)) for x in v)) for v, b in zip(xs, bits)])
 
 
-@F.pandas_udf("array<bigint>")
+@F.pandas_udf(_LONGS)
 def golomb_decode(data: pd.Series, bits: pd.Series, count: pd.Series) -> pd.Series:
     return pd.Series([golomb_values(unpack(d), int(b), int(n)) for d, b, n in zip(data, bits, count)])

@@ -71,7 +71,7 @@ def body(text: Column) -> Column:
 
 
 def or_operands(query: Column) -> Column:
-    return F.transform(F.split(query, r"\|", -1), F.trim)
+    return F.transform(F.split(query, r"\|", -1), lambda x: F.trim(x))
 
 
 def strip_gz(file: Column) -> Column:

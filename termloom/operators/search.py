@@ -7,7 +7,7 @@ import re
 import time
 from collections import OrderedDict
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import ranking
 from .index import Index
@@ -39,6 +39,21 @@ def matches(index: Index, terms: list[str], mode: str = "or", strict: bool = Fal
     return docs.where(F.col("k") == needed)
 
 
+def batch(index: Index, queries: DataFrame, length: int = PAGE, max_terms: int = 1_000_000) -> DataFrame:
+    """``(query_id, doc_id, est, rank)``: the best documents of each of many OR queries, given as rows ``(query_id, term)``.
+
+    The queries' terms are broadcast up to ``max_terms`` rows and shuffled beyond; a query's page is cut by the group limit before
+    the exchange. Repeated and unknown terms don't count.
+    """
+    asked = queries.where("term IS NOT NULL").select("query_id", "term").distinct()
+    n = F.lit(float(index.stats["n_docs"]))
+    wanted = asked.join(index.terms, "term").select("query_id", "term", ranking.idf(n, F.col("df")).alias("idf"))
+    side = F.broadcast(wanted) if queries.count() <= max_terms else wanted
+    scores = index.postings.join(side, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("idf") * F.col("score")), 6).alias("est"))
+    w = Window.partitionBy("query_id").orderBy(F.desc("est"), F.desc("doc_id"))
+    return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= length)
+
+
 def page_of(ranked: DataFrame, page: int = 0, length: int = PAGE) -> DataFrame:
     return ranked.orderBy(F.desc("est"), F.desc("doc_id")).offset(page * length).limit(length)
 

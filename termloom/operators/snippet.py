@@ -6,7 +6,7 @@ import heapq
 import re
 
 import pandas as pd
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 _PARTS = re.compile(r"(\W+)")
 #: Chinese words are shorter, so a snippet may have so many times as many.
@@ -52,6 +52,6 @@ def _best(rows: list[list[str]], keywords: list[str], n: int, budget: int) -> tu
     return [c for c, _ in heapq.nlargest(3, found)], ["".join(t) for _, t in top]
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def snippets_udf(content: pd.Series, keywords: pd.Series, lang: pd.Series) -> pd.Series:
     return pd.Series([snippets(c, list(k), lang=g) for c, k, g in zip(content, keywords, lang)])

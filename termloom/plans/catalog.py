@@ -150,12 +150,12 @@ def lexicon_validate(spark, sf_dir):
 
 # --- posting blocks and codecs ---
 _GAPS = "SELECT term, doc_id, doc_id - lag(doc_id, 1, 0) OVER (PARTITION BY term, block_no ORDER BY doc_id) AS delta FROM (SELECT *, (row_number() OVER (PARTITION BY term ORDER BY doc_id) - 1) // 128 AS block_no FROM p)"
-_P = "WITH p AS (SELECT term, doc_id, max(freq)::BIGINT AS tf, max(score) AS score FROM postings WHERE seg_id = 0 AND doc_id IS NOT NULL AND term IS NOT NULL AND score IS NOT NULL GROUP BY ALL)"
+_P = "WITH p AS (SELECT term, doc_id, max(freq)::BIGINT AS tf, max(score) AS score FROM postings WHERE doc_id IS NOT NULL AND term IS NOT NULL AND score IS NOT NULL GROUP BY ALL)"
 
 
 def _segment(spark, sf_dir):
-    """The lists of the first index segment, each posting once."""
-    p = table(spark, sf_dir, "postings").where("seg_id = 0 AND doc_id IS NOT NULL AND term IS NOT NULL AND score IS NOT NULL")
+    """The lists of all index segments as one index, each posting once."""
+    p = table(spark, sf_dir, "postings").where("doc_id IS NOT NULL AND term IS NOT NULL AND score IS NOT NULL")
     return p.groupBy("term", "doc_id").agg(F.max("freq").cast("bigint").alias("tf"), F.max("score").alias("score"))
 
 
@@ -197,9 +197,9 @@ def next_geq(spark, sf_dir):
     return index.next_geq(_segment(spark, sf_dir), "the", 100)
 
 
-def _lists(spark, sf_dir):
-    """Each term's doc_ids in order, in blocks of 2,048 at most, so that no list is held whole."""
-    b = index.blocks(_segment(spark, sf_dir))
+def _lists(spark, sf_dir, size=index.BLOCK):
+    """Each term's doc_ids in order, in blocks, so that no list is held whole."""
+    b = index.blocks(_segment(spark, sf_dir), size)
     return b.select("term", "block_no", codecs.vbyte_decode(F.col("ids")).alias("gaps"))
 
 
@@ -447,3 +447,83 @@ def detect_language(spark, sf_dir):
 def detect_language_restricted(spark, sf_dir):
     model = language.train(table(spark, sf_dir, "lang_samples"))
     return language.detect(_documents(spark, sf_dir), model, "doc_id", languages=list(index.INDEX_LANGUAGES))
+
+
+# --- further forms ---
+@query("average_list_length", _ALL + " SELECT sum(df) / count(*) AS mean FROM terms_")
+def average_list_length(spark, sf_dir):
+    return the_index(spark, sf_dir).terms.agg((F.sum("df") / F.count(F.lit(1))).alias("mean"))
+
+
+@query("sorted_lexicon", f"WITH {_POST} SELECT term, doc_id, tf, row_number() OVER (ORDER BY term, doc_id) AS n FROM post")
+def sorted_lexicon(spark, sf_dir):
+    """The merged, globally sorted stream with the place of each line, sorted by range partitions."""
+    return ids.number_rows(index.lexicon(_documents(spark, sf_dir)), ["term", "doc_id"])
+
+
+@query("run_merge", "SELECT term, doc_id, freq FROM lexicon WHERE chunk_no % 2 = 0 UNION ALL SELECT term, doc_id, freq FROM lexicon WHERE chunk_no % 2 <> 0 OR chunk_no IS NULL")
+def run_merge(spark, sf_dir):
+    """Two sorted runs as one sorted stream; together they are the whole table."""
+    lex = table(spark, sf_dir, "lexicon").select("term", "doc_id", "freq", "chunk_no")
+    even = F.coalesce(F.col("chunk_no") % 2 == 0, F.lit(False))
+    runs = [lex.where(c).drop("chunk_no").sortWithinPartitions("term", "doc_id") for c in (even, ~even)]
+    return runs[0].unionByName(runs[1]).repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
+
+
+@query("unscored_postings", f"{_P} SELECT term, doc_id, tf FROM p")
+def unscored_postings(spark, sf_dir):
+    return _segment(spark, sf_dir).select("term", "doc_id", "tf")
+
+
+@query("unknown_terms", "SELECT DISTINCT term FROM lexicon WHERE term <> '' AND term NOT IN (SELECT term FROM terms WHERE term IS NOT NULL)")
+def unknown_terms(spark, sf_dir):
+    """Words of the lexicon that no index segment holds, as a spelling check finds them."""
+    words = table(spark, sf_dir, "lexicon").where("term <> ''").select("term").distinct()
+    return words.join(table(spark, sf_dir, "terms").where("term IS NOT NULL").select("term"), "term", "left_anti")
+
+
+@query("joined_lengths", "SELECT l.term, l.doc_id, sum(l.freq)::BIGINT AS tf, max(d.len) AS len FROM lexicon l JOIN (SELECT DISTINCT doc_id, len FROM docs WHERE len IS NOT NULL) d USING (doc_id) WHERE l.term <> '' GROUP BY ALL")
+def joined_lengths(spark, sf_dir):
+    """Posting with its document's length; the lexicon is aggregated before the join."""
+    tf = table(spark, sf_dir, "lexicon").where("term <> ''").groupBy("term", "doc_id").agg(F.sum("freq").cast("bigint").alias("tf"))
+    lengths = table(spark, sf_dir, "docs").where("len IS NOT NULL").select("doc_id", "len").distinct()
+    return tf.join(lengths, "doc_id").groupBy("term", "doc_id", "tf").agg(F.max("len").alias("len"))
+
+
+@query("codec_diff_sizes", f"{_P}, b AS (SELECT *, ((row_number() OVER (PARTITION BY term ORDER BY doc_id) - 1) // 2048)::INT AS block_no FROM p)"
+       f" SELECT term, block_no, sum({_sql_groups(7).replace('gap', 'doc_id')})::BIGINT AS plain FROM b GROUP BY term, block_no")
+def codec_diff_sizes(spark, sf_dir):
+    """Bytes of each block without gaps, to set against ``codec_sizes``."""
+    return _lists(spark, sf_dir).select("term", "block_no", codecs.varint_size(codecs.partial_sums(F.col("gaps"))).alias("plain"))
+
+
+@query("pair_roundtrip", f"{_P} SELECT term, doc_id FROM p")
+def pair_roundtrip(spark, sf_dir):
+    """Gaps through a pair grammar and back, in blocks of 256: the codec is quadratic in a block."""
+    b = _lists(spark, sf_dir, 256)
+    return b.select("term", F.explode(codecs.partial_sums(codecs.pair_round_trip("gaps"))).alias("doc_id"))
+
+
+@query("base_62_ids", "SELECT DISTINCT doc_id, CASE WHEN doc_id < 62 THEN [doc_id] WHEN doc_id < 3844 THEN [doc_id // 62, doc_id % 62] WHEN doc_id < 238328 THEN [doc_id // 3844, doc_id // 62 % 62, doc_id % 62]"
+       " ELSE [doc_id // 238328, doc_id // 3844 % 62, doc_id // 62 % 62, doc_id % 62] END AS digits FROM docs")
+def base_62_ids(spark, sf_dir):
+    return table(spark, sf_dir, "docs").select("doc_id").distinct().select("doc_id", codecs.base_digits(F.col("doc_id"), 62).alias("digits"))
+
+
+@query("adjacent_chunks", f"WITH t AS (SELECT doc_id, {_SPLIT} AS x FROM documents), w AS (SELECT doc_id, x, unnest(range(1, len(x) + 1, 10)) AS i FROM t),"
+       " c AS (SELECT doc_id, (i - 1) // 10 AS n, len(list_filter(list_slice(x, i, i + 9), lambda v: v = 'the')) AS hits FROM w)"
+       " SELECT doc_id, max(pair)::INT AS best FROM (SELECT doc_id, hits + lead(hits, 1, 0) OVER (PARTITION BY doc_id ORDER BY n) AS pair FROM c) GROUP BY doc_id")
+def adjacent_chunks(spark, sf_dir):
+    """The most occurrences of a keyword in two neighbouring chunks of ten words."""
+    counts = F.transform(text.sliding(text.words(F.col("text")), 10, 10), lambda c: F.size(F.filter(c, lambda v: v == "the")))
+    best = text.let(counts, lambda c: F.array_max(F.zip_with(c, F.concat(F.slice(c, 2, F.size(c)), F.array(F.lit(0))), lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)))))
+    return _documents(spark, sf_dir).where("text IS NOT NULL").select("doc_id", best.alias("best"))
+
+
+@query("batch_search", _ALL + ", qs AS (SELECT * FROM (VALUES (1, 'the'), (1, 'and'), (2, 'der'), (2, 'und'), (3, 'les')) AS v(query_id, term)),"
+       " s AS (SELECT query_id, doc_id, round(sum(idf * score), 6) AS est FROM qs JOIN im USING (term) GROUP BY ALL)"
+       " SELECT query_id, doc_id, est, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY est DESC, doc_id DESC) AS rank FROM s) WHERE rank <= 10")
+def batch_search(spark, sf_dir):
+    """Many queries at once, each with its ten best documents."""
+    queries = spark.createDataFrame([(1, "the"), (1, "and"), (2, "der"), (2, "und"), (3, "les")], "query_id int, term string")
+    return search.batch(the_index(spark, sf_dir), queries)

@@ -16,9 +16,9 @@ def write_lexicon(lexicon: DataFrame, path: str) -> None:
 def read_lexicon(spark: SparkSession, path: str) -> DataFrame:
     """Terms never hold a tab; lines of another form give nulls, see ``invalid_lines``."""
     value = F.split("value", "\t", 2)
-    pair = F.split(value[1], " ", 2)
+    pair = F.split(F.try_element_at(value, F.lit(2)), " ", 2)
     return spark.read.text(path).select(
-        value[0].alias("term"), F.try_element_at(pair, F.lit(1)).try_cast("bigint").alias("doc_id"),
+        F.try_element_at(value, F.lit(1)).alias("term"), F.try_element_at(pair, F.lit(1)).try_cast("bigint").alias("doc_id"),
         F.try_element_at(pair, F.lit(2)).try_cast("int").alias("tf"))
 
 
