@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..runtime import small_side
 from . import langid
 from .lines import label
-from .pages import PageReader, _decoded, _places, function_words, vote
+from .pages import HOSTS_IN_MEMORY, PageReader, _decoded, _places, function_words, vote
 
 #: So many sentences in a row make a passage count as a language of its record.
 PASSAGE = 3
@@ -71,7 +71,7 @@ def languages(records: DataFrame, samples: DataFrame, model: langid.Model | None
     words_ = function_words(samples)
     model = model or train(samples)
     rows = _places(records).where("octet_length(content) > 0").select("record_id", "content", "lang", "host")
-    rows = rows.join(small_side(of_host, "host-paths"), "host", "left").select("record_id", "content", "lang", "paths")
+    rows = rows.join(small_side(of_host, "host-paths", HOSTS_IN_MEMORY), "host", "left").select("record_id", "content", "lang", "paths")
 
     def of_pages(reader: PageReader, pages: list[tuple]) -> list[tuple]:
         parts = [_prose_of(reader, text, own) for _, text, _, own in pages]

@@ -26,6 +26,8 @@ HOST_SHARE = 0.01
 CONSENSUS_PAGES, SITE, OWN = 3, 0.4, 0.25
 #: Without such hosts, a path is furniture where it stands on this share of a language's hosts, and on three at least.
 FREQUENT = 0.05
+#: The hosts' paths (some hundred numbers a host) go to every task up to so many hosts; beyond, pages are shuffled to them.
+HOSTS_IN_MEMORY = 50_000
 #: A path is furniture of a host where it stands on this share of its pages, and on three at least.
 PAGE_SHARE = 0.5
 LONG_LINE = 160
@@ -71,31 +73,35 @@ class Voter:
     def __init__(self):
         self._seen: dict[str, tuple] = {}
 
-    def look(self, x: str) -> tuple[tuple[int, ...], bool, bool, tuple[int, ...]]:
-        """``(path hashes, is content, is a title, path hashes of its entries)`` of a line; frequent lines are looked at once."""
+    def look(self, x: str) -> tuple[tuple[int, ...], int, int, tuple[int, ...], bool]:
+        """``(path hashes, is content, is a title, path hashes of its entries, is a paragraph)`` of a line; frequent lines are looked at once."""
         got = self._seen.get(x)
         if got is None:
-            content = is_paragraph(x) or is_list_item(x)
+            para = is_paragraph(x)
             if len(x) > LONG_LINE:
-                return (), content, False, ()
+                return (), para << 16, 0, (), para
+            content = para or is_list_item(x)
             parts = entries(x)
-            inner = tuple(h(k) for e in parts if len(e) <= 60 for k in keys(e)) if len(parts) > 1 else ()
-            got = (tuple([h(k) for k in keys(x)]), content, not content and is_title(x), inner)
+            inner = tuple([h(k) for e in parts if len(e) <= 60 for k in keys(e)]) if len(parts) > 1 else ()
+            got = (tuple([h(k) for k in keys(x)]), content << 16, (not content and is_title(x)) << 32, inner, para and len(x) > 60)
             if len(self._seen) < 100_000:
                 self._seen[x] = got
         return got
 
     def votes(self, text: str) -> dict[int, int]:
         """By path: lines, of them followed by content, followed by a title, behind the last paragraph, in 16 bits each."""
-        rows = [y for y in [x.strip() for x in LINE_END.split(text)[1:]] if y]
-        seen = [self.look(x) for x in rows]
-        last = max((i for i, x in enumerate(rows) if len(x) > 60 and seen[i][1] and is_paragraph(x)), default=-1)
+        look = self.look
+        seen = [look(y) for y in [x.strip() for x in text.split("\n")[1:]] if y]
+        last = len(seen) - 1
+        while last >= 0 and not seen[last][4]:
+            last -= 1
         got: dict[int, int] = {}
-        for i, (paths, _, _, inner) in enumerate(seen):
+        end = len(seen) - 1
+        for i, (paths, _, _, inner, _) in enumerate(seen):
             if paths:
                 add = 1 | (i > last) << 48
-                if i + 1 < len(seen):
-                    add |= seen[i + 1][1] << 16 | seen[i + 1][2] << 32
+                if i < end:
+                    add |= seen[i + 1][1] | seen[i + 1][2]
                 for k in paths:
                     got[k] = got.get(k, 0) + add
                 for k in inner:  # as an entry of a line it counts as behind the text: headings are never entries
@@ -305,7 +311,7 @@ class PageReader:
                 out[i] = "M"
             elif k:
                 out[i] = "F" if k == FURNITURE else "B"
-            elif self.covered(x):
+            elif self.may_start(x) and self.covered(x):
                 out[i] = "F"
             elif self._key_words(x):
                 out[i] = "K"
@@ -327,7 +333,7 @@ class PageReader:
         out = ["_"] * len(rows)
         for i in range(1, len(rows)):
             x = rows[i]
-            if x and ends_sentence(x) and not (self._prose_like_furniture(x) if len(x) > LONG_LINE else is_list_item(x) or self.known(x) or self.covered(x)):
+            if x and ends_sentence(x) and not (self._prose_like_furniture(x) if len(x) > LONG_LINE else is_list_item(x) or self.known(x) or self.may_start(x) and self.covered(x)):
                 out[i] = "P"
         self._stuffed(rows, out)
         return rows, out
@@ -348,7 +354,12 @@ class PageReader:
             at += len(u)
 
     def _prose_like_furniture(self, x: str) -> bool:
-        return len(x) <= 500 and (self.known(x) or self.may_start(x) and self.covered(x))
+        """Notices set one behind the other to a long line; the first of them must be known."""
+        if len(x) > 500 or not self.may_start(x):
+            return False
+        end = L.first_stop(x)
+        first = x[:end.start() + 1] if end else x
+        return (self.known(first) > 0 or self._glued(first)) and self.covered(x)
 
     def _key_words(self, x: str) -> bool:
         """A line that by itself is a list of key words: hash tags, or many short parts between marks, without sentences."""
@@ -497,7 +508,7 @@ def read_pages(records: DataFrame, samples: DataFrame) -> DataFrame:
     winners, of_host = vote(records)
     words_ = function_words(samples)
     rows = _places(records).where("octet_length(content) > 0").select("record_id", "content", "host")
-    rows = rows.join(small_side(of_host, "host-paths"), "host", "left").select("record_id", "content", "paths")
+    rows = rows.join(small_side(of_host, "host-paths", HOSTS_IN_MEMORY), "host", "left").select("record_id", "content", "paths")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = PageReader(winners, words_)

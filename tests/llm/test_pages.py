@@ -34,7 +34,7 @@ def crawl():
     rows, truth = [], {}
     for host in range(30):
         for page in range(3):
-            body = [paragraph(rng), "Background", paragraph(rng), "- 12 g the salt", "- 30 g the flour", paragraph(rng, 2)]
+            body = [paragraph(rng), *["Background"] * (page == 1), paragraph(rng), "- 12 g the salt", "- 30 g the flour", paragraph(rng, 2)]
             text, m = site(rng, host, page, body)
             rid = f"r{host}-{page}"
             rows.append((rid, f"http://h{host}.example/{page}", bytearray(text.encode()), "en", 1))
@@ -52,6 +52,10 @@ def samples(spark):
     return spark.createDataFrame(rows, "sample_id bigint, lang string, text string")
 
 
+def letters(k):
+    return "".join(chr(97 + int(d)) + "o" for d in str(k))
+
+
 def spam(rng):
     word = rng.sample(NOUN, 3)
     return "Title\n" + "\n".join(f"cheap {rng.choice(word)}" for _ in range(60))
@@ -65,7 +69,7 @@ def test_furniture_and_spam(spark, crawl, samples):
            ("s4", "http://h3.example/s", bytearray(("T\n" + "\n".join("Boat sale boat! Cheap boat sale boat near boat. Sale boat, cheap boat." for _ in range(9))).encode()), "en", 1)]
     empty = [("e1", "http://h1.example/e", None, "en", 1), ("e2", "http://h1.example/e", bytearray(), None, 1), ("e3", None, bytearray(b"\n\n"), "en", 1),
              ("e4", "http://h1.example/f", bytearray(b"T\n\xff\xfe broken bytes here."), "en", 1), (None, "x", bytearray(b"T\nA b c d e."), "en", 1),
-             ("long", "http://h1.example/l", bytearray(("T\n" + " ".join(f"The {chr(97 + k % 26)}{k:x} found a {k * 7:x}h." for k in range(20000))).encode()), "en", 1)]
+             ("long", "http://h1.example/l", bytearray(("T\n" + " ".join(f"The {letters(k)} {letters(k * 31 + 7)} a {letters(k * 17 + 5)}." for k in range(20000))).encode()), "en", 1)]
     df = spark.createDataFrame(rows + odd + empty + rows[:3] + [(*odd[0][:4], 2)], SCHEMA)
     got = pages.read_pages(df, samples)
     assert {r["record_id"] for r in pages.spam_records(got).collect()} == {"s1", "s2", "s3", "s4"}
