@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..runtime import small_side
 from . import langid
 from .lines import label
-from .pages import HOSTS_IN_MEMORY, PageReader, _decoded, _places, function_words, vote
+from .pages import HOSTS_IN_MEMORY, PageReader, _decoded, _places, function_words, small, vote
 
 #: So many sentences in a row make a passage count as a language of its record.
 PASSAGE = 3
@@ -89,19 +89,18 @@ def languages(records: DataFrame, samples: DataFrame, model: langid.Model | None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = PageReader(winners, words_)
-        for b in batches:
-            for k in range(0, b.num_rows, _STEP):
-                got = []
-                for rid, content, lab, own in zip(*(c.to_pylist() for c in b.slice(k, _STEP).columns)):
-                    text = _decoded(content)
-                    if text.strip():
-                        got.append((rid, text, lab, frozenset(own or ())))
-                cols = list(zip(*of_pages(reader, got))) or [[]] * 6
-                passage = pa.list_(pa.struct([("first_line", pa.int32()), ("last_line", pa.int32()), ("sentences", pa.int32()),
-                                              ("lang", pa.string()), ("confidence", pa.float64())]))
-                types = [pa.string(), pa.string(), pa.string(), pa.float64(), pa.list_(pa.string()), passage]
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types)],
-                                                 names=["record_id", "label", "lang", "confidence", "mixed", "passages"])
+        passage = pa.list_(pa.struct([("first_line", pa.int32()), ("last_line", pa.int32()), ("sentences", pa.int32()),
+                                      ("lang", pa.string()), ("confidence", pa.float64())]))
+        types = [pa.string(), pa.string(), pa.string(), pa.float64(), pa.list_(pa.string()), passage]
+        for b in small(batches, _STEP):
+            got = []
+            for rid, content, lab, own in zip(*(c.to_pylist() for c in b.columns)):
+                text = _decoded(content)
+                if text.strip():
+                    got.append((rid, text, lab, frozenset(own or ())))
+            cols = list(zip(*of_pages(reader, got))) or [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types)],
+                                             names=["record_id", "label", "lang", "confidence", "mixed", "passages"])
 
     return rows.mapInArrow(run, f"record_id string, label string, lang string, confidence double, mixed array<string>, passages {_PASSAGES}")
 

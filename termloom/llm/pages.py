@@ -84,7 +84,7 @@ class Voter:
             parts = entries(x)
             inner = tuple([h(k) for e in parts if len(e) <= 60 for k in keys(e)]) if len(parts) > 1 else ()
             got = (tuple([h(k) for k in keys(x)]), content << 16, (not content and is_title(x)) << 32, inner, para and len(x) > 60)
-            if len(self._seen) < 100_000:
+            if len(x) <= 80 and len(self._seen) < 20_000:
                 self._seen[x] = got
         return got
 
@@ -113,9 +113,16 @@ def _decoded(content) -> str:
     return content.decode("utf-8", "replace") if content else ""
 
 
+def small(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Batches cut to a size whose Python objects take little memory."""
+    for b in batches:
+        for k in range(0, b.num_rows, rows):
+            yield b.slice(k, rows)
+
+
 def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     voter = Voter()
-    for b in batches:
+    for b in small(batches):
         langs, hosts, pages, paths, counts, ends = [], [], [], [], [], [0]
         for content, lang, host, page in zip(*(c.to_pylist() for c in b.columns)):
             text = _decoded(content)
@@ -227,7 +234,7 @@ class PageReader:
                 got = next((self.winners[x] for x in [h(k) for k in keys(text)] if x in self.winners), 0)
                 if got == HEADING and ends_sentence(text):
                     got = FURNITURE
-            if len(self._seen) < 200_000:
+            if got and len(self._seen) < 50_000:  # texts that nobody knows hardly come twice
                 self._seen[text] = got
         if got or not self.own:
             return got
@@ -512,7 +519,7 @@ def read_pages(records: DataFrame, samples: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = PageReader(winners, words_)
-        for b in batches:
+        for b in small(batches):
             ids, spam, lines_ = [], [], []
             for rid, content, own in zip(*(c.to_pylist() for c in b.columns)):
                 text = _decoded(content)
