@@ -258,7 +258,7 @@ class PageReader:
         return hit * 2 >= total > 0
 
     def _glued(self, piece: str) -> bool:
-        """Two known texts set one behind the other without a mark: the first has up to five words."""
+        """Known texts set one behind the other without a mark: all but the last have up to five words."""
         t = piece.split(" ", 5)
         if len(t) < 2:
             return False
@@ -266,8 +266,10 @@ class PageReader:
         at = 0
         for n in range(1, len(t) if one or more else 1):
             at += len(t[n - 1]) + (n > 1)
-            if (one if n == 1 else more) and self.winners.get(h(piece[:at])) == FURNITURE and self.known(piece[at + 1:]):
-                return True
+            if (one if n == 1 else more) and self.winners.get(h(piece[:at])) == FURNITURE:
+                rest = piece[at + 1:]
+                if self.known(rest) or self._glued(rest):
+                    return True
         return False
 
     @staticmethod
