@@ -132,7 +132,14 @@ def p9_shares(spark, sf_dir):
     return mixing.shares(p9_mixture(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
 
 
-@query("p10_found")
+#: Every run of 200 characters of every text, cut from overlapping pieces of 299, as its MD5.
+_RUNS = ("WITH c AS (SELECT doc_id, text, unnest(range(1, length(text) - 198, 100)) AS a FROM documents WHERE length(text) >= 200),"
+         " p AS (SELECT doc_id, substr(text, a, 299) AS piece FROM c),"
+         " g AS (SELECT DISTINCT doc_id, md5(substr(piece, i, 200)) AS gram FROM (SELECT doc_id, piece, unnest(range(1, length(piece) - 198)) AS i FROM p)),"
+         " s AS (SELECT gram FROM g GROUP BY gram HAVING count(*) > 1), m AS (SELECT doc_id, gram FROM g SEMI JOIN s USING (gram))")
+
+
+@query("p10_found", _RUNS + " SELECT DISTINCT a.doc_id AS doc_a, b.doc_id AS doc_b FROM m a JOIN m b USING (gram) WHERE a.doc_id < b.doc_id")
 def p10_found(spark, sf_dir):
     return shared_spans.document_pairs(*shared_spans.shared_runs(table(spark, sf_dir, "documents")))
 
