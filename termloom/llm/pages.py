@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..runtime import materialize, small_side
 from . import lines as L
-from .lines import LINE_END, ends_sentence, entries, start_hash, h, key, keys, label, sentences, weight, words
+from .lines import LANGUAGES, LINE_END, ends_sentence, entries, start_hash, h, key, keys, label, sentences, weight, words
 
 #: Paths on a smaller share of a language's hosts have no vote beyond their own host.
 HOST_SHARE = 0.01
@@ -41,7 +41,9 @@ _URL = re.compile(r"https?://\S+|www\.\S+")
 _MEASURE = re.compile(r"^\d+\s+[^\W\d_]{1,3}\s+[^\W\d_]")
 _PAIR = re.compile(r"^[^:：]{1,60}[:：]\s*[^:：]{1,40}[,，]\s*\d+$")
 _SOURCE = re.compile(r"^\s*\[\d+\]\s")
-_VOTES = "lang string, host bigint, page bigint, paths array<bigint>, counts array<bigint>"
+#: Each language's bit in the set of labels that a host's pages have; the bit above them is for pages without one.
+_LANG_BIT = {c: k for k, c in enumerate(LANGUAGES)}
+_VOTES = "langs bigint, host bigint, page bigint, paths array<bigint>, counts array<bigint>"
 
 
 # --- shapes of single lines ---
@@ -128,7 +130,7 @@ def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             text = _decoded(content)
             if text.strip():
                 got = voter.votes(text)
-                langs.append(label(lang) or "?")
+                langs.append(1 << _LANG_BIT.get(label(lang), len(LANGUAGES)))
                 hosts.append(host)
                 pages.append(page)
                 paths.extend(got)
@@ -136,9 +138,9 @@ def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ends.append(len(paths))
         offsets = pa.array(ends, pa.int32())
         yield pa.RecordBatch.from_arrays(
-            [pa.array(langs, pa.string()), pa.array(hosts, pa.int64()), pa.array(pages, pa.int64()),
+            [pa.array(langs, pa.int64()), pa.array(hosts, pa.int64()), pa.array(pages, pa.int64()),
              pa.ListArray.from_arrays(offsets, pa.array(np.array(paths, np.int64))), pa.ListArray.from_arrays(offsets, pa.array(np.array(counts, np.int64)))],
-            names=["lang", "host", "page", "paths", "counts"])
+            names=["langs", "host", "page", "paths", "counts"])
 
 
 def _places(records: DataFrame) -> DataFrame:
@@ -155,22 +157,26 @@ def vote(records: DataFrame) -> tuple[dict[int, int], DataFrame]:
     language's hosts, so there are at most (paths of an average host) / HOST_SHARE of them a language, whatever the size of the crawl.
     """
     raw = _places(records).select("content", "lang", "host", "page").mapInArrow(_first_pass, _VOTES)
-    each = raw.groupBy("lang", "host", "page").agg(F.max(F.struct("paths", "counts")).alias("v"))  # one vote a page
+    unplaced = F.when(F.col("page").isNull(), F.col("langs")).alias("unplaced")
+    each = raw.groupBy("host", "page", unplaced).agg(F.max(F.struct("paths", "counts")).alias("v"), F.bit_or("langs").alias("langs"))  # one vote a page
     field = {c: F.shiftright("z.counts", 16 * k).bitwiseAND(F.lit(0xFFFF)) for k, c in enumerate(("n", "content", "titles", "trail"))}
-    on_host = (each.select("lang", "host", F.explode(F.arrays_zip("v.paths", "v.counts")).alias("z"))
-               .groupBy(F.col("z.paths").alias("path"), "lang", "host")
-               .agg(F.count(F.lit(1)).alias("pages"), *(F.sum(f).alias(c) for c, f in field.items())))
+    on_host = (each.select("langs", "host", F.explode(F.arrays_zip("v.paths", "v.counts")).alias("z"))
+               .groupBy(F.col("z.paths").alias("path"), "host")
+               .agg(F.count(F.lit(1)).alias("pages"), *(F.sum(f).alias(c) for c, f in field.items()), F.bit_or("langs").alias("langs")))
     on_host = materialize(on_host, "path-votes")
     sizes = _places(records).where("octet_length(content) > 0 AND host IS NOT NULL").groupBy("host").agg(F.countDistinct("page").alias("all"))
     sizes = small_side(sizes.where(F.col("all") >= CONSENSUS_PAGES), "host-sizes")
-    hosts = on_host.groupBy("lang", "host").agg(F.lit(1)).groupBy("lang").agg(F.count(F.lit(1)).alias("hosts"))
+    bits = range(len(LANGUAGES) + 1)
+    has = [F.col("langs").bitwiseAND(F.lit(1 << k)) != 0 for k in bits]
+    hosts = on_host.groupBy("host").agg(F.bit_or("langs").alias("langs")).agg(*(F.count_if(x) for x in has)).first()
     votes = on_host.join(sizes, "host", "left")
     part = {c: F.sum(F.least(F.col(c) / F.greatest("n", F.lit(1)), F.lit(1.0))).alias(c) for c in ("content", "titles", "trail")}
-    of_lang = (votes.groupBy("path", "lang").agg(F.count("host").alias("h"), F.count_if(F.col("n") > 0).alias("n"), *part.values(),
-                                                 F.count("all").alias("judges"), F.sum(F.col("pages") / F.col("all")).alias("agree"))
-               .where("h >= 2").join(F.broadcast(hosts), "lang").groupBy("path")  # at most ten languages
-               .agg(F.max(F.col("h") / F.col("hosts")).alias("share"), *(F.sum(c).alias(c) for c in ("h", "n", "content", "titles", "trail", "judges", "agree")))
-               .where(F.col("share") >= HOST_SHARE))
+    # A host is one judge, whatever its pages' labels are; a language's hosts are those with a page of that label.
+    of_lang = (votes.groupBy("path").agg(F.count("host").alias("h"), F.count_if(F.col("n") > 0).alias("n"), *part.values(), F.count("all").alias("judges"),
+                                         F.sum(F.col("pages") / F.col("all")).alias("agree"), *(F.count_if(F.col("host").isNotNull() & x).alias(f"h{k}") for k, x in zip(bits, has)))
+               .where("h >= 2")
+               .withColumn("share", F.greatest(*(F.when(F.col(f"h{k}") >= 2, F.col(f"h{k}") / F.lit(max(hosts[k], 1))).otherwise(0.0) for k in bits)))
+               .where(F.col("share") >= HOST_SHARE).select("path", "share", "h", "n", *part, "judges", "agree"))
     winners = {r["path"]: k for r in of_lang.collect() if (k := kind(**{c: r[c] for c in r.asDict() if c != "path"}))}  # bounded, see above
     of_host = (votes.where("pages >= 3").where(F.col("pages") >= PAGE_SHARE * F.col("all"))
                .groupBy("host").agg(F.collect_set("path").alias("paths")))  # at most (paths of an average page) / PAGE_SHARE each

@@ -117,3 +117,22 @@ def test_labels_and_mixed_records(spark, samples):
     assert "empty" not in by and 0.5 < by["ok"]["confidence"] <= 1 and [p["lang"] for p in by["mixed"]["passages"]] == ["en", "fr"]
     assert pl.languages(spark.createDataFrame(rows, SCHEMA).limit(0), samples).count() == 0
     assert {r["lang"] for r in pl.languages(spark.createDataFrame(rows, SCHEMA), samples.limit(0)).collect()} == {"und"}
+
+
+def test_a_host_is_one_judge_whatever_its_labels(spark):
+    """Ten hosts have a notice on each of their four pages, half of the labels missing or wrong: every host agrees fully."""
+    rng = random.Random(5)
+    labs = ["en", None, "fr", "en"]
+    rows = [(f"j{host}-{page}", f"http://j{host}.example/{page}", bytearray(f"T\n{paragraph(rng)}\nSitemap\n{paragraph(rng)}".encode()), labs[page], 1)
+            for host in range(10) for page in range(4)]
+    rows += [(f"{r[0]}-again", r[1], r[2], "de", 1) for r in rows[:4]]  # a later capture under another label is no other page
+    seen = []
+    real = pages.kind
+    try:
+        pages.kind = lambda **x: seen.append(x) or real(**x)
+        winners, of_host = pages.vote(spark.createDataFrame(rows, SCHEMA))
+    finally:
+        pages.kind = real
+    assert winners[lines.h("Sitemap")] == pages.FURNITURE
+    assert [(x["h"], x["judges"], x["agree"], x["share"]) for x in seen] == [(10, 10, 10.0, 1.0)]
+    assert all(lines.h("Sitemap") in r["paths"] for r in of_host.collect()) and of_host.count() == 10
