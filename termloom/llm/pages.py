@@ -44,6 +44,7 @@ _SOURCE = re.compile(r"^\s*\[\d+\]\s")
 #: Each language's bit in the set of labels that a host's pages have; the bit above them is for pages without one.
 _LANG_BIT = {c: k for k, c in enumerate(LANGUAGES)}
 _VOTES = "langs bigint, host bigint, page bigint, paths array<bigint>, counts array<bigint>"
+_MOST = (1 << 63) - 1
 
 
 # --- shapes of single lines ---
@@ -91,7 +92,7 @@ class Voter:
         return got
 
     def votes(self, text: str) -> dict[int, int]:
-        """By path: lines, of them followed by content, followed by a title, behind the last paragraph, in 16 bits each."""
+        """By path: lines, of them followed by content, followed by a title, behind the last paragraph, in 16 bits each (15 the last)."""
         look = self.look
         seen = [look(y) for y in [x.strip() for x in text.split("\n")[1:]] if y]
         last = len(seen) - 1
@@ -105,10 +106,13 @@ class Voter:
                 if i < end:
                     add |= seen[i + 1][1] | seen[i + 1][2]
                 for k in paths:
-                    got[k] = got.get(k, 0) + add
+                    v = got.get(k, 0)
+                    if v & 0xFFFF <= 2:  # beyond, the path is left out below, and no field grows into the next
+                        got[k] = v + add
                 for k in inner:  # as an entry of a line it counts as behind the text: headings are never entries
                     got[k] = got.get(k, 0) + (1 << 48)
-        return {k: v for k, v in got.items() if v & 0xFFFF <= 2}  # what a page repeats more often are its key words
+        # What a page repeats more often are its key words. The uppermost field is cut off where the number would leave 64 bits.
+        return {k: v if v <= _MOST else v & 0xFFFFFFFFFFFF | 0x7FFF << 48 for k, v in got.items() if v & 0xFFFF <= 2}
 
 
 def _decoded(content) -> str:

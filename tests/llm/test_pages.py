@@ -136,3 +136,14 @@ def test_a_host_is_one_judge_whatever_its_labels(spark):
     assert winners[lines.h("Sitemap")] == pages.FURNITURE
     assert [(x["h"], x["judges"], x["agree"], x["share"]) for x in seen] == [(10, 10, 10.0, 1.0)]
     assert all(lines.h("Sitemap") in r["paths"] for r in of_host.collect()) and of_host.count() == 10
+
+
+def test_vote_counters_are_bounded():
+    a, b = lines.h("a"), lines.h("b")
+    for n in (16_383, 32_767, 32_768, 70_000):
+        got = pages.Voter().votes("T\n" + "\n".join(["a | a"] * n))
+        assert got[a] >> 48 == min(2 * n, 0x7FFF) and all(0 <= v < 1 << 63 for v in got.values())
+    text = "T\nb\n" + "\n".join(["Boat sale"] * 65_540)
+    got = pages.Voter().votes(text)
+    assert lines.h("Boat sale") not in got and got[b] & 0xFFFF == 1  # 65,540 wrapped around would look like 4 or fewer
+    assert lines.h("Boat sale") not in pages.Voter().votes("T\n" + "\n".join(["Boat sale"] * 65_537))
