@@ -1,6 +1,6 @@
 """The parts of a web page: main text, site furniture, keyword and link lists.
 
-Two passes over the records. In the first, every short line gives its generalised path (the line without bullets, numbers and names), and
+Two passes over the records. In the first, every line gives its path (the line without bullets and numbers; a short line's without names too), and
 the paths are counted: on how many hosts of a language a path stands, on how many pages of its own host, and what follows it there. The
 counts are the votes: a path on many hosts, or on most pages of its host, is furniture, unless it always introduces content, as a heading
 does. In the second pass each page is cut again with the winning paths: lines are put together to containers (runs of entries,
@@ -71,7 +71,7 @@ def is_entry(line: str) -> bool:
 
 # --- first pass ---
 class Voter:
-    """The votes of a page's short lines and of the entries in them."""
+    """The votes of a page's lines and of the entries and sentences in them."""
 
     def __init__(self):
         self._seen: dict[str, tuple] = {}
@@ -81,8 +81,9 @@ class Voter:
         got = self._seen.get(x)
         if got is None:
             para = is_paragraph(x)
-            if len(x) > LONG_LINE:
-                return (), para << 16, 0, (), para
+            if len(x) > LONG_LINE:  # as a whole and by its sentences; like entries, these are never headings
+                parts = [p for e in entries(x) for p in sentences(e)]
+                return (), para << 16, 0, tuple([h(k) for k in {key(x), *[key(p) for p in parts]} if k]), para
             content = para or is_list_item(x)
             parts = entries(x)
             inner = tuple([h(k) for e in parts if len(e) <= 60 for k in keys(e)]) if len(parts) > 1 else ()
@@ -109,8 +110,8 @@ class Voter:
                     v = got.get(k, 0)
                     if v & 0xFFFF <= 2:  # beyond, the path is left out below, and no field grows into the next
                         got[k] = v + add
-                for k in inner:  # as an entry of a line it counts as behind the text: headings are never entries
-                    got[k] = got.get(k, 0) + (1 << 48)
+            for k in inner:  # as an entry of a line it counts as behind the text: headings are never entries
+                got[k] = got.get(k, 0) + (1 << 48)
         # What a page repeats more often are its key words. The uppermost field is cut off where the number would leave 64 bits.
         return {k: v if v <= _MOST else v & 0xFFFFFFFFFFFF | 0x7FFF << 48 for k, v in got.items() if v & 0xFFFF <= 2}
 
@@ -244,7 +245,7 @@ class PageReader:
                 got = next((self.winners[x] for x in [h(k) for k in keys(text)] if x in self.winners), 0)
                 if got == HEADING and ends_sentence(text):
                     got = FURNITURE
-            if got and len(self._seen) < 50_000:  # texts that nobody knows hardly come twice
+            if got and len(text) <= LONG_LINE and len(self._seen) < 50_000:  # texts that nobody knows hardly come twice
                 self._seen[text] = got
         if got or not self.own:
             return got
@@ -373,8 +374,10 @@ class PageReader:
             at += len(u)
 
     def _prose_like_furniture(self, x: str) -> bool:
-        """Notices set one behind the other to a long line; the first of them must be known."""
-        if len(x) > 500 or not self.may_start(x):
+        """A known long line, or notices set one behind the other to one; the first of them must be known."""
+        if self.known(x):
+            return True
+        if not self.may_start(x):
             return False
         end = L.first_stop(x)
         first = x[:end.start() + 1] if end else x

@@ -147,3 +147,22 @@ def test_vote_counters_are_bounded():
     got = pages.Voter().votes(text)
     assert lines.h("Boat sale") not in got and got[b] & 0xFFFF == 1  # 65,540 wrapped around would look like 4 or fewer
     assert lines.h("Boat sale") not in pages.Voter().votes("T\n" + "\n".join(["Boat sale"] * 65_537))
+
+
+def _read(winners, text, own=()):
+    return pages.PageReader({lines.h(k): v for k, v in winners.items()}, frozenset(["the", "a"])).read(text, frozenset(map(lines.h, own)))[1]
+
+
+def test_long_notices_vote_and_are_known(spark, samples):
+    """A paragraph that a host puts on each of its pages is furniture however long it is, and a page's own long text is not."""
+    rng = random.Random(6)
+    rows, notice = [], {}
+    for host in range(12):
+        notice[host] = paragraph(rng, 4 + host)  # 200 to 1,000 characters
+        for page in range(4):
+            rows.append((f"n{host}-{page}", f"http://n{host}.example/{page}", bytearray(f"T\n{paragraph(rng)}\n{notice[host]}\n{paragraph(rng, 9)}".encode()), "en", 1))
+    assert min(map(len, notice.values())) > pages.LONG_LINE and max(map(len, notice.values())) > 500
+    found = {r["record_id"]: r["furniture"] for r in pages.read_pages(spark.createDataFrame(rows, SCHEMA), samples).collect()}
+    assert len(found) == 48 and all(v == [3] for v in found.values())
+    voted = pages.Voter().votes(f"T\n{notice[0]}")
+    assert lines.h(notice[0]) in voted and all(lines.h(s) in voted for s in lines.sentences(notice[0]))
