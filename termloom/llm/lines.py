@@ -14,7 +14,6 @@ _BULLET = re.compile(r"^\s*(?:[-*•»›>·–]|\d+[.)])\s+")
 #: Marks that stand between the entries of one line.
 _BETWEEN = re.compile(r"\s+[|·•»›>/*–-]\s+|\s{2,}|\s*\|\s*|\t+")
 _SENTENCE = re.compile(r"(?<=[.!?。！？])\s+|(?<=[。！？])")
-first_stop = re.compile(r"[.!?](?=\s)|[。！？]").search
 _STOPS = frozenset(".!?。！？…")
 _MAYBE = re.compile(r"[|·•»›>/*–\t]|  | - ").search
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*|\d+")

@@ -217,55 +217,54 @@ class PageReader:
         self._seen: dict[str, int] = {}
 
     def may_start(self, text: str) -> bool:
-        """Whether the first words of a text, or those behind a name there, start any of the language's paths."""
+        """Whether the first words of a text, or those behind a name there, start any of the language's or the host's paths."""
         t = text.split(" ", 8)
-        starts = self.starts
+        starts, own = self.starts, self.own_starts
         w = t[0]
-        if not w.isalpha() or start_hash(w) in starts:
+        if not w.isalpha() or (s := start_hash(w)) in starts or s in own:
             return True
         if len(t) == 1:
             return False
-        if not t[1].isalpha() or start_hash(f"{w} {t[1]}") in starts:
+        if not t[1].isalpha() or (s := start_hash(f"{w} {t[1]}")) in starts or s in own:
             return True
         i = 0
         while i < len(t) and (t[i][:1].isupper() or t[i] == "&"):  # a name may stand there
             i += 1
         if not 0 < i < len(t):
             return i == len(t) and i > 2
-        if not t[i].isalpha() or start_hash(t[i]) in starts:
+        if not t[i].isalpha() or (s := start_hash(t[i])) in starts or s in own:
             return True
-        return i + 1 < len(t) and (not t[i + 1].isalpha() or start_hash(f"{t[i]} {t[i + 1]}") in starts)
+        return i + 1 < len(t) and (not t[i + 1].isalpha() or (s := start_hash(f"{t[i]} {t[i + 1]}")) in starts or s in own)
 
     def known(self, text: str) -> int:
         """The kind of a line or entry by the language's and the host's votes; 0 if neither knows it."""
         got = self._seen.get(text)
-        if got is None:
-            got = 0
-            if self.may_start(text):
-                got = next((self.winners[x] for x in [h(k) for k in keys(text)] if x in self.winners), 0)
-                if got == HEADING and ends_sentence(text):
-                    got = FURNITURE
-            if got and len(text) <= LONG_LINE and len(self._seen) < 50_000:  # texts that nobody knows hardly come twice
-                self._seen[text] = got
-        if got or not self.own:
+        if got is not None:
             return got
-        t = text.split(" ", 2)
-        start = f"{t[0]} {t[1]}" if len(t) > 1 else t[0]
-        return FURNITURE if (start_hash(start) in self.own_starts or not start.replace(" ", "").isalpha()) and h(key(text)) in self.own else 0
+        if not self.may_start(text):
+            return 0
+        paths = [h(k) for k in keys(text)]
+        got = next((self.winners[x] for x in paths if x in self.winners), 0)
+        if got == HEADING and ends_sentence(text):
+            got = FURNITURE
+        if got and len(text) <= LONG_LINE and len(self._seen) < 50_000:  # texts that nobody knows hardly come twice
+            self._seen[text] = got
+        return got or (FURNITURE if paths[0] in self.own else 0)
 
     def covered(self, line: str) -> bool:
-        """Whether known entries or sentences make up half of a line's words; the first or the last of them must be known."""
+        """Whether known entries or sentences make up half of a line's words, wherever they stand."""
         pieces = [s for e in entries(line) for s in sentences(e)]
         if len(pieces) < 2:
             return self._glued(line)
-        if not (self.known(pieces[0]) or self.known(pieces[-1]) or self._glued(pieces[0]) or self._glued(pieces[-1])):
-            return False
-        total = hit = 0
-        for p in pieces:
-            w = weight(p)
-            total += w
+        weights = [weight(p) for p in pieces]
+        total = left = sum(weights)
+        hit = 0
+        for p, w in zip(pieces, weights):
+            left -= w
             if self.known(p) in (FURNITURE, BLOCK_HEAD) or self._glued(p):
                 hit += w
+            if hit * 2 >= total or (hit + left) * 2 < total:  # decided, whatever follows
+                break
         return hit * 2 >= total > 0
 
     def _glued(self, piece: str) -> bool:
@@ -331,7 +330,7 @@ class PageReader:
                 out[i] = "M"
             elif k:
                 out[i] = "F" if k == FURNITURE else "B"
-            elif self.may_start(x) and self.covered(x):
+            elif self.covered(x):
                 out[i] = "F"
             elif self._key_words(x):
                 out[i] = "K"
@@ -353,7 +352,7 @@ class PageReader:
         out = ["_"] * len(rows)
         for i in range(1, len(rows)):
             x = rows[i]
-            if x and ends_sentence(x) and not (self._prose_like_furniture(x) if len(x) > LONG_LINE else is_list_item(x) or self.known(x) or self.may_start(x) and self.covered(x)):
+            if x and ends_sentence(x) and not (self._prose_like_furniture(x) if len(x) > LONG_LINE else is_list_item(x) or self.known(x) or self.covered(x)):
                 out[i] = "P"
         self._stuffed(rows, out)
         return rows, out
@@ -374,14 +373,8 @@ class PageReader:
             at += len(u)
 
     def _prose_like_furniture(self, x: str) -> bool:
-        """A known long line, or notices set one behind the other to one; the first of them must be known."""
-        if self.known(x):
-            return True
-        if not self.may_start(x):
-            return False
-        end = L.first_stop(x)
-        first = x[:end.start() + 1] if end else x
-        return (self.known(first) > 0 or self._glued(first)) and self.covered(x)
+        """A known long line, or notices set one behind the other to one."""
+        return self.known(x) > 0 or self.covered(x)
 
     def _key_words(self, x: str) -> bool:
         """A line that by itself is a list of key words: hash tags, or many short parts between marks, without sentences."""

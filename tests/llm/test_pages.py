@@ -166,3 +166,15 @@ def test_long_notices_vote_and_are_known(spark, samples):
     assert len(found) == 48 and all(v == [3] for v in found.values())
     voted = pages.Voter().votes(f"T\n{notice[0]}")
     assert lines.h(notice[0]) in voted and all(lines.h(s) in voted for s in lines.sentences(notice[0]))
+
+
+def test_known_pieces_count_wherever_they_stand():
+    notices = {"All rights reserved.": 1, "Read our terms of use before you go on with the visit.": 1, "Please tell us what you think of the new pages.": 1}
+    one, two, three = notices
+    odd = "Zarok grew quietly."
+    long_ = " ".join([odd, two, three, two])
+    assert len(long_) > pages.LONG_LINE and len(f"{odd} {two}") <= pages.LONG_LINE
+    body = paragraph(random.Random(8)) + " " + one
+    assert _read(notices, f"T\n{long_}\n{odd} {two}\n{odd} {two} {odd}\n{body}") == ["T", "F", "F", "F", "P"]
+    assert _read({}, f"T\n{long_}\n{odd} {two}\n{body}", own=[two, three]) == ["T", "F", "F", "P"]  # the host's own paths alone
+    assert pages.PageReader({}, frozenset()).prose(f"T\n{long_}")[1] == ["_", "P"]
