@@ -249,7 +249,7 @@ class PageReader:
             got = FURNITURE
         if got and len(text) <= LONG_LINE and len(self._seen) < 50_000:  # texts that nobody knows hardly come twice
             self._seen[text] = got
-        return got or (FURNITURE if paths[0] in self.own else 0)
+        return got or (FURNITURE if any(x in self.own for x in paths) else 0)
 
     def covered(self, line: str) -> bool:
         """Whether known entries or sentences make up half of a line's words, wherever they stand."""

@@ -178,3 +178,8 @@ def test_known_pieces_count_wherever_they_stand():
     assert _read(notices, f"T\n{long_}\n{odd} {two}\n{odd} {two} {odd}\n{body}") == ["T", "F", "F", "F", "P"]
     assert _read({}, f"T\n{long_}\n{odd} {two}\n{body}", own=[two, three]) == ["T", "F", "F", "P"]  # the host's own paths alone
     assert pages.PageReader({}, frozenset()).prose(f"T\n{long_}")[1] == ["_", "P"]
+
+
+def test_generalised_paths_of_a_host_are_applied():
+    body = paragraph(random.Random(9))
+    assert _read({}, f"T\n{body}\nPosted by Ann Lee\n{body}", own=["Posted by N"]) == ["T", "P", "F", "P"]
