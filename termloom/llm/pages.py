@@ -149,10 +149,12 @@ def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _places(records: DataFrame) -> DataFrame:
-    """Records with hashes of their host and url; a null url has neither, so its page only votes for its language."""
+    """Records with hashes of their host and url. A null url has neither: such a page stands for itself by its content, so that different ones
+    vote for their language, each as a host with one page, and equal ones once."""
     host = F.regexp_extract("url", r"^[a-zA-Z]+://([^/]*)", 1)
-    return records.withColumn("host", F.when(F.col("url").isNotNull(), F.xxhash64(host))).withColumn(
-        "page", F.when(F.col("url").isNotNull(), F.xxhash64("url")))
+    alone = F.xxhash64(F.lit("no url"), "content")
+    return records.withColumn("host", F.when(F.col("url").isNotNull(), F.xxhash64(host)).otherwise(alone)).withColumn(
+        "page", F.when(F.col("url").isNotNull(), F.xxhash64("url")).otherwise(alone))
 
 
 def vote(records: DataFrame) -> tuple[dict[int, int], DataFrame]:
@@ -162,14 +164,13 @@ def vote(records: DataFrame) -> tuple[dict[int, int], DataFrame]:
     language's hosts, so there are at most (paths of an average host) / HOST_SHARE of them a language, whatever the size of the crawl.
     """
     raw = _places(records).select("content", "lang", "host", "page").mapInArrow(_first_pass, _VOTES)
-    unplaced = F.when(F.col("page").isNull(), F.col("langs")).alias("unplaced")
-    each = raw.groupBy("host", "page", unplaced).agg(F.max(F.struct("paths", "counts")).alias("v"), F.bit_or("langs").alias("langs"))  # one vote a page
+    each = raw.groupBy("host", "page").agg(F.max(F.struct("paths", "counts")).alias("v"), F.bit_or("langs").alias("langs"))  # one vote a page
     field = {c: F.shiftright("z.counts", 16 * k).bitwiseAND(F.lit(0xFFFF)) for k, c in enumerate(("n", "content", "titles", "trail"))}
     on_host = (each.select("langs", "host", F.explode(F.arrays_zip("v.paths", "v.counts")).alias("z"))
                .groupBy(F.col("z.paths").alias("path"), "host")
                .agg(F.count(F.lit(1)).alias("pages"), *(F.sum(f).alias(c) for c, f in field.items()), F.bit_or("langs").alias("langs")))
     on_host = materialize(on_host, "path-votes")
-    sizes = _places(records).where("octet_length(content) > 0 AND host IS NOT NULL").groupBy("host").agg(F.countDistinct("page").alias("all"))
+    sizes = _places(records).where("octet_length(content) > 0").groupBy("host").agg(F.countDistinct("page").alias("all"))
     sizes = small_side(sizes.where(F.col("all") >= CONSENSUS_PAGES), "host-sizes")
     bits = range(len(LANGUAGES) + 1)
     has = [F.col("langs").bitwiseAND(F.lit(1 << k)) != 0 for k in bits]
@@ -178,7 +179,7 @@ def vote(records: DataFrame) -> tuple[dict[int, int], DataFrame]:
     part = {c: F.sum(F.least(F.col(c) / F.greatest("n", F.lit(1)), F.lit(1.0))).alias(c) for c in ("content", "titles", "trail")}
     # A host is one judge, whatever its pages' labels are; a language's hosts are those with a page of that label.
     of_lang = (votes.groupBy("path").agg(F.count("host").alias("h"), F.count_if(F.col("n") > 0).alias("n"), *part.values(), F.count("all").alias("judges"),
-                                         F.sum(F.col("pages") / F.col("all")).alias("agree"), *(F.count_if(F.col("host").isNotNull() & x).alias(f"h{k}") for k, x in zip(bits, has)))
+                                         F.sum(F.col("pages") / F.col("all")).alias("agree"), *(F.count_if(x).alias(f"h{k}") for k, x in zip(bits, has)))
                .where("h >= 2")
                .withColumn("share", F.greatest(*(F.when(F.col(f"h{k}") >= 2, F.col(f"h{k}") / F.lit(max(hosts[k], 1))).otherwise(0.0) for k in bits)))
                .where(F.col("share") >= HOST_SHARE).select("path", "share", "h", "n", *part, "judges", "agree"))

@@ -183,3 +183,11 @@ def test_known_pieces_count_wherever_they_stand():
 def test_generalised_paths_of_a_host_are_applied():
     body = paragraph(random.Random(9))
     assert _read({}, f"T\n{body}\nPosted by Ann Lee\n{body}", own=["Posted by N"]) == ["T", "P", "F", "P"]
+
+
+def test_pages_without_url_vote_each(spark):
+    rng = random.Random(10)
+    rows = [(f"u{k}", None, bytearray(f"T\n{paragraph(rng)}\nPrint this page".encode()), "en", 1) for k in range(6)]
+    winners, of_host = pages.vote(spark.createDataFrame(rows, SCHEMA))
+    assert winners[lines.h("Print this page")] == pages.FURNITURE and of_host.count() == 0
+    assert pages.vote(spark.createDataFrame(rows[:1] * 6, SCHEMA))[0] == {}  # equal pages vote once
