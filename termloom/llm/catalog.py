@@ -144,13 +144,27 @@ def p10_found(spark, sf_dir):
     return shared_spans.document_pairs(*shared_spans.shared_runs(table(spark, sf_dir, "documents")))
 
 
-@query("p10_runs")
+#: The same with places, over one document of each class of equal texts.
+_PLACED = ("WITH u AS (SELECT min(doc_id) AS doc_id, text FROM documents WHERE length(text) >= 200 GROUP BY text),"
+           " c AS (SELECT doc_id, text, unnest(range(1, length(text) - 198, 100)) AS a FROM u),"
+           " p AS (SELECT doc_id, a, substr(text, a, 299) AS piece FROM c),"
+           " g AS (SELECT doc_id, a + i - 1 AS pos, md5(substr(piece, i, 200)) AS gram FROM (SELECT doc_id, a, piece, unnest(range(1, length(piece) - 198)) AS i FROM p)),"
+           " s AS (SELECT gram FROM g GROUP BY gram HAVING count(DISTINCT doc_id) > 1), m AS (SELECT doc_id, pos, gram FROM g SEMI JOIN s USING (gram))")
+
+
+@query("p10_runs", _PLACED + ", j AS (SELECT x.doc_id AS doc_a, y.doc_id AS doc_b, x.pos AS pa, y.pos AS pb FROM m x JOIN m y USING (gram) WHERE x.doc_id < y.doc_id),"
+       " n AS (SELECT *, pa - row_number() OVER (PARTITION BY doc_a, doc_b, pa - pb ORDER BY pa) AS island FROM j)"
+       " SELECT doc_a, doc_b, (min(pa) - 1)::INT AS start_a, (min(pb) - 1)::INT AS start_b, (count(*) + 199)::INT AS length FROM n GROUP BY doc_a, doc_b, pa - pb, island")
 def p10_runs(spark, sf_dir):
     """Every maximal run between different texts, by the representatives of their classes."""
     return shared_spans.shared_runs(table(spark, sf_dir, "documents"))[0]
 
 
-@query("p10_shared")
+@query("p10_shared", _PLACED + ", v AS (SELECT doc_id, sum(least(200, nxt - pos)) AS n FROM (SELECT doc_id, pos, lead(pos, 1, pos + 200) OVER (PARTITION BY doc_id ORDER BY pos) AS nxt FROM m) GROUP BY doc_id),"
+       " k AS (SELECT text FROM documents WHERE length(text) >= 200 GROUP BY text HAVING count(DISTINCT doc_id) > 1),"
+       " z AS (SELECT d.doc_id, coalesce(length(d.text), 0)::BIGINT AS n_chars, CASE WHEN k.text IS NOT NULL THEN length(d.text) ELSE coalesce(v.n, 0) END::BIGINT AS shared_chars"
+       " FROM documents d LEFT JOIN k ON d.text = k.text LEFT JOIN v USING (doc_id))"
+       " SELECT doc_id, n_chars, shared_chars, round(shared_chars / greatest(n_chars, 1), 6) AS share FROM z")
 def p10_shared(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return shared_spans.shared_per_document(docs, *shared_spans.shared_runs(docs))

@@ -1,11 +1,11 @@
 """Long exact passages that more than one document holds.
 
-Every text is reduced to its winnowed anchors (see anchors.py): a sequence of gram hashes with the gaps between them, which two texts
-share wherever they share a passage of ``min_chars``. Anchors found in one document only are dropped by one aggregation. Documents
-are cut into shards; each pair of shards that shares anchors is one task, which builds an FM-index over the one shard's
-anchor-and-gap sequence and streams the other shard's documents through it by backward search. A passage is taken up at its
-leftmost anchor: where the interval of "previous anchor, gap, this anchor" is as large as that of "this anchor" alone, all occurrences continue
-an earlier one. Each occurrence is then extended letter by letter in the texts themselves, so hashes only propose and never decide.
+Every text is reduced to its winnowed anchors (see anchors.py), which two texts share wherever they share a passage of
+``min_chars``. Anchors found in one document only are dropped by one aggregation; what stands around the others, the candidate segments,
+is all that can hold a shared passage. Segments are cut into shards of documents. Each shard is one FM-index over the letters of its
+segments, and the segments of all documents with an anchor in common with the shard are streamed through it: backward search gives for the end of
+every aligned block of ``min_chars / 2`` letters its matching statistics, the longest stretch of letters up to there that the shard holds, and
+where. Stretches that go on to the right for ``min_chars`` letters in all are reported. A passage holds such a block and is taken up at its leftmost.
 """
 
 from __future__ import annotations
@@ -13,7 +13,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -22,16 +21,26 @@ from .anchors import Winnower
 from .fm_index import FMIndex
 
 MIN_CHARS = 200
-#: Characters of text that one shard may hold; a task holds two shards.
-SHARD_CHARS = 6_000_000
+#: Letters that one shard holds on average; an index takes about 40 bytes a letter while it is built.
+SHARD_CHARS = 1_000_000
+#: Beyond so many shards a task takes several, one after the other.
+MAX_TASKS = 20_000
 RUNS = "doc_a bigint, doc_b bigint, start_a int, start_b int, length int"
 
 
-def classes(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """``(doc_id, rep)``: the smallest doc_id with exactly the same text, for texts of at least ``min_chars``. Only digests are shuffled."""
-    d = docs.where((F.char_length("text") >= min_chars) & F.col("doc_id").isNotNull()).select("doc_id", F.sha2("text", 256).alias("digest")).distinct()
-    d = materialize(d, "digests")
-    return d.join(d.groupBy("digest").agg(F.min("doc_id").alias("rep")), "digest").select("doc_id", "rep")
+def _long(docs: DataFrame, min_chars: int) -> DataFrame:
+    """Texts long enough, with a digest."""
+    return docs.where((F.char_length("text") >= min_chars) & F.col("doc_id").isNotNull()).select("doc_id", "text", F.sha2("text", 256).alias("digest"))
+
+
+def text_digests(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """``(doc_id, digest)`` of texts of at least ``min_chars``; only these are shuffled."""
+    return _long(docs, min_chars).select("doc_id", "digest").distinct()
+
+
+def classes(digests: DataFrame) -> DataFrame:
+    """``(doc_id, rep, digest)``: the smallest doc_id with exactly the same text."""
+    return digests.join(digests.groupBy("digest").agg(F.min("doc_id").alias("rep")), "digest").select("doc_id", "rep", "digest")
 
 
 def winnowing(min_chars: int) -> tuple[int, int]:
@@ -55,95 +64,162 @@ def find_anchors(docs: DataFrame, min_chars: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "hash bigint, doc_id bigint, pos int")
 
 
-def runs_of_shards(index: pd.DataFrame, query: pd.DataFrame, same: bool, gram: int, min_chars: int) -> pd.DataFrame:
-    """All maximal common runs of at least ``min_chars`` between two sets of documents (or within one), each once."""
-    def stream(df: pd.DataFrame):
-        """Concatenated hashes, positions, gaps to the previous anchor (0: none that overlaps) and row numbers."""
-        h = np.concatenate([np.asarray(x, np.int64) for x in df["hashes"]])
-        p = np.concatenate([np.asarray(x, np.int64) for x in df["positions"]])
-        row = np.repeat(np.arange(len(df)), [len(x) for x in df["hashes"]])
-        gap = np.concatenate([[0], np.diff(p)])
-        gap[(np.concatenate([[-1], row[:-1]]) != row) | (gap > gram)] = 0
-        return h, p, gap, row
-
-    ih, ip, ig, ir = stream(index)
-    qh, qp, qg, qr = (ih, ip, ig, ir) if same else stream(query)
-    known = np.unique(ih)
-    sym = lambda h: gram + 2 + np.searchsorted(known, h)  # noqa: E731  symbols 1 .. gram+1 are gaps
-    # Sequence: gap before, anchor, gap before, anchor, ...
-    seq = np.empty(2 * len(ih), np.int64)
-    seq[0::2], seq[1::2] = ig + 1, sym(ih)
-    fm = FMIndex(seq, int(gram + 2 + len(known)))
-    hit = known[np.minimum(np.searchsorted(known, qh), len(known) - 1)] == qh
-    prev_hit = np.concatenate([[False], hit[:-1]]) & (qg > 0)
-    at = np.flatnonzero(hit)
-    s = sym(qh[at])
-    lo, hi = fm.symbol(s)
-    # Does every occurrence continue the match of the anchor before?
-    go = np.flatnonzero(prev_hit[at])
-    a, b = fm.extend(qg[at[go]] + 1, lo[go], hi[go])
-    a, b = fm.extend(sym(qh[at[go] - 1]), a, b)
-    take = np.ones(len(at), bool)
-    take[go[(b - a) == (hi[go] - lo[go])]] = False
-    if same:  # the query's own occurrence is always among them
-        take &= (hi - lo) > 1
-    at, lo, hi = at[take], lo[take], hi[take]
-    ids_i, ids_q = index["doc_id"].to_numpy(), query["doc_id"].to_numpy()
-    text_i, text_q = index["text"].tolist(), query["text"].tolist()
-    out: list[tuple] = []
-    block = 1 << 20  # occurrences are listed in blocks, so an anchor of very many documents needs no more memory
-    counts = hi - lo
-    ends = np.cumsum(counts)
-    begin = 0
-    while begin < len(at):
-        end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + block, side="right")))
-        c = counts[begin:end]
-        q = np.repeat(at[begin:end], c)
-        k = np.arange(len(q)) - np.repeat(np.cumsum(c) - c, c) + np.repeat(lo[begin:end], c)
-        t = fm.sa[k] >> 1  # anchors are at odd places
-        keep = ids_q[qr[q]] > ids_i[ir[t]] if same else ids_q[qr[q]] != ids_i[ir[t]]
-        # An occurrence that continues the same anchor and gap in both texts was taken up there.
-        continued = (qg[q] > 0) & (qg[q] == ig[t]) & (qh[np.maximum(q - 1, 0)] == ih[np.maximum(t - 1, 0)])
-        keep &= ~continued
-        for qi, ti in zip(q[keep].tolist(), t[keep].tolist()):
-            x, y, i, j = text_q[qr[qi]], text_i[ir[ti]], int(qp[qi]), int(ip[ti])
-            left = common_suffix(x, i, y, j)
-            length = left + common_prefix(x, i, y, j)
-            if length >= min_chars:
-                out.append((ids_q[qr[qi]], ids_i[ir[ti]], i - left, j - left, length))
-        begin = end
-    rows = [(a, b, i, j, n) if a < b else (b, a, j, i, n) for a, b, i, j, n in set(out)]
-    return pd.DataFrame(rows, columns=["doc_a", "doc_b", "start_a", "start_b", "length"])
-
-
-def common_prefix(x: str, i: int, y: str, j: int) -> int:
-    """Length of the longest common run starting at ``x[i]`` and ``y[j]``: slices of doubling size, then halving."""
-    n, step, most = 0, 128, min(len(x) - i, len(y) - j)
-    while n < most:
-        s = min(step, most - n)
-        if x[i + n:i + n + s] == y[j + n:j + n + s]:
-            n, step = n + s, step * 2
-        elif s == 1:
-            break
+def segments(text: str, positions: list[int], gram: int, window: int) -> list[tuple[int, str]]:
+    """``(start, letters)`` of the stretches of a text that can hold a passage with one of the anchors; overlapping ones are one."""
+    spans: list[list[int]] = []
+    for p in positions:
+        begin, end = max(0, p - window + 1), p + gram + window - 1
+        if spans and begin <= spans[-1][1]:
+            spans[-1][1] = end
         else:
-            most, step = min(most, n + s - 1), max(1, s // 2)
-    return n
+            spans.append([begin, end])
+    return [(a, text[a:b]) for a, b in spans if a < len(text)]
 
 
-def common_suffix(x: str, i: int, y: str, j: int) -> int:
-    """Length of the longest common run ending before ``x[i]`` and ``y[j]``."""
-    n, step, most = 0, 128, min(i, j)
-    while n < most:
-        s = min(step, most - n)
-        if x[i - n - s:i - n] == y[j - n - s:j - n]:
-            n, step = n + s, step * 2
-        elif s == 1:
-            break
-        else:
-            most, step = min(most, n + s - 1), max(1, s // 2)
+class Stretches:
+    """Segments of many documents as one array of letters, each followed by ``between``, which no text holds."""
+
+    def __init__(self, rows: list[tuple[int, int, str]], between: int):
+        self.doc = np.array([r[0] for r in rows], np.int64)
+        self.offset = np.array([r[1] for r in rows], np.int64)
+        self.size = np.array([len(r[2]) for r in rows], np.int64)
+        self.end = np.cumsum(self.size + 1)
+        self.begin = self.end - self.size - 1
+        codes = np.frombuffer("\0".join([*[r[2] for r in rows], ""]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        codes[self.end - 1] = between
+        self.codes = codes
+
+    def where(self, at: np.ndarray) -> np.ndarray:
+        """The segment of each position."""
+        return np.searchsorted(self.end, at, side="right")
+
+
+class Shard:
+    """The FM-index of one shard's segments."""
+
+    def __init__(self, rows: list[tuple[int, int, str]], min_chars: int):
+        self.min_chars, self.block = min_chars, (min_chars + 1) // 2  # any passage holds an aligned block of this size
+        self.held = Stretches(rows, -1)
+        self.alphabet = np.unique(self.held.codes)  # the separator comes first and is symbol 0
+        self.fm = FMIndex(np.searchsorted(self.alphabet, self.held.codes), len(self.alphabet), 2 * self.block)
+
+    def symbols(self, codes: np.ndarray) -> np.ndarray:
+        """Symbols of letters; 0 for those that the shard doesn't hold."""
+        s = np.minimum(np.searchsorted(self.alphabet, codes), len(self.alphabet) - 1)
+        return np.where(self.alphabet[s] == codes, s, 0)
+
+    def matches(self, asked: Stretches, least: int = 1) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Matching statistics of block ends: ``(block start in asked, letters matched before it, start of the match in held)`` in parts.
+
+        Each occurrence of a block is listed with the letters that match before it, less than one block: one that matches more
+        belongs to the block before. Stretches with fewer than ``least`` occurrences are given up.
+        """
+        m, fm = self.block, self.fm
+        n = asked.size // m
+        at = np.repeat(asked.begin, n) + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)) * m
+        symbols = np.concatenate([np.zeros(m, np.int64), self.symbols(asked.codes)])  # shifted by m: the first block looks back, too
+        s = symbols[at + m + m - 1]
+        lo, hi = fm.symbol(s)
+        on = (s > 0) & (hi - lo >= least)
+        at, lo, hi = at[on], lo[on], hi[on]
+        for k in range(m - 2, -m - 1, -1):
+            if not len(at):
+                return
+            s = symbols[at + m + k]
+            a, b = fm.extend(s, lo, hi)
+            gone = s == 0
+            b[gone] = a[gone]
+            if k < 0:  # the block matches whole; here end the stretches of the occurrences that stay behind
+                ends = np.flatnonzero(b - a < hi - lo)
+                yield from self._listed(at[ends], -k - 1, s[ends], lo[ends], hi[ends])
+            on = b - a >= least
+            at, lo, hi = (x[on] for x in (at, a, b)) if not on.all() else (at, a, b)
+
+    def _listed(self, at, before: int, s, lo, hi, most: int = 1 << 15):
+        """Occurrences in the intervals that aren't preceded by ``s``; ``most`` at a time, so frequent passages need no more memory."""
+        sizes = (hi - lo).astype(np.int64)
+        first = np.cumsum(sizes) - sizes
+        for c in range(0, int(sizes.sum()), most):
+            x = np.arange(c, min(c + most, int(sizes.sum())))
+            i = np.searchsorted(first, x, side="right") - 1
+            k = lo[i] + (x - first[i])
+            out = (self.fm.letters[k] != s[i]) | (s[i] == 0)
+            yield at[i[out]], np.full(int(out.sum()), before), self.fm.sa[k[out]].astype(np.int64)
+
+    def runs(self, asked: Stretches | None = None) -> np.ndarray:
+        """Rows of RUNS: passages of at least ``min_chars`` letters in the asked documents and in this shard's; without any asked, in
+        two of this shard's."""
+        same = asked is None
+        q = self.held if same else asked
+        found = []
+        for at, before, j in self.matches(q, 1 + same):  # its own occurrence is always among them
+            i = at - before
+            a, b = q.where(i), self.held.where(j)
+            keep = q.doc[a] > self.held.doc[b] if same else q.doc[a] != self.held.doc[b]
+            i, j, at, before, a, b = (x[keep] for x in (i, j, at, before, a, b))
+            n = before + self.block
+            n += common(q.codes, i + n, self.held.codes, j + n)
+            keep = n >= self.min_chars
+            i, j, a, b, n = (x[keep] for x in (i, j, a, b, n))
+            found.append(np.stack([q.doc[a], self.held.doc[b], i - q.begin[a] + q.offset[a], j - self.held.begin[b] + self.held.offset[b], n]))
+        rows = np.concatenate(found, axis=1) if found else np.zeros((5, 0), np.int64)
+        turn = rows[0] > rows[1]
+        rows[:, turn] = rows[[1, 0, 3, 2, 4]][:, turn]
+        return np.unique(rows, axis=1)
+
+
+def common(x: np.ndarray, i: np.ndarray, y: np.ndarray, j: np.ndarray, step: int = 64) -> np.ndarray:
+    """Letters in common from ``x[i]`` and ``y[j]`` on; every text ends with a negative number."""
+    n, on, k = np.zeros(len(i), np.int64), np.arange(len(i)), np.arange(step)
+    while len(on):
+        p, q = (i[on] + n[on])[:, None] + k, (j[on] + n[on])[:, None] + k
+        letters = x[np.minimum(p, len(x) - 1)]
+        unlike = (letters != y[np.minimum(q, len(y) - 1)]) | (letters < 0) | (p >= len(x)) | (q >= len(y))
+        stop = unlike.any(axis=1)
+        n[on] += np.where(stop, unlike.argmax(axis=1), step)
+        on = on[~stop]
     return n
 
 
+def find_runs(rows: DataFrame, min_chars: int, batch_chars: int = 1 << 20) -> DataFrame:
+    """Runs from ``(shard, asked, doc_id, start, letters)``, placed by shard and sorted so that a shard's own segments come first.
+
+    A task holds one shard and about ``batch_chars`` letters of the segments asked.
+    """
+    def batch(runs: np.ndarray) -> pa.RecordBatch:
+        ids, places = [pa.array(r) for r in runs[:2]], [pa.array(r.astype(np.int32)) for r in runs[2:]]
+        return pa.RecordBatch.from_arrays([*ids, *places], names=["doc_a", "doc_b", "start_a", "start_b", "length"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, shard, held, asked, size = None, None, [], [], 0
+        for b in batches:
+            for s, ask, doc, start, letters in zip(*(c.to_pylist() for c in b.columns)):
+                if s != now:
+                    if asked:
+                        yield batch(shard.runs(Stretches(asked, -2)))
+                    elif held:
+                        yield batch(Shard(held, min_chars).runs())
+                    now, shard, held, asked, size = s, None, [], [], 0
+                if not ask:
+                    held.append((doc, start, letters))
+                    continue
+                if held:
+                    shard, held = Shard(held, min_chars), []
+                    yield batch(shard.runs())
+                if shard is not None:
+                    asked.append((doc, start, letters))
+                    size += len(letters)
+                    if size >= batch_chars:
+                        yield batch(shard.runs(Stretches(asked, -2)))
+                        asked, size = [], 0
+        if asked:
+            yield batch(shard.runs(Stretches(asked, -2)))
+        elif held:
+            yield batch(Shard(held, min_chars).runs())
+
+    return rows.select("shard", "asked", "doc_id", "start", "letters").mapInArrow(run, RUNS)
+
+
 def shared_runs(docs: DataFrame, min_chars: int = MIN_CHARS, shard_chars: int = SHARD_CHARS) -> tuple[DataFrame, DataFrame]:
     """``(runs, classes)``: maximal common runs of at least ``min_chars`` between different texts (columns of RUNS, doc_a < doc_b, both
     representatives), and ``(doc_id, rep)`` of every document long enough.
@@ -151,36 +227,42 @@ def shared_runs(docs: DataFrame, min_chars: int = MIN_CHARS, shard_chars: int =
     Runs are counted in characters as stored. Null and shorter texts have none; a passage repeated within one document is not shared; exact
     copies are one class, so they cost one document's work. Ids must not be null; of a repeated id with different texts each text counts.
     """
-    spark = docs.sparkSession
-    members = materialize(classes(docs, min_chars), "text-classes")
-    copies = small_side(members.where("doc_id <> rep").select("doc_id").distinct(), "copies")
-    unique = docs.where((F.char_length("text") >= min_chars) & F.col("doc_id").isNotNull()).select("doc_id", "text").join(copies, "doc_id", "left_anti")
+    digests = materialize(text_digests(docs, min_chars), "digests")
+    members = materialize(classes(digests), "text-classes")
+    copies = small_side(members.where("doc_id <> rep").select("doc_id", "digest").distinct(), "copies")
+    unique = _long(docs, min_chars).join(copies, ["doc_id", "digest"], "left_anti").select("doc_id", "text")
     placed = find_anchors(unique, min_chars).repartition("hash")  # one exchange, read by both sides of the join
-    common = placed.groupBy("hash").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a <> b").select("hash")
-    shared = materialize(placed.join(common, "hash"), "shared-anchors")
-    per_doc = shared.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "hash"))).alias("anchors"))  # bounded by one text
-    ids = small_side(shared.select("doc_id").distinct(), "sharing-documents")
-    sharing = unique.join(ids, "doc_id", "left_semi")
-    total = sharing.agg(F.sum(F.char_length("text")).alias("n")).first()["n"] or 0
-    shards = max(1, -(-total // shard_chars))
+    common_ = placed.groupBy("hash").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a <> b").select("hash")
+    shared = materialize(placed.join(common_, "hash"), "shared-anchors")
+    gram, window = winnowing(min_chars)
+    shards = max(1, -(-shared.count() * window // shard_chars))  # a segment has an anchor in about half a window
     shard = F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int")
-    meet = (shared.select("hash", shard.alias("shard")).distinct().groupBy("hash").agg(F.collect_set("shard").alias("others")))  # at most `shards` each
-    pairs = (shared.select("hash", "doc_id").distinct().join(meet, "hash").select("doc_id", F.explode("others").alias("other")).distinct()
-             .select("doc_id", F.least(shard, "other").alias("i"), F.greatest(shard, "other").alias("j")).distinct())
-    rows = (pairs.join(per_doc, "doc_id").join(sharing, "doc_id")
-            .select("i", "j", shard.alias("shard"), "doc_id", "text", F.col("anchors.hash").alias("hashes"), F.col("anchors.pos").alias("positions")))
-    gram, _ = winnowing(min_chars)
-
-    def task(pdf: pd.DataFrame) -> pd.DataFrame:
-        i, j = int(pdf["i"].iat[0]), int(pdf["j"].iat[0])
-        index = pdf[pdf["shard"] == i].sort_values("doc_id").reset_index(drop=True)
-        query = index if i == j else pdf[pdf["shard"] == j].sort_values("doc_id").reset_index(drop=True)
-        if not len(index) or not len(query):
-            return pd.DataFrame([], columns=["doc_a", "doc_b", "start_a", "start_b", "length"])
-        return runs_of_shards(index, query, i == j, gram, min_chars)
-
-    runs = rows.groupBy("i", "j").applyInPandas(task, RUNS)
-    return materialize(runs, "shared-runs"), members
+    meet = shared.select("hash", shard.alias("shard")).distinct().groupBy("hash").agg(F.collect_set("shard").alias("others"))  # at most `shards` each
+    others = (shared.select("hash", "doc_id").distinct().join(meet, "hash").select("doc_id", F.explode("others").alias("other"))
+              .where(F.col("other") < shard).distinct().groupBy("doc_id").agg(F.collect_list("other").alias("others")))
+    anchors = shared.groupBy("doc_id").agg(F.sort_array(F.collect_set("pos")).alias("positions"))  # bounded by one text
+    plan = small_side(anchors.join(others, "doc_id", "left"), "sharing-documents", 100_000)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, lists, starts, letters = [], [], [], []
+            for doc, text, positions, rest in zip(*(c.to_pylist() for c in b.columns)):
+                for start, piece in segments(text, positions, gram, window):
+                    ids.append(doc)
+                    lists.append(rest or [])
+                    starts.append(start)
+                    letters.append(piece)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lists, pa.list_(pa.int32())), pa.array(starts, pa.int32()),
+                                              pa.array(letters, pa.string())], names=["doc_id", "others", "start", "letters"])
+
+    pieces = unique.join(plan, "doc_id").select("doc_id", "text", "positions", "others").mapInArrow(
+        cut, "doc_id bigint, others array<int>, start int, letters string")
+    to = F.concat(F.array(F.struct(shard.alias("shard"), F.lit(False).alias("asked"))),
+                  F.transform("others", lambda x: F.struct(x.alias("shard"), F.lit(True).alias("asked"))))
+    rows = pieces.select("doc_id", "start", "letters", F.explode(to).alias("to")).select("to.shard", "to.asked", "doc_id", "start", "letters")
+    tasks = min(shards, MAX_TASKS)
+    rows = rows.repartitionById(tasks, F.col("shard") % tasks).sortWithinPartitions("shard", "asked")
+    return materialize(find_runs(rows, min_chars), "shared-runs"), members
 
 
 def document_pairs(runs: DataFrame, members: DataFrame) -> DataFrame:

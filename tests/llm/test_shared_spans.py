@@ -6,13 +6,13 @@ from hypothesis import given, settings, strategies as st
 
 from termloom.llm import shared_spans as ss
 from termloom.llm.anchors import Winnower
-from termloom.llm.fm_index import FMIndex, suffix_array
+from termloom.llm.fm_index import FMIndex, suffix_order
 
 
 @settings(max_examples=100)
-@given(st.lists(st.integers(1, 5), min_size=1, max_size=60), st.lists(st.integers(1, 5), min_size=1, max_size=4))
-def test_backward_search_counts_occurrences(text, pattern):
-    fm = FMIndex(np.array(text), 6)
+@given(st.lists(st.integers(1, 5), min_size=1, max_size=60), st.lists(st.integers(1, 5), min_size=1, max_size=4), st.sampled_from([4, 8, 60]))
+def test_backward_search_counts_occurrences(text, pattern, depth):
+    fm = FMIndex(np.array(text), 6, depth)
     lo, hi = fm.symbol(np.array([pattern[-1]]))
     for s in reversed(pattern[:-1]):
         lo, hi = fm.extend(np.array([s]), lo, hi)
@@ -21,10 +21,44 @@ def test_backward_search_counts_occurrences(text, pattern):
     assert set(fm.sa[int(lo[0]):int(hi[0])].tolist()) == want if want else hi[0] <= lo[0]
 
 
-@given(st.lists(st.integers(0, 3), min_size=1, max_size=50))
-def test_suffix_array(xs):
-    xs = [*xs, -1]
-    assert suffix_array(np.array(xs)).tolist() == sorted(range(len(xs)), key=lambda i: xs[i:])
+@given(st.lists(st.integers(1, 4), min_size=1, max_size=50), st.integers(1, 60))
+def test_suffix_order(xs, depth):
+    xs = [*xs, 0]
+    got = [xs[i:i + depth] for i in suffix_order(np.array(xs), 5, depth).tolist()]
+    assert got == sorted(xs[i:i + depth] for i in range(len(xs)))
+
+
+@settings(max_examples=60)
+@given(st.lists(st.text("ab\0", max_size=40), min_size=1, max_size=6), st.lists(st.text("abc", max_size=40), min_size=1, max_size=4), st.integers(2, 9))
+def test_runs_of_a_shard_are_maximal_and_complete(held, asked, n):
+    def brute_runs(x, y):
+        out = set()
+        for i in range(len(x)):
+            for j in range(len(y)):
+                if i and j and x[i - 1] == y[j - 1]:
+                    continue
+                k = 0
+                while i + k < len(x) and j + k < len(y) and x[i + k] == y[j + k]:
+                    k += 1
+                if k >= n:
+                    out.add((i, j, k))
+        return out
+
+    held, asked = [x for x in held if x], [x for x in asked if x]
+    if not held:
+        return
+    shard = ss.Shard([(d, 7, x) for d, x in enumerate(held)], n)
+    got = {tuple(r) for r in shard.runs().T.tolist()}
+    assert got == {(a, b, i + 7, j + 7, k) for a, x in enumerate(held) for b, y in enumerate(held) if a < b for i, j, k in brute_runs(x, y)}
+    if asked:
+        got = {tuple(r) for r in shard.runs(ss.Stretches([(100 + d, 0, x) for d, x in enumerate(asked)], -2)).T.tolist()}
+        assert got == {(a, 100 + b, i + 7, j, k) for a, x in enumerate(held) for b, y in enumerate(asked) for i, j, k in brute_runs(x, y)}
+
+
+def test_no_runs_without_backward_search(spark, docs, monkeypatch):
+    monkeypatch.setattr(ss.FMIndex, "extend", lambda self, s, lo, hi: (lo, lo))
+    rows = [(d, 0, t) for d, t in docs if t]
+    assert ss.Shard(rows, 60).runs().shape[1] == 0
 
 
 def test_every_long_passage_has_a_common_anchor():
