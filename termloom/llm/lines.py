@@ -1,116 +1,19 @@
-"""What a line of a page looks like, without looking at its words' meaning. Plain Python on strings."""
+"""Names of languages, as labels spell them."""
 
 from __future__ import annotations
 
 import re
 
-import xxhash
-
-#: Lines end at byte 10; a carriage return before it is stripped with other white space.
-LINE_END = re.compile("\n")
-_DIGITS = re.compile(r"\d+")
-_MAIL = re.compile(r"[\w.+-]+@[\w-]+\.[\w.-]+")
-_BULLET = re.compile(r"^\s*(?:[-*•»›>·–]|\d+[.)])\s+")
-#: Marks that stand between the entries of one line.
-_BETWEEN = re.compile(r"\s+[|·•»›>/*–-]\s+|\s{2,}|\s*\|\s*|\t+")
-_SENTENCE = re.compile(r"(?<=[.!?。！？])\s+|(?<=[。！？])")
-_STOPS = frozenset(".!?。！？…")
-_MAYBE = re.compile(r"[|·•»›>/*–\t]|  | - ").search
-_WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*|\d+")
-_HAN = re.compile(r"[㐀-鿿]")
-
-
-def words(line: str) -> list[str]:
-    return _WORD.findall(line)
-
-
-def weight(line: str) -> int:
-    """Words of a line, by its spaces; Chinese characters count two to a word."""
-    if not line.isascii():
-        han = len(_HAN.findall(line))
-        if han:
-            return (han + 1) // 2 + len(_HAN.sub("", line).split())
-    return len(line.split())
-
-
-def key(text: str) -> str:
-    """A line or entry without what changes from page to page: bullet, numbers, addresses."""
-    if text and text[0] in "-*•·»›>–0123456789":
-        text = _BULLET.sub("", text)
-    if "@" in text:
-        text = _MAIL.sub("@", text)
-    return _DIGITS.sub("0", text).strip(" \t\r\ufffd\u00a0\u3000")
-
-
-def entries(line: str) -> list[str]:
-    """The parts of a line between marks; the line alone where it has none."""
-    return [e for e in _BETWEEN.split(line.strip()) if e and e.strip()] if _MAYBE(line) else [line]
-
-
-def sentences(line: str) -> list[str]:
-    return [s for s in _SENTENCE.split(line.strip()) if s]
-
-
-def ends_sentence(line: str) -> bool:
-    return line.rstrip("\"'”»」’)] \t\r\ufffd")[-1:] in _STOPS
-
-
-def start_hash(words_: str) -> int:
-    return xxhash.xxh32_intdigest(words_) & 0xFFFF
-
-
-def h(k: str) -> int:
-    """A path's 64-bit hash as a signed number. Its low 16 bits are those of the first two words behind a leading mark (of the first alone
-    where no word follows), so a text can be told to be no known path by how it starts."""
-    t = k.split(" ", 3)
-    if len(t) > 1 and t[0] in _MARKS:
-        del t[0]
-    start = f"{t[0]} {t[1]}" if len(t) > 1 and t[1] != "N" else t[0]
-    v = xxhash.xxh64_intdigest(k) & ~0xFFFF | xxhash.xxh32_intdigest(start) & 0xFFFF
-    return v - (1 << 64) if v >= 1 << 63 else v
-
-
-_MARKS = frozenset(["N", "N,", "N.", "N:", "N;"])
+#: Three-letter codes (fixed values of ISO 639-2).
 _LABELS = {"eng": "en", "fra": "fr", "fre": "fr", "deu": "de", "ger": "de", "spa": "es", "ita": "it", "por": "pt", "nld": "nl", "dut": "nl", "lat": "la",
            "zho": "zh", "chi": "zh"}
 LANGUAGES = ("de", "en", "es", "fr", "it", "la", "nl", "pt", "zh")
 
 
-def label(lang: str | None) -> str | None:
-    """The two-letter code that a label names in some spelling (case, region, three letters, spaces); null if none."""
+def label(lang: str | None, known: tuple[str, ...] = LANGUAGES) -> str | None:
+    """The code of a ``known`` language that a label names in some spelling (case, region, three letters, spaces); null if none."""
     if lang is None:
         return None
     code = re.split(r"[-_]", lang.strip().lower())[0]
     code = _LABELS.get(code, code)
-    return code if code in LANGUAGES else None
-
-
-def keys(line: str) -> list[str]:
-    """The line's key, then forms of it in which a name at the start, the end or inside is a mark.
-
-    A name can't be told from another capitalized word here, so every end of a capitalized run is tried; votes decide which form recurs.
-    """
-    k = key(line)
-    out = [k]
-    if not k or k[0].isdigit():
-        return out
-    t = k.split(" ")
-    n = len(t)
-    head = 0
-    while head < n and (t[head][:1].isupper() or t[head] == "&"):
-        head += 1
-        if t[head - 1][-1] in ",.:;":
-            break
-    if 0 < head < n:
-        mark = t[head - 1][-1] if t[head - 1][-1] in ",.:;" else ""
-        out.append(f"N{mark} " + " ".join(t[head:]))
-    tail = n
-    if k[-1] not in ".!?":
-        while tail > 1 and (t[tail - 1][:1].isupper() or t[tail - 1] == "&"):
-            tail -= 1
-            out.append(" ".join(t[:tail]) + " N")
-    if len(k) <= 60 and tail == n and n > 3:
-        inside = [i for i in range(max(1, head), n) if t[i][:1].isupper() or t[i] == "&"]
-        if inside and inside[-1] - inside[0] == len(inside) - 1:
-            out.append(" ".join([*t[:inside[0]], "N", *t[inside[-1] + 1:]]))
-    return out
+    return code if code in known else None

@@ -8,14 +8,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ..runtime import small_side
 from . import langid
-from .lines import label
-from .pages import HOSTS_IN_MEMORY, PageReader, _decoded, _places, function_words, small, vote
+from .lines import LANGUAGES, label
+from .pages import NOT_MAIN, PROSE, TITLE, PageReader, function_words, pages_of, small, vote, with_own_paths
 
 #: So many sentences in a row make a passage count as a language of its record.
 PASSAGE = 3
-_STEP = 400
+_LETTERS = 700_000
 _PASSAGES = "array<struct<first_line:int,last_line:int,sentences:int,lang:string,confidence:double>>"
 
 
@@ -25,100 +24,80 @@ def train(samples: DataFrame, limit: int = langid.MAX_SAMPLES) -> langid.Model:
     return langid.train([(r["lang"], r["text"]) for r in rows])
 
 
-def label_of(column: str = "lang"):
-    """Two-letter code of a label in some spelling, null for none: the SQL form of lines.label."""
-    from .lines import _LABELS, LANGUAGES
-
-    code = F.regexp_replace(F.lower(F.trim(column)), "[-_].*$", "")
-    pairs = [F.lit(x) for kv in _LABELS.items() for x in kv]
-    code = F.coalesce(F.try_element_at(F.create_map(*pairs), code), code)
-    return F.when(code.isin(*LANGUAGES), code)
-
-
-def _sentences_of(rows: list[str], kinds: list[str]) -> tuple[list[str], list[int], list[bool]]:
-    """Sentences of the main text with their line numbers; those of prose count for passages.
-
-    A page without prose is judged by its title and other main lines, then by all its lines: key words alone tell little.
-    """
-    for chosen in ("P", "TMI", "TMIFKX"):
-        out, at = [], []
-        for i, (r, k) in enumerate(zip(rows, kinds)):
-            if k in chosen:
-                for s in langid.sentences(r) if k == "P" else [r] if r else []:
-                    out.append(s)
-                    at.append(i + 1)
-        if out:
-            return out, at, [chosen == "P"] * len(out)
-    return [], [], []
-
-
-def _prose_of(reader: PageReader, text: str, own: frozenset[int]) -> tuple[list[str], list[int], list[bool]]:
-    rows, kinds = reader.prose(text, own)
-    if "P" not in kinds:
-        rows, kinds = reader.read(text, own)
-    return _sentences_of(rows, kinds)
-
-
 def languages(records: DataFrame, samples: DataFrame, model: langid.Model | None = None) -> DataFrame:
     """``(record_id, label, lang, confidence, mixed, passages)`` of every record with content, repeated rows included.
 
-    ``label`` is the two-letter code of the given label, ``lang`` the language that most words of the main text are in, ``confidence`` the mean
+    ``label`` is the two-letter code of the given label, ``lang`` the language that most of the main text is in, ``confidence`` the mean
     calibrated probability of its sentences, ``mixed`` the languages with PASSAGE sentences in a row where there are two or more of
-    them, ``passages`` the runs of sentences of one language with their lines. Null labels are kept as null; bytes that
+    them, ``passages`` the runs of sentences of one language with their lines. Headings, lists and the title weigh in for ``lang``, each by its
+    probabilities; where there are no sentences they alone decide, and without any main text all lines do. Null labels are kept as null; bytes that
     aren't UTF-8 are replaced; null, empty and blank content has no row.
     """
     winners, of_host = vote(records)
     words_ = function_words(samples)
     model = model or train(samples)
-    rows = _places(records).where("octet_length(content) > 0").select("record_id", "content", "lang", "host")
-    rows = rows.join(small_side(of_host, "host-paths", HOSTS_IN_MEMORY), "host", "left").select("record_id", "content", "lang", "paths")
-
-    def of_pages(reader: PageReader, pages: list[tuple]) -> list[tuple]:
-        parts = [_prose_of(reader, text, own) for _, text, _, own in pages]
-        flat = [s for p in parts for s in p[0]]
-        if not flat:
-            return []
-        logp = model.log_probabilities(model.logits(flat))
-        out, a = [], 0
-        for (rid, _, lab, _), (ss, at, prose) in zip(pages, parts):
-            b = a + len(ss)
-            if b > a:
-                out.append((rid, label(lab), *_judge(model, ss, at, prose, logp[a:b])))
-            a = b
-        return out
+    rows = with_own_paths(records, of_host, ["record_id", "lang"])
+    known = tuple(sorted({*LANGUAGES, *model.languages}))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = PageReader(winners, words_)
         passage = pa.list_(pa.struct([("first_line", pa.int32()), ("last_line", pa.int32()), ("sentences", pa.int32()),
                                       ("lang", pa.string()), ("confidence", pa.float64())]))
         types = [pa.string(), pa.string(), pa.string(), pa.float64(), pa.list_(pa.string()), passage]
-        for b in small(batches, _STEP):
-            got = []
-            for rid, content, lab, own in zip(*(c.to_pylist() for c in b.columns)):
-                text = _decoded(content)
-                if text.strip():
-                    got.append((rid, text, lab, frozenset(own or ())))
-            cols = list(zip(*of_pages(reader, got))) or [[]] * 6
+        for b in small(batches, letters=_LETTERS):
+            at, texts, p, kinds = pages_of(reader, b)
+            ids, labels = b.column(1).to_pylist(), b.column(2).to_pylist()
+            bounds = np.searchsorted(p.page, np.arange(len(texts) + 1)).tolist()
+            parts = [_main(t, p.number[i:j].tolist(), kinds[i:j]) for t, i, j in zip(texts, bounds, bounds[1:])]
+            flat = [s for x in parts for s in x[0]]
+            logp = model.log_probabilities(model.logits(flat)) if flat else np.zeros((0, len(model.languages)))
+            got, k = [], 0
+            for row, (ss, lines, prose) in zip(at, parts):
+                if ss:
+                    got.append((ids[row], label(labels[row], known), *_judge(model, ss, lines, prose, logp[k:k + len(ss)])))
+                k += len(ss)
+            cols = list(zip(*got)) or [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types)],
                                              names=["record_id", "label", "lang", "confidence", "mixed", "passages"])
 
     return rows.mapInArrow(run, f"record_id string, label string, lang string, confidence double, mixed array<string>, passages {_PASSAGES}")
 
 
-def _judge(model: langid.Model, ss: list[str], at: list[int], prose: list[bool], logp: np.ndarray) -> tuple:
-    path = langid.smooth(logp)
-    size = np.array([len(s) for s in ss], float)
-    amount = np.bincount(path, weights=size, minlength=len(model.languages))
-    main = int(amount.argmax())
+def _main(text: str, numbers: list[int], kinds: np.ndarray) -> tuple[list[str], list[int], np.ndarray]:
+    """Sentences and other lines of the main text, their line numbers and whether they are sentences of prose."""
+    rows = text.split("\n")
+    main = ~np.isin(kinds, NOT_MAIN)
+    if not (main & (kinds != TITLE)).any():
+        main = np.ones(len(kinds), bool)
+    ss, at, prose = [], [], []
+    for n, k, use in zip(numbers, kinds.tolist(), main.tolist()):
+        if use:
+            line = rows[n - 1].strip()
+            parts = langid.sentences(line) if k == PROSE else [line]
+            ss += parts
+            at += [n] * len(parts)
+            prose += [k == PROSE] * len(parts)
+    return ss, at, np.array(prose, bool)
+
+
+def _judge(model: langid.Model, ss: list[str], at: list[int], prose: np.ndarray, logp: np.ndarray) -> tuple:
+    sure = prose if prose.any() else np.ones(len(ss), bool)
+    size = np.fromiter(map(len, ss), float, len(ss))
     p = np.exp(logp)
-    confidence = float(np.average(p[path == main, main], weights=size[path == main]))
+    amount = (p[~sure] * size[~sure, None]).sum(axis=0)
+    where, p, size = np.flatnonzero(sure), p[sure], size[sure]
+    path = langid.smooth(logp[sure])
+    amount += np.bincount(path, weights=size, minlength=len(model.languages))
+    main = int(amount.argmax())
+    own = path == main
+    confidence = float(np.average(p[own, main], weights=size[own]) if own.any() else np.average(p[:, main], weights=size))
     cuts = np.flatnonzero(np.diff(path)) + 1
     passages, long_ = [], set()
     for a, b in zip([0, *cuts], [*cuts, len(path)]):
         c = int(path[a])
-        passages.append({"first_line": at[a], "last_line": at[b - 1], "sentences": int(b - a), "lang": model.languages[c],
+        passages.append({"first_line": at[where[a]], "last_line": at[where[b - 1]], "sentences": int(b - a), "lang": model.languages[c],
                          "confidence": round(float(p[a:b, c].mean()), 6)})
-        if prose[a] and b - a >= PASSAGE:
+        if prose[where[a]] and b - a >= PASSAGE:
             long_.add(model.languages[c])
     return model.languages[main], round(confidence, 6), sorted(long_) if len(long_) > 1 else [], passages
 

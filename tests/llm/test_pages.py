@@ -1,8 +1,10 @@
 import random
 
+import numpy as np
 import pytest
+from hypothesis import given, settings, strategies as st
 
-from termloom.llm import langid, lines, page_languages as pl, pages
+from termloom.llm import langid, lines, page_languages as pl, page_lines as pg, pages
 
 EN = ["the", "a", "one", "our", "this"]
 NOUN = ["river", "boat", "garden", "teacher", "window", "letter", "bridge", "table", "market", "story", "horse", "cloud", "engine", "forest", "island", "kettle"]
@@ -85,12 +87,36 @@ def test_furniture_and_spam(spark, crawl, samples):
     assert pages.read_pages(df.limit(0), samples).count() == 0
 
 
-def test_keys_and_shapes():
-    assert lines.key("- 12.3.2020 14:05 #77") == "0.0.0 0:0 #0" and lines.key("Mail a.b@c.de 5") == "Mail @ 0"
-    assert "Follow N" in lines.keys("Follow Zarok Bix") and "N stores small files." in lines.keys("Zarok & Bix stores small files.")
+def test_paths_and_shapes():
+    assert pg.path("- 12.3.2020 14:05 #77") == pg.path("1.4.19 1:2 #3") and pg.path("Mail a.b@c.de 5") == pg.path("Mail x@y.z 71")
+    same = lambda a, b: set(pg.forms(a)[1:]) & set(pg.forms(b)[1:])
+    assert same("Follow Zarok Bix", "Follow Anna") and same("Zarok & Bix stores small files.", "Anna stores small files.")
+    assert same("Posted by Ann in the news", "Posted by Bob Lee in the news") and not same("Follow Zarok", "Print Zarok")
+    assert not same("Zarok, stores files.", "Zarok stores files.")
     assert lines.label(" EN-gb ") == "en" and lines.label("deu") == "de" and lines.label("??") is None and lines.label(None) is None and lines.label("xx") is None
-    assert lines.entries("a | b - c") == ["a", "b", "c"] and lines.ends_sentence('so "x."') and not lines.ends_sentence("x")
-    assert lines.weight("a b c") == 3 and lines.weight("黑龙江水") == 2
+    p = pg.PageLines(["T\na | b - c\nso \"x.\"\r\n\n 黑龙江水 \nOne two. Three four", "", "U"])
+    assert p.page.tolist() == [0, 0, 0, 0, 0, 2] and p.number.tolist() == [1, 2, 3, 5, 6, 1]
+    assert p.pieces.tolist() == [1, 3, 1, 1, 2, 1] and p.ends.tolist() == [False, False, True, False, False, False]
+    assert p.weight[:p.lines].tolist() == [1, 5, 2, 2, 4, 1]
+    assert pg.PageLines([]).lines == 0 and pg.PageLines(["", "\n \n"]).lines == 0
+
+
+@settings(max_examples=60)
+@given(st.lists(st.text("ab A.\n|-5@黑龙\t", max_size=60), max_size=5))
+def test_pages_are_looked_at_one_by_one_or_together(texts):
+    """No page has any influence on how another one looks."""
+    both = pg.PageLines(texts)
+    page, path, counts = pages.page_votes(both)
+    for i, t in enumerate(texts):
+        one = pg.PageLines([t])
+        mine = both.page == i
+        assert one.number.tolist() == both.number[mine].tolist() and one.weight[:one.lines].tolist() == both.weight[:both.lines][mine].tolist()
+        _, path1, counts1 = pages.page_votes(one)
+        assert path1.tolist() == path[page == i].tolist() and counts1.tolist() == counts[page == i].tolist()
+
+
+def test_gaps():
+    assert pg.gaps(np.array([0, 0, 0, 1, 1]), np.array([7, 8, 7, 7, 7])).tolist() == [0, 0, 2, 0, 1]
 
 
 def test_language_model_on_held_out_sentences():
@@ -133,24 +159,49 @@ def test_a_host_is_one_judge_whatever_its_labels(spark):
         winners, of_host = pages.vote(spark.createDataFrame(rows, SCHEMA))
     finally:
         pages.kind = real
-    assert winners[lines.h("Sitemap")] == pages.FURNITURE
-    assert [(x["h"], x["judges"], x["agree"], x["share"]) for x in seen] == [(10, 10, 10.0, 1.0)]
-    assert all(lines.h("Sitemap") in r["paths"] for r in of_host.collect()) and of_host.count() == 10
+    assert winners[pg.path("Sitemap")] == pages.FURNITURE
+    assert (10, 10, 10.0, 1.0) in [(x["h"], x["judges"], x["agree"], x["share"]) for x in seen]
+    assert all(pg.path("Sitemap") in r["paths"] for r in of_host.collect()) and of_host.count() == 10
+
+
+def _votes(text):
+    _, path, counts = pages.page_votes(pg.PageLines([text]))
+    return dict(zip(path.tolist(), counts.tolist()))
 
 
 def test_vote_counters_are_bounded():
-    a, b = lines.h("a"), lines.h("b")
-    for n in (16_383, 32_767, 32_768, 70_000):
-        got = pages.Voter().votes("T\n" + "\n".join(["a | a"] * n))
+    a, b = pg.path("a"), pg.path("b")
+    for n in (16_383, 32_767, 70_000):
+        got = _votes("T\n" + "\n".join(["a | a"] * n))
         assert got[a] >> 48 == min(2 * n, 0x7FFF) and all(0 <= v < 1 << 63 for v in got.values())
-    text = "T\nb\n" + "\n".join(["Boat sale"] * 65_540)
-    got = pages.Voter().votes(text)
-    assert lines.h("Boat sale") not in got and got[b] & 0xFFFF == 1  # 65,540 wrapped around would look like 4 or fewer
-    assert lines.h("Boat sale") not in pages.Voter().votes("T\n" + "\n".join(["Boat sale"] * 65_537))
+    got = _votes("T\nb\n" + "\n".join(["Boat sale"] * 65_540))
+    assert got[pg.path("Boat sale")] & 0xFFFF == 0x7FFF and got[b] & 0xFFFF == 1
 
 
 def _read(winners, text, own=()):
-    return pages.PageReader({lines.h(k): v for k, v in winners.items()}, frozenset(["the", "a"])).read(text, frozenset(map(lines.h, own)))[1]
+    reader = pages.PageReader({pg.path(k): v for k, v in winners.items()}, frozenset(["the", "a"]))
+    p, kinds = reader.read([text], np.zeros(1, np.int64), [np.array([pg.path(x) if isinstance(x, str) else x for x in own], np.int64)])
+    return kinds.tolist()
+
+
+def test_without_votes_nothing_is_furniture(crawl):
+    rows, truth = crawl
+    texts = [r[2].decode() for r in rows]
+    p, kinds = pages.PageReader({}, frozenset(["the", "a"])).read(texts)
+    assert (kinds == pages.SITES).sum() == 0
+    winners = {int(k): pages.FURNITURE for k in (pg.TITLES, pg.ENTRIES)}
+    assert (pages.PageReader(winners, frozenset(["the", "a"])).read(texts)[1] == pages.SITES).sum() > 8 * len(rows)
+
+
+def test_recurrence_decides_key_words(monkeypatch):
+    rng = random.Random(11)
+    reader = pages.PageReader({}, frozenset(["the", "a"]))
+    bodies = ["\n".join("Boat sale boat! Cheap boat sale boat near boat. Sale boat, cheap boat." for _ in range(9)),
+              "\n".join(f"cheap {rng.choice(['boat', 'table', 'lamp'])}" for _ in range(60)), " ".join(["buy boat cheap lamp"] * 30)]
+    texts = [f"T\n{b}" for b in bodies] + [f"T\n{paragraph(rng, 40)}"]
+    assert pages.spam(*reader.read(texts)).tolist() == [True, True, True, False]
+    monkeypatch.setattr(pages, "gaps", lambda group, term: np.zeros(len(term), np.int64))
+    assert pages.spam(*reader.read(texts)).tolist() == [False] * 4
 
 
 def test_long_notices_vote_and_are_known(spark, samples):
@@ -161,11 +212,11 @@ def test_long_notices_vote_and_are_known(spark, samples):
         notice[host] = paragraph(rng, 4 + host)  # 200 to 1,000 characters
         for page in range(4):
             rows.append((f"n{host}-{page}", f"http://n{host}.example/{page}", bytearray(f"T\n{paragraph(rng)}\n{notice[host]}\n{paragraph(rng, 9)}".encode()), "en", 1))
-    assert min(map(len, notice.values())) > pages.LONG_LINE and max(map(len, notice.values())) > 500
+    assert min(map(len, notice.values())) > pg.LONG_LINE and max(map(len, notice.values())) > 500
     found = {r["record_id"]: r["furniture"] for r in pages.read_pages(spark.createDataFrame(rows, SCHEMA), samples).collect()}
     assert len(found) == 48 and all(v == [3] for v in found.values())
-    voted = pages.Voter().votes(f"T\n{notice[0]}")
-    assert lines.h(notice[0]) in voted and all(lines.h(s) in voted for s in lines.sentences(notice[0]))
+    voted = _votes(f"T\n{notice[0]}")
+    assert pg.path(notice[0]) in voted and all(pg.path(f"{x}.") in voted for x in notice[0].rstrip(".").split(". "))
 
 
 def test_known_pieces_count_wherever_they_stand():
@@ -173,21 +224,24 @@ def test_known_pieces_count_wherever_they_stand():
     one, two, three = notices
     odd = "Zarok grew quietly."
     long_ = " ".join([odd, two, three, two])
-    assert len(long_) > pages.LONG_LINE and len(f"{odd} {two}") <= pages.LONG_LINE
+    assert len(long_) > pg.LONG_LINE and len(f"{odd} {two}") <= pg.LONG_LINE
     body = paragraph(random.Random(8)) + " " + one
-    assert _read(notices, f"T\n{long_}\n{odd} {two}\n{odd} {two} {odd}\n{body}") == ["T", "F", "F", "F", "P"]
-    assert _read({}, f"T\n{long_}\n{odd} {two}\n{body}", own=[two, three]) == ["T", "F", "F", "P"]  # the host's own paths alone
-    assert pages.PageReader({}, frozenset()).prose(f"T\n{long_}")[1] == ["_", "P"]
+    T, F, P = pages.TITLE, pages.SITES, pages.PROSE
+    assert _read(notices, f"T\n{long_}\n{odd} {two}\n{odd} {two} {odd}\n{body}") == [T, F, F, F, P]
+    assert _read({}, f"T\n{long_}\n{odd} {two}\n{body}", own=[two, three]) == [T, F, F, P]  # the host's own paths alone
+    glued = {"Accept all": 1, "Manage preferences": 1, two: 1}
+    assert _read(glued, f"T\nAccept all Manage preferences {two}\nAccept all Zarok {odd}\n{body}")[1] == F
 
 
 def test_generalised_paths_of_a_host_are_applied():
     body = paragraph(random.Random(9))
-    assert _read({}, f"T\n{body}\nPosted by Ann Lee\n{body}", own=["Posted by N"]) == ["T", "P", "F", "P"]
+    name = pg.forms("Posted by Zarok")[-1]
+    assert _read({}, f"T\n{body}\nPosted by Ann Lee\n{body}", own=[name]) == [pages.TITLE, pages.PROSE, pages.SITES, pages.PROSE]
 
 
 def test_pages_without_url_vote_each(spark):
     rng = random.Random(10)
     rows = [(f"u{k}", None, bytearray(f"T\n{paragraph(rng)}\nPrint this page".encode()), "en", 1) for k in range(6)]
     winners, of_host = pages.vote(spark.createDataFrame(rows, SCHEMA))
-    assert winners[lines.h("Print this page")] == pages.FURNITURE and of_host.count() == 0
+    assert winners[pg.path("Print this page")] == pages.FURNITURE and of_host.count() == 0
     assert pages.vote(spark.createDataFrame(rows[:1] * 6, SCHEMA))[0] == {}  # equal pages vote once
