@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import langid
 from .lines import LANGUAGES, label
-from .pages import NOT_MAIN, PROSE, TITLE, PageReader, function_words, pages_of, small, vote, with_own_paths
+from .pages import NOT_MAIN, PROSE, PageReader, function_words, pages_of, small, vote, with_own_paths
 
 #: So many sentences in a row make a passage count as a language of its record.
 PASSAGE = 3
@@ -67,7 +67,7 @@ def _main(text: str, numbers: list[int], kinds: np.ndarray) -> tuple[list[str],
     """Sentences and other lines of the main text, their line numbers and whether they are sentences of prose."""
     rows = text.split("\n")
     main = ~np.isin(kinds, NOT_MAIN)
-    if not (main & (kinds != TITLE)).any():
+    if not main.any():  # key words alone tell little, so the title alone decides before them
         main = np.ones(len(kinds), bool)
     ss, at, prose = [], [], []
     for n, k, use in zip(numbers, kinds.tolist(), main.tolist()):
