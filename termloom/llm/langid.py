@@ -63,9 +63,9 @@ class Model:
                 size += len(texts[end])
                 end += 1
             gs, starts = grams(texts[at:end])
-            total = self.weights[gs[0]]
+            total = np.take(self.weights, gs[0], axis=0, mode="clip")  # all are in range; without the check it is four times as fast
             for g in gs[1:]:
-                total += self.weights[g]
+                total += np.take(self.weights, g, axis=0, mode="clip")
             n = np.diff(np.append(starts, len(gs[0])))
             count = sum(np.maximum(0, n - (o - 1)) for o in ORDERS)
             out[at:end] = np.add.reduceat(total, starts, axis=0) / np.maximum(1, count)[:, None] + self.bias

@@ -15,13 +15,18 @@ from .pages import NOT_MAIN, PROSE, PageReader, function_words, pages_of, small,
 #: So many sentences in a row make a passage count as a language of its record.
 PASSAGE = 3
 _LETTERS = 700_000
+_MODELS: dict[tuple, langid.Model] = {}
 _PASSAGES = "array<struct<first_line:int,last_line:int,sentences:int,lang:string,confidence:double>>"
 
 
 def train(samples: DataFrame, limit: int = langid.MAX_SAMPLES) -> langid.Model:
     """The model of ``(lang, text)`` rows, of which at most ``limit`` are fetched to the driver, by the order of their hash."""
     rows = samples.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text").orderBy(F.xxhash64("text")).limit(limit).collect()
-    return langid.train([(r["lang"], r["text"]) for r in rows])
+    key = tuple((r["lang"], r["text"]) for r in rows)
+    if key not in _MODELS:  # training takes seconds, so the last model is kept
+        _MODELS.clear()
+        _MODELS[key] = langid.train(list(key))
+    return _MODELS[key]
 
 
 def languages(records: DataFrame, samples: DataFrame, model: langid.Model | None = None) -> DataFrame:
