@@ -29,8 +29,8 @@ _MARK = "CASE WHEN records < 3 THEN 'rare' WHEN records > 0.30 * n THEN 'common'
 
 
 def _marked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lexicon")
-    return term_counts.mark_terms(term_counts.count_terms(lines), lines)
+    store = term_counts.count_terms(table(spark, sf_dir, "lexicon"))
+    return term_counts.mark_terms(store.counts(), store.records)
 
 
 @query("p1_found", f"WITH {_COUNTS} SELECT term, mark FROM (SELECT term, {_MARK} FROM c, n) WHERE mark IS NOT NULL")
@@ -49,8 +49,9 @@ def p1_incremental(spark, sf_dir):
     lines, ranges = table(spark, sf_dir, "lexicon"), table(spark, sf_dir, "doc_ranges")
     end = ranges.agg(F.min("end_id").alias("e")).scalar()
     first = lines.where(F.col("doc_id") <= end)
-    store = term_counts.CountStore(spark, term_counts.new_scratch(spark, "term-counts")).apply(term_counts.signed_delta(first))
-    return store.apply(term_counts.signed_delta(lines, first)).counts()
+    path = term_counts.new_scratch(spark, "term-counts")
+    term_counts.CountStore(spark, path).apply(first)
+    return term_counts.CountStore.open(spark, path).apply(lines, first).counts()
 
 
 _TOP = ("SELECT *, row_number() OVER (PARTITION BY seg_id, term ORDER BY score DESC, freq DESC NULLS LAST, doc_id DESC NULLS LAST) AS rank"

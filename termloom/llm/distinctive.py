@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..runtime import materialize
 
-#: The document-frequency table is sent to every task only up to this many rows (about 40 bytes each); beyond, it is shuffled.
-BROADCAST_ROWS = 1_000_000
+#: Terms that hold this share of all (record, term) rows go to every task: at most 1 / HOT_SHARE of them, whatever the collection's size.
+HOT_SHARE = 2e-6
 
 
 def term_statistics(lines: DataFrame, docs: DataFrame) -> DataFrame:
@@ -27,8 +27,7 @@ def term_statistics(lines: DataFrame, docs: DataFrame) -> DataFrame:
     return materialize(tf.join(length, "doc_id", "left"), "term-statistics")
 
 
-def weigh(stats: DataFrame, docs: DataFrame, how: str = "bm25", min_records: int = 3, digits: int = 6,
-          broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def weigh(stats: DataFrame, docs: DataFrame, how: str = "bm25", min_records: int = 3, digits: int = 6, hot_share: float = HOT_SHARE) -> DataFrame:
     """``(doc_id, term, weight)`` for every term found in at least ``min_records`` records, of records with a length.
 
     ``how``: ``llr`` is the signed log-likelihood ratio of the two-by-two table (term or other token, this record or the rest);
@@ -36,9 +35,12 @@ def weigh(stats: DataFrame, docs: DataFrame, how: str = "bm25", min_records: int
     """
     per_term = stats.groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.sum("tf").alias("cf"))
     per_term = materialize(per_term.where(F.col("n") >= min_records), "term-frequencies")
-    if per_term.count() <= broadcast_rows:
-        per_term = F.broadcast(per_term)
-    rows = stats.where("len IS NOT NULL AND tf IS NOT NULL").join(per_term, "term")
+    limit = max(stats.count() * hot_share, min_records)
+    hot, cold = F.broadcast(per_term.where(F.col("n") >= limit)), per_term.where(F.col("n") < limit)
+    rows = stats.where("len IS NOT NULL AND tf IS NOT NULL")
+    # The terms that own most rows are joined where the rows are; none of the others is large enough to hold up a task.
+    rest = rows.join(F.broadcast(per_term.where(F.col("n") >= limit).select("term")), "term", "left_anti")
+    rows = rows.join(hot, "term").unionByName(rest.join(cold, "term")) if limit > min_records else rows.join(hot, "term")
     if how == "bm25":
         n_all = stats.select("doc_id").distinct().agg(F.count(F.lit(1)).cast("double").alias("n")).scalar()
         avgdl = docs.select("doc_id", "url", "lang", "len", "off").distinct().agg(F.avg("len").alias("a")).scalar()

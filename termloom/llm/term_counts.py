@@ -52,22 +52,38 @@ def merge_counts(counts: DataFrame, delta: DataFrame) -> DataFrame:
     )
 
 
+def record_delta(added: DataFrame, removed: DataFrame | None = None) -> int:
+    """Change in the number of records, those with a non-empty term; as in ``signed_delta`` each record is given whole."""
+    def records(df: DataFrame) -> int:
+        named = df.where("term IS NOT NULL AND term <> '' AND doc_id IS NOT NULL").select("doc_id").distinct()
+        return named.agg(F.count(F.lit(1)).alias("n")).first()["n"]
+
+    return records(added) - (records(removed) if removed is not None else 0)
+
+
 class CountStore:
-    """Counts on shared storage: ``path/v=N/bucket=B``. A small manifest per version names each bucket's current version.
+    """Counts on shared storage: ``path/v=N/bucket=B``. A small manifest per version names each bucket's current version, the number of
+    buckets and of records.
 
     A merge writes new bucket files beside the old ones and adds its manifest last, so readers and a job that dies half way
-    always see a complete version. The manifest has one row per bucket (``buckets`` rows at most).
+    always see a complete version. The manifest has one row per bucket (``buckets`` rows at most). Large buckets are written by several tasks.
     """
 
     def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
-        self.spark, self.path, self.buckets, self.version = spark, path, buckets, 0
+        self.spark, self.path, self.buckets, self.version, self.records = spark, path, buckets, 0, 0
         self.current: dict[int, int] = {}
 
     @classmethod
-    def open(cls, spark: SparkSession, path: str, version: int, buckets: int = 64) -> "CountStore":
-        store = cls(spark, path, buckets)
-        rows = spark.read.parquet(f"{path}/manifest/v={version}").collect()  # at most `buckets` rows
-        store.version, store.current = version, {r["bucket"]: r["version"] for r in rows}
+    def open(cls, spark: SparkSession, path: str, version: int | None = None) -> "CountStore":
+        """The store as of a version, the latest by default; it knows its own number of buckets."""
+        manifest = spark.read.schema("bucket int, version int, buckets int, records bigint, v int").parquet(f"{path}/manifest")
+        if version is None:
+            version = manifest.agg(F.max("v").alias("v")).first()["v"]
+        rows = manifest.where(F.col("v") == version).collect()  # at most `buckets` rows
+        if not rows:
+            raise ValueError(f"no version {version} in {path}")
+        store = cls(spark, path, rows[0]["buckets"])
+        store.version, store.records, store.current = version, rows[0]["records"], {r["bucket"]: r["version"] for r in rows}
         return store
 
     def _read(self, only: set[int] | None = None) -> DataFrame:
@@ -84,33 +100,34 @@ class CountStore:
     def counts(self) -> DataFrame:
         return self._read().drop("bucket")
 
-    def apply(self, delta: DataFrame) -> "CountStore":
+    def apply(self, added: DataFrame, removed: DataFrame | None = None) -> "CountStore":
+        """Merge a change of the collection, given as for ``signed_delta``; only the change and the buckets it touches are read."""
+        delta = signed_delta(added, removed)
         bucket = F.pmod(F.xxhash64("term"), F.lit(self.buckets)).cast("int")
         delta = materialize(delta, "term-delta") if self.current else delta
         touched = {r[0] for r in delta.select(bucket).distinct().collect()} if self.current else None
         after = merge_counts(self._read(touched).drop("bucket"), delta).withColumn("bucket", bucket)
         v = self.version + 1
-        after.repartition(F.col("bucket")).write.option("compression", "zstd").partitionBy("bucket").parquet(f"{self.path}/v={v}")
+        after.hint("rebalance", "bucket").write.option("compression", "zstd").partitionBy("bucket").parquet(f"{self.path}/v={v}")
         written = range(self.buckets) if touched is None else touched
         self.current |= {b: v for b in written}
-        self.spark.createDataFrame(sorted(self.current.items()), "bucket int, version int").coalesce(1).write.parquet(
-            f"{self.path}/manifest/v={v}")
+        self.records += record_delta(added, removed)
+        rows = [(b, n, self.buckets, self.records) for b, n in sorted(self.current.items())]
+        self.spark.createDataFrame(rows, "bucket int, version int, buckets int, records bigint").coalesce(1).write.parquet(f"{self.path}/manifest/v={v}")
         self.version = v
         return self
 
 
-def count_terms(lines: DataFrame) -> DataFrame:
+def count_terms(lines: DataFrame) -> CountStore:
     """Counts of a whole collection: its lines as one delta, merged into a new partitioned store."""
     spark = lines.sparkSession
-    return CountStore(spark, new_scratch(spark, "term-counts")).apply(signed_delta(lines)).counts()
+    return CountStore(spark, new_scratch(spark, "term-counts")).apply(lines)
 
 
-def mark_terms(counts: DataFrame, lines: DataFrame, rare_below: int = 3, common_above: str = "0.30") -> DataFrame:
-    """``counts`` with ``mark``: ``rare`` in fewer than ``rare_below`` records, ``common`` in more than that share of all, else null.
+def mark_terms(counts: DataFrame, records: int, rare_below: int = 3, common_above: str = "0.30") -> DataFrame:
+    """``counts`` with ``mark``: ``rare`` in fewer than ``rare_below`` records, ``common`` in more than that share of all ``records``, else null.
 
-    All records are the distinct ``doc_id`` of lines with a non-empty term. ``rare`` wins where both hold.
+    ``rare`` wins where both hold.
     """
-    n = (lines.where("term IS NOT NULL AND term <> '' AND doc_id IS NOT NULL").select("doc_id").distinct()
-         .agg(F.count(F.lit(1)).alias("n")).scalar())
-    mark = F.when(F.col("records") < rare_below, "rare").when(F.col("records") > F.lit(Decimal(common_above)) * n, "common")
+    mark = F.when(F.col("records") < rare_below, "rare").when(F.col("records") > F.lit(Decimal(common_above)) * F.lit(records), "common")
     return counts.withColumn("mark", mark)

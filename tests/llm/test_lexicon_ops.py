@@ -21,13 +21,14 @@ def counts(df):
 
 
 def test_counts_with_nulls_and_repeats(spark):
-    assert counts(tc.count_terms(lines(spark, ROWS))) == {"a": (6, 2), "b": (0, 1), "c": (4, 0), "d": (1, 1)}
-    assert counts(tc.count_terms(lines(spark, ROWS).limit(0))) == {}
+    assert counts(tc.count_terms(lines(spark, ROWS)).counts()) == {"a": (6, 2), "b": (0, 1), "c": (4, 0), "d": (1, 1)}
+    assert counts(tc.count_terms(lines(spark, ROWS).limit(0)).counts()) == {}
 
 
 def test_marks(spark):
     df = lines(spark, [("x", d, 0, 1) for d in range(10)] + [("y", d, 0, 1) for d in range(3)] + [("z", 1, 0, 1)])
-    got = {r["term"]: r["mark"] for r in tc.mark_terms(tc.count_terms(df), df).collect()}
+    store = tc.count_terms(df)
+    got = {r["term"]: r["mark"] for r in tc.mark_terms(store.counts(), store.records).collect()}
     assert got == {"x": "common", "y": None, "z": "rare"}
 
 
@@ -36,16 +37,19 @@ def test_deltas_equal_a_recount(spark, tmp_path):
     def doc(d):
         return [(rng.choice("abcdefgh"), d, c, rng.randint(1, 3)) for c in range(4)]
     old = {d: doc(d) for d in range(30)}
-    store = tc.CountStore(spark, f"file://{tmp_path}/counts", buckets=4).apply(tc.signed_delta(lines(spark, sum(old.values(), []))))
+    store = tc.CountStore(spark, f"file://{tmp_path}/counts", buckets=4).apply(lines(spark, sum(old.values(), [])))
     new = {d: r for d, r in old.items() if d >= 5}  # deleted
     new |= {d: doc(d) for d in range(10, 15)} | {d: doc(d) for d in range(30, 35)}  # changed and added
     gone = sum((old[d] for d in [*range(5), *range(10, 15)]), [])
     come = sum((new[d] for d in [*range(10, 15), *range(30, 35)]), [])
-    store.apply(tc.signed_delta(lines(spark, come), lines(spark, gone)))
-    want = counts(tc.count_terms(lines(spark, sum(new.values(), []))))
+    store.apply(lines(spark, come), lines(spark, gone))
+    want = counts(tc.count_terms(lines(spark, sum(new.values(), []))).counts())
+    assert store.records == len(new)
     assert counts(store.counts()) == want
-    assert counts(tc.CountStore.open(spark, store.path, 2).counts()) == want
+    assert counts(tc.CountStore.open(spark, store.path).counts()) == want
     assert counts(tc.CountStore.open(spark, store.path, 1).counts()) != want
+    again = tc.CountStore.open(spark, store.path)
+    assert (again.version, again.buckets, again.records) == (2, 4, len(new))
 
 
 def test_top_per_group(spark):
@@ -81,8 +85,8 @@ def test_weights_against_brute_force(spark):
             k = 1.2 * (0.25 + 0.75 * length[d] / avg)
             want[d, t] = round(math.log((12 - n[t] + 0.5) / (n[t] + 0.5)) * 2.2 * f / (k + f), 6)
     stats = distinctive.term_statistics(df, dd)
-    for bound in (10, 0):  # broadcast and shuffled
-        got = {(r["doc_id"], r["term"]): r["weight"] for r in distinctive.weigh(stats, dd, broadcast_rows=bound).collect()}
+    for bound in (10, 0.1, 0):  # all terms shuffled, some, none
+        got = {(r["doc_id"], r["term"]): r["weight"] for r in distinctive.weigh(stats, dd, hot_share=bound).collect()}
         assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 2e-6 for x in want)
     best = defaultdict(list)
     for (d, t), w in sorted(want.items(), key=lambda x: (-x[1], x[0][1])):
