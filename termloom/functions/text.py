@@ -38,9 +38,14 @@ def han_words(text: Column) -> Column:
     return F.flatten(F.transform(F.regexp_extract_all(text, F.lit(f"({_HAN_OR_WORD})"), 1), pairs))
 
 
-def tokens(text: Column, lang: Column) -> Column:
-    """The tokenizer of a document: character pairs for Chinese, words for all other languages."""
-    return F.when(lang == "zh", F.filter(han_words(text), searchable)).otherwise(words(text))
+def tokens(text: Column) -> Column:
+    """The tokenizer of documents: words, and character pairs where a text holds Chinese characters, whatever its label says."""
+    return F.when(text.rlike(r"\p{IsHan}"), F.filter(han_words(text), searchable)).otherwise(words(text))
+
+
+def query_words(query: Column) -> Column:
+    """The words of a query, tokenized as documents are: each once, sorted, without empty ones."""
+    return F.array_sort(F.array_distinct(F.filter(tokens(query), lambda w: w != "")))
 
 
 def searchable(word: Column) -> Column:

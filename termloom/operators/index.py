@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import codecs, ranking, text
 from ..runtime import new_scratch
+from . import language
 
 BLOCK = 2048
 INDEX_LANGUAGES = ("en", "fr", "de", "it", "la", "es", "zh")
@@ -27,7 +28,7 @@ def in_languages(df: DataFrame, languages: tuple[str, ...] = INDEX_LANGUAGES, sk
 
 def tokenized(docs: DataFrame) -> DataFrame:
     """``docs`` with ``tokens`` (null for a null text)."""
-    return docs.withColumn("tokens", text.tokens(F.col("text"), F.col("lang")))
+    return docs.withColumn("tokens", text.tokens(F.col("text")))
 
 
 def doc_table(docs: DataFrame) -> DataFrame:
@@ -55,10 +56,10 @@ def corpus_stats(doc_rows: DataFrame, postings: DataFrame) -> DataFrame:
 
 
 def scored(lexicon_: DataFrame, doc_rows: DataFrame, avgdl: Column) -> DataFrame:
-    """``(term, doc_id, tf, score)`` with the length-normalized impact score."""
+    """``(term, doc_id, tf, score, len)`` with the length-normalized impact score; len spares the second phase of a query its join."""
     norm = ranking.length_norm(F.col("len"), avgdl)
     return lexicon_.join(doc_rows.select("doc_id", "len"), "doc_id").select(
-        "term", "doc_id", "tf", ranking.impact(F.col("tf"), norm).alias("score"))
+        "term", "doc_id", "tf", ranking.impact(F.col("tf"), norm).alias("score"), "len")
 
 
 def blocks(postings: DataFrame, size: int = BLOCK) -> DataFrame:
@@ -146,23 +147,31 @@ class Index:
     postings: DataFrame
     terms: DataFrame
     stats: dict
+    _known: dict = field(default_factory=dict, repr=False)
 
     @classmethod
-    def build(cls, documents: DataFrame, path: str | None = None, salt: int = 8) -> "Index":
-        """Write ``docs``, ``terms`` and ``postings`` (by term, long lists spread over ``salt`` files, sorted for data skipping) under ``path``."""
+    def build(cls, documents: DataFrame, path: str | None = None, salt: int = 8, model: DataFrame | None = None) -> "Index":
+        """Write ``docs``, ``terms``, ``postings`` (by term, long lists spread over ``salt`` files) and ``stats`` under ``path``.
+
+        Terms and postings are sorted by term, and terms have a Bloom filter, so a lookup reads few row groups. With a language ``model`` (see
+        language.train) a document's language is the detected one; its label counts only where nothing is detected.
+        """
         spark = documents.sparkSession
         path = path or new_scratch(spark, "index")
 
-        def put(df: DataFrame, name: str) -> DataFrame:
-            df.write.option("compression", "zstd").parquet(f"{path}/{name}")
+        def put(df: DataFrame, name: str, **options) -> DataFrame:
+            df.write.options(compression="zstd", **options).parquet(f"{path}/{name}")
             return spark.read.schema(df.schema).parquet(f"{path}/{name}")
 
         rows = tokenized(documents.where("text IS NOT NULL"))
-        docs = put(rows.select("doc_id", "url", "lang", F.size("tokens").alias("len"), text.title(F.col("text")).alias("title"),
-                               text.body(F.col("text")).alias("body")).repartitionByRange("doc_id").sortWithinPartitions("doc_id"), "docs")
+        docs = rows.select("doc_id", "url", "lang", F.size("tokens").alias("len"), text.title(F.col("text")).alias("title"), text.body(F.col("text")).alias("body"))
+        if model is not None:
+            found = language.detect(documents.where("text IS NOT NULL"), model, "doc_id", languages=list(INDEX_LANGUAGES)).groupBy("doc_id").agg(F.max("detected").alias("detected"))
+            docs = docs.join(found, "doc_id", "left").withColumn("lang", F.coalesce("detected", "lang")).drop("detected")
+        docs = put(docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id"), "docs")
         lex = put(lexicon(documents), "lexicon")
-        terms = put(term_table(lex), "terms")
-        stats = corpus_stats(docs, lex).first().asDict()  # one row
+        terms = put(term_table(lex).repartitionByRange("term").sortWithinPartitions("term"), "terms", **{"parquet.bloom.filter.enabled#term": "true"})
+        stats = put(corpus_stats(docs, lex), "stats").first().asDict()  # one row
         long_list = F.when(F.col("doc_id").isNotNull(), F.pmod(F.floor(F.col("doc_id") / 4096), F.lit(salt)))
         postings = put(scored(lex, docs, F.lit(float(stats["avgdl"] or 1.0)))
                        .repartition("term", long_list).sortWithinPartitions("term", "doc_id"), "postings")
@@ -170,5 +179,15 @@ class Index:
 
     @classmethod
     def open(cls, spark, path: str) -> "Index":
-        docs, lex, terms, postings = (spark.read.parquet(f"{path}/{n}") for n in ("docs", "lexicon", "terms", "postings"))
-        return cls(path, docs, postings, terms, corpus_stats(docs, lex).first().asDict())
+        docs, terms, postings, stats = (spark.read.parquet(f"{path}/{n}") for n in ("docs", "terms", "postings", "stats"))
+        return cls(path, docs, postings, terms, stats.first().asDict())
+
+    def frequencies(self, words: list[str]) -> dict[str, int]:
+        """Document counts of those of the words that the index holds: one lookup for all not asked before, one row a word at most."""
+        new = [w for w in set(words) if w not in self._known]
+        if new:
+            if len(self._known) > 100_000:
+                self._known.clear()
+            found = {r["term"]: r["df"] for r in self.terms.where(F.col("term").isin(new)).select("term", "df").collect()}
+            self._known.update({w: found.get(w) for w in new})
+        return {w: self._known[w] for w in sorted(set(words)) if self._known.get(w) is not None}

@@ -7,7 +7,7 @@ import re
 import time
 from collections import OrderedDict
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Observation, Window, functions as F
 
 from ..functions import ranking
 from .index import Index
@@ -25,18 +25,28 @@ def known_terms(index: Index, terms: list[str]) -> DataFrame:
     return index.terms.where(F.col("term").isin(terms)).select("term", "df", ranking.idf(n, F.col("df")).alias("idf"))
 
 
+def idf_of(index: Index, known: dict[str, int]) -> Column:
+    """The weight of a posting's term, from the query's few document counts."""
+    n, out = index.stats["n_docs"], F.lit(None).cast("double")
+    for w, df in known.items():
+        out = F.when(F.col("term") == w, F.lit(math.log((n - df + 0.5) / (df + 0.5)))).otherwise(out)
+    return out
+
+
 def matches(index: Index, terms: list[str], mode: str = "or", strict: bool = False) -> DataFrame:
-    """``(doc_id, est, k)``: summed estimate of each matching document. ``and`` needs all known terms, ``strict`` all given ones.
+    """``(doc_id, est, k, bm25, count)`` of each matching document: summed estimate, terms matched, exact weight, occurrences. ``and`` needs all
+    known terms, ``strict`` all given ones.
 
-    Both modes are one aggregation by doc_id over the lists of the query's terms, which the scan selects by pushed-down ``IN``.
+    Both modes are one aggregation by doc_id over the lists of the query's terms, which the scan selects by pushed-down ``IN``; the term
+    weights are literals and a document's length is in its postings, so nothing is joined.
     """
-    terms = sorted(set(terms))
-    hits = index.postings.where(F.col("term").isin(terms)).join(F.broadcast(known_terms(index, terms)), "term")
-    docs = hits.groupBy("doc_id").agg(F.round(F.sum(F.col("idf") * F.col("score")), 6).alias("est"), F.count(F.lit(1)).alias("k"))
-    if mode == "or":
-        return docs
-    needed = F.lit(len(terms)) if strict else known_terms(index, terms).agg(F.count(F.lit(1)).alias("n")).scalar()
-    return docs.where(F.col("k") == needed)
+    known = index.frequencies(terms)
+    idf = idf_of(index, known)
+    norm = ranking.length_norm(F.col("len"), F.lit(float(index.stats["avgdl"] or 1.0)))
+    docs = index.postings.where(F.col("term").isin(list(known))).groupBy("doc_id").agg(
+        F.round(F.sum(idf * F.col("score")), 6).alias("est"), F.count(F.lit(1)).alias("k"),
+        F.round(F.sum(ranking.bm25(idf, F.col("tf"), norm)), 6).alias("bm25"), F.sum("tf").alias("count"))
+    return docs if mode == "or" else docs.where(F.col("k") == (len(set(terms)) if strict else len(known)))
 
 
 def batch(index: Index, queries: DataFrame, length: int = PAGE, max_terms: int = 1_000_000) -> DataFrame:
@@ -58,35 +68,23 @@ def page_of(ranked: DataFrame, page: int = 0, length: int = PAGE) -> DataFrame:
     return ranked.orderBy(F.desc("est"), F.desc("doc_id")).offset(page * length).limit(length)
 
 
-def exact_scores(index: Index, terms: list[str], page_rows: DataFrame) -> DataFrame:
-    """Second phase: exact weights and occurrence counts of one page's documents."""
-    terms = sorted(set(terms))
-    hits = (index.postings.where(F.col("term").isin(terms)).select("term", "doc_id", "tf")
-            .join(F.broadcast(page_rows.select("doc_id", "est")), "doc_id")  # one page
-            .join(F.broadcast(known_terms(index, terms)), "term").join(index.docs.select("doc_id", "len"), "doc_id"))
-    norm = ranking.length_norm(F.col("len"), F.lit(float(index.stats["avgdl"])))
-    return hits.groupBy("doc_id", "est").agg(
-        F.round(F.sum(ranking.bm25(F.col("idf"), F.col("tf"), norm)), 6).alias("bm25"), F.sum("tf").alias("count"))
-
-
 def top_documents(index: Index, terms: list[str], mode: str = "or", page: int = 0, strict: bool = False, length: int = PAGE) -> DataFrame:
     """``(doc_id, est, bm25, count)`` of one page."""
-    return exact_scores(index, terms, page_of(matches(index, terms, mode, strict), page, length))
+    return page_of(matches(index, terms, mode, strict), page, length).select("doc_id", "est", "bm25", "count")
 
 
 def single_term(index: Index, term: str, page: int = 0, length: int = PAGE) -> DataFrame:
     """One list ordered by (score, tf, doc_id): no aggregation is needed to find the page."""
+    known = index.frequencies([term])
     rows = index.postings.where(F.col("term") == term).orderBy(F.desc("score"), F.desc("tf"), F.desc("doc_id")).offset(page * length).limit(length)
-    n, norm = F.lit(float(index.stats["n_docs"])), ranking.length_norm(F.col("len"), F.lit(float(index.stats["avgdl"])))
-    return (rows.join(index.terms, "term").join(index.docs.select("doc_id", "len"), "doc_id")
-            .select("doc_id", "score", F.col("tf").alias("count"),
-                    F.round(ranking.bm25(ranking.idf(n, F.col("df")), F.col("tf"), norm), 6).alias("bm25")))
+    norm = ranking.length_norm(F.col("len"), F.lit(float(index.stats["avgdl"] or 1.0)))
+    return rows.select("doc_id", "score", F.col("tf").alias("count"), F.round(ranking.bm25(idf_of(index, known), F.col("tf"), norm), 6).alias("bm25"))
 
 
-def auto_mode(index: Index, terms: list[str], share: float = AUTO_SHARE, min_df: int = MIN_DF) -> Column:
-    """``and`` or ``or`` as a scalar column, from the document counts of the known terms."""
-    s = known_terms(index, terms).agg(F.sum("df").alias("s"), F.min("df").alias("m"))
-    return s.select(F.when((F.col("s") > share * index.stats["n_docs"]) & (F.col("m") > min_df), "and").otherwise("or").alias("mode")).scalar()
+def auto_mode(index: Index, terms: list[str], share: float = AUTO_SHARE, min_df: int = MIN_DF) -> str:
+    """``and`` or ``or``, from the document counts of the known terms."""
+    df = index.frequencies(terms).values()
+    return "and" if df and sum(df) > share * index.stats["n_docs"] and min(df) > min_df else "or"
 
 
 def present(index: Index, page_rows: DataFrame, keywords: list[str]) -> DataFrame:
@@ -137,15 +135,16 @@ def query_words(query: str) -> list[str]:
 class SearchEngine:
     """``search(text, page)`` over one index, with a bounded result cache and the ``:`` commands."""
 
-    def __init__(self, index: Index, cache_size: int = 512):
-        self.index, self.cache_size = index, cache_size
+    def __init__(self, index: Index, cache_size: int = 512, page: int = PAGE):
+        self.index, self.cache_size, self.page = index, cache_size, page
         self._results: OrderedDict[tuple, dict] = OrderedDict()
         self.hits = self.misses = 0
 
     def plan(self, query: str) -> tuple[str, list[str]]:
         """``(mode, words)``: ``or`` where the query has a ``|``, ``single`` for one word, else ``auto``."""
         if "|" in query:
-            return "or", sorted({w for w in (x.strip() for x in query.split("|")) if w})
+            parts = [x.strip() for x in query.split("|")]
+            return "or", sorted({w for x in parts for w in (query_words(x) if _HAN.search(x) else [x]) if w})
         words = query_words(query)
         return ("single" if len(words) == 1 else "auto"), words
 
@@ -164,23 +163,29 @@ class SearchEngine:
             total, rows = 0, []
         else:
             if mode == "auto":
-                mode = self.index.postings.sparkSession.range(1).select(auto_mode(self.index, words)).first()[0]
+                mode = auto_mode(self.index, words)
             if mode == "single":
-                found = self.index.terms.where(F.col("term") == words[0]).select("df").first()
-                total, order = (found[0] if found else 0), ("bm25", "doc_id")
-                top = single_term(self.index, words[0], page)
+                total, order = self.index.frequencies(words).get(words[0], 0), ("bm25", "doc_id")
+                top = single_term(self.index, words[0], page, self.page)
             else:
-                total, order = matches(self.index, words, mode).count(), ("est", "doc_id")
-                top = top_documents(self.index, words, mode, page)
-            shown = present(self.index, top, words)
-            rows = [r.asDict(True) for r in shown.orderBy(*(F.desc(c) for c in order)).collect()] if total else []  # one page
+                order = ("est", "doc_id")
+                total, top = self._page(matches(self.index, words, mode), page) if self.index.frequencies(words) else (0, None)
+            rows = [r.asDict(True) for r in present(self.index, top, words).orderBy(*(F.desc(c) for c in order)).collect()] if total else []  # one page
         out = {"meta": {"results": total, "time": time.process_time() - began, "query": query, "keywords": words,
-                        "pages": math.ceil(total / PAGE), "page": page}, "results": rows}
+                        "pages": math.ceil(total / self.page), "page": page}, "results": rows}
         self._results[key] = out
         if len(self._results) > self.cache_size:
             self._results.popitem(last=False)
         return out
 
+    def _page(self, found: DataFrame, page: int) -> tuple[int, DataFrame]:
+        """All matches counted and one page of them, by one aggregation."""
+        seen = Observation()
+        counted = found.observe(seen, F.count(F.lit(1)).alias("n"))
+        top = page_of(counted, page, self.page).select("doc_id", "est", "bm25", "count")
+        rows = top.collect()  # one page
+        return seen.get["n"], self.index.postings.sparkSession.createDataFrame(rows, top.schema)
+
     def command(self, query: str) -> dict:
         spark = self.index.postings.sparkSession
         if query == ":cache":

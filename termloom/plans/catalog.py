@@ -41,7 +41,7 @@ def _documents(spark, sf_dir):
 # --- SQL pieces ---
 _SPLIT = r"regexp_split_to_array(text, '[^\p{L}\p{N}_]+')"
 _HAN = (r"flatten(list_transform(regexp_extract_all(text, '\p{Han}+|(?:[\p{L}\p{N}_]--\p{Han})+'), lambda r: [r]))")
-_TOKENS = """CASE WHEN lang = 'zh' THEN
+_TOKENS = """CASE WHEN regexp_matches(text, '\\p{Han}') THEN
  flatten(list_transform(regexp_extract_all(regexp_replace(text, '(\\p{Han}+)', ' \\1 ', 'g'), '[\\p{L}\\p{N}_]+'),
    lambda r: CASE WHEN regexp_matches(r, '^\\p{Han}{2,}') THEN list_transform(range(1, len(r)), lambda i: substr(r, i, 2)) ELSE [r] END))
  ELSE """ + _SPLIT + " END"
@@ -127,7 +127,7 @@ def title_body(spark, sf_dir):
 
 @query("postings_impact", _ALL + " SELECT term, doc_id, tf, score FROM im")
 def postings_impact(spark, sf_dir):
-    return the_index(spark, sf_dir).postings
+    return the_index(spark, sf_dir).postings.select("term", "doc_id", "tf", "score")
 
 
 @query("idf_table", _ALL + " SELECT term, round(ln((n_docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)), 6) AS idf FROM terms_, st")
@@ -300,15 +300,14 @@ _AUTO = "SELECT CASE WHEN sum(df) > 0.03 * max(n_docs) AND min(df) > 200 THEN 'a
 
 @query("auto_mode_decision", _ALL + " " + _AUTO.format("'the', 'and'"))
 def auto_mode_decision(spark, sf_dir):
-    return spark.range(1).select(search.auto_mode(the_index(spark, sf_dir), TERMS).alias("mode"))
+    return spark.createDataFrame([(search.auto_mode(the_index(spark, sf_dir), TERMS),)], "mode string")
 
 
 @query("auto_query", _ALL + ", md AS (" + _AUTO.format("'the', 'der'") + ") SELECT doc_id, round(sum(idf * score), 6) AS est, round(sum(w), 6) AS bm25,"
        " sum(tf)::BIGINT AS count FROM im, md WHERE term IN ('the', 'der') GROUP BY doc_id, mode HAVING mode = 'or' OR count(*) = 2 ORDER BY est DESC, doc_id DESC LIMIT 10")
 def auto_query(spark, sf_dir):
     ix = the_index(spark, sf_dir)
-    mode = spark.range(1).select(search.auto_mode(ix, ["the", "der"])).first()[0]
-    return search.top_documents(ix, ["the", "der"], mode)
+    return search.top_documents(ix, ["the", "der"], search.auto_mode(ix, ["the", "der"]))
 
 
 @query("hit_counts", _ALL + ", h AS (SELECT doc_id, count(*) AS k FROM im WHERE term IN ('the', 'and') GROUP BY doc_id)"

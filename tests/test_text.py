@@ -16,8 +16,8 @@ def test_words_split_like_a_regular_expression(spark):
 
 
 def test_chinese_tokens_are_character_pairs(spark):
-    assert one(spark, text.tokens(F.col("t"), F.lit("zh")), t="黑龙江 aaa。水") == ["黑龙", "龙江", "aaa", "水"]
-    assert one(spark, text.tokens(F.col("t"), F.lit("en")), t="a-b") == ["a", "b"]
+    assert one(spark, text.tokens(F.col("t")), t="黑龙江 aaa。水") == ["黑龙", "龙江", "aaa", "水"]
+    assert one(spark, text.tokens(F.col("t")), t="a-b") == ["a", "b"]
 
 
 def test_searchable_first_character(spark):
