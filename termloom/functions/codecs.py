@@ -52,6 +52,79 @@ def vbyte_values(data: bytes) -> np.ndarray:
     return np.add.reduceat(shifted, np.r_[0, ends[:-1] + 1])
 
 
+def varint_hex(x: Column) -> Column:
+    """Groups of 7 bits, least significant first; all but the last byte of a value have their high bit set."""
+    out = []
+    for k in range(9):
+        rest = F.shiftright(x, 7 * k)
+        byte = F.lpad(F.hex(rest.bitwiseAND(F.lit(127)) + F.when(rest >= 128, 128).otherwise(0)), 2, "0")
+        out.append(byte if k == 0 else F.when(rest > 0, byte).otherwise(""))
+    return F.concat(*out)
+
+
+def varint_encode(xs: Column) -> Column:
+    return F.unhex(F.array_join(F.transform(xs.cast("array<bigint>"), varint_hex), ""))
+
+
+@F.pandas_udf(_LONGS)
+def varint_decode(data: pd.Series) -> pd.Series:
+    return data.map(lambda b: None if b is None else varint_values(b))
+
+
+def varint_values(data: bytes) -> np.ndarray:
+    """All values of a byte string; a last one without its end is ignored."""
+    octets = np.frombuffer(data, dtype=np.uint8).astype(np.int64)
+    ends = np.flatnonzero(octets < 128)
+    if not len(ends):
+        return np.zeros(0, np.int64)
+    octets = octets[:ends[-1] + 1]
+    starts = np.r_[0, ends[:-1] + 1]
+    place = np.arange(len(octets)) - np.repeat(starts, ends - starts + 1)
+    return np.add.reduceat((octets & 127) << (7 * place), starts)
+
+
+def headless(n: Column) -> Column:
+    """Binary digits without the leading one; n >= 1."""
+    return F.substring(F.bin(n), 2, 64)
+
+
+def ceil_log2(n: Column) -> Column:
+    """Digits that tell n values apart; 0 for one."""
+    return F.when(n > 1, F.length(F.bin(n - 1))).otherwise(0)
+
+
+def gamma_code(n: Column) -> Column:
+    """Elias gamma as a bit string; n >= 1."""
+    return F.concat(F.repeat(F.lit("0"), F.length(F.bin(n)) - 1), F.bin(n))
+
+
+def omega_code(n: Column) -> Column:
+    """Elias omega as a bit string; 1 <= n < 2**63, which takes four steps at most."""
+    out, x = F.lit("0"), n.cast("bigint")
+    for _ in range(5):
+        out = F.when(x > 1, F.concat(F.bin(x), out)).otherwise(out)
+        x = F.when(x > 1, F.length(F.bin(x)).cast("bigint") - 1).otherwise(F.lit(1).cast("bigint"))
+    return out
+
+
+def run_lengths_encode(bits: Column, m: int) -> Column:
+    """A bit string as its runs of zeroes: a one for every full 2**m zeroes, then a zero and the rest in m digits. Other characters are skipped;
+    the last run is coded as if a one followed."""
+    def run(zeroes: Column) -> Column:
+        n = F.length(zeroes).cast("bigint")
+        return F.concat(F.repeat(F.lit("1"), F.floor(n / (1 << m)).cast("int")), F.lit("0"), F.lpad(F.bin(n % (1 << m)), m, "0"))
+
+    return F.array_join(F.transform(F.split(F.regexp_replace(bits, "[^01]", ""), "1", -1), run), "")
+
+
+def run_lengths_decode(code: Column, m: int) -> Column:
+    def run(token: Column) -> Column:
+        full = F.length(token) - m - 1
+        return F.repeat(F.lit("0"), (full * (1 << m) + F.conv(F.substring(token, -m, m), 2, 10).cast("int")).cast("int"))
+
+    return F.array_join(F.transform(F.regexp_extract_all(code, F.lit(f"(1*0[01]{{{m}}})"), 1), run), "1")
+
+
 def _total(xs: Column, of) -> Column:
     return F.aggregate(xs, F.lit(0).cast("bigint"), lambda a, x: a + of(x).cast("bigint"))
 
@@ -72,11 +145,15 @@ def varnibble_size(xs: Column) -> Column:
     return F.floor((_total(xs, lambda x: _groups(x, 3)) + 1) / 2)
 
 
-def varbits_size(xs: Column) -> Column:
-    """One byte for the group width plus the bits of the best width from 1 to 16."""
-    bits = [(_total(xs, lambda x, b=b: _groups(x, b)) * (b + 1)).alias(f"b{b}") for b in range(1, 17)]
-    best = F.array_min(F.array(*(F.struct(v.alias("bits"), F.lit(b).alias("width")) for b, v in enumerate(bits, 1))))
-    return F.lit(1) + F.floor((best["bits"] + best["width"] - 1) / 8)
+@F.pandas_udf(T.LongType())
+def varbits_size(xs: pd.Series) -> pd.Series:
+    """One byte for the group width plus the bits of the best width from 1 to 16: groups of so many bits and a flag."""
+    def size(v) -> int:
+        _, digits = np.frexp(np.maximum(np.asarray(v, np.int64), 1).astype(float))
+        bits, width = min((int((-(-digits // b)).sum()) * (b + 1), b) for b in range(1, 17))
+        return 1 + (bits + width - 1) // 8
+
+    return xs.map(size)
 
 
 def minbits_size(xs: Column) -> Column:
@@ -118,6 +195,39 @@ def unpack(data: bytes) -> str:
     return format(int.from_bytes(data, "big"), f"0{len(data) * 8}b") if data else ""
 
 
+def golomb_pack(values: np.ndarray, bits: int) -> bytes:
+    """``pack`` of the Golomb codes of all values, set by numpy."""
+    values = np.asarray(values, np.int64)
+    q = values >> bits
+    ends = np.cumsum(q + 1 + bits)
+    starts = ends - (q + 1 + bits)
+    n = int(ends[-1]) if len(ends) else 0
+    edge = np.zeros(n + 1, np.int8)  # ones begin at a code's start and end at its zero
+    np.add.at(edge, starts, 1)
+    np.add.at(edge, starts + q, -1)
+    out = np.cumsum(edge[:n], dtype=np.int8).astype(np.uint8)
+    for k in range(bits):
+        out[starts + q + 1 + k] = values >> (bits - 1 - k) & 1
+    return np.packbits(out).tobytes()
+
+
+def golomb_unpack(data: bytes, bits: int, count: int) -> np.ndarray:
+    """The first ``count`` values of ``golomb_pack``. A code begins where the one before ends, so zeroes are stepped through once each."""
+    stream = np.unpackbits(np.frombuffer(data, np.uint8))
+    zeroes = np.flatnonzero(stream == 0)
+    after = np.searchsorted(zeroes, zeroes + 1 + bits).tolist()  # the zero that ends the next code's quotient
+    at, i = np.empty(count, np.int64), 0
+    for k in range(count):
+        at[k] = i
+        i = after[i]
+    stop = zeroes[at] if count else np.zeros(0, np.int64)
+    starts = np.concatenate([[0], stop[:-1] + 1 + bits]) if count else stop
+    rest = np.zeros(count, np.int64)
+    for k in range(bits):
+        rest = rest << 1 | stream[stop + 1 + k]
+    return (stop - starts) << bits | rest
+
+
 def fibonacci_bits(n: int) -> str:
     """Zeckendorf digits, smallest first, ended by a second one; n >= 1."""
     fibs = [1, 2]
@@ -286,9 +396,9 @@ def bitmap_round_trip(s: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.BinaryType())
 def golomb_encode(xs: pd.Series, bits: pd.Series) -> pd.Series:
-    return pd.Series([pack("".join(golomb_bits(int(x), int(b)) for x in v)) for v, b in zip(xs, bits)])
+    return pd.Series([golomb_pack(v, int(b)) for v, b in zip(xs, bits)])
 
 
 @F.pandas_udf(_LONGS)
 def golomb_decode(data: pd.Series, bits: pd.Series, count: pd.Series) -> pd.Series:
-    return pd.Series([golomb_values(unpack(d), int(b), int(n)) for d, b, n in zip(data, bits, count)])
+    return pd.Series([golomb_unpack(d, int(b), int(n)) for d, b, n in zip(data, bits, count)])

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions import codecs, ids, ranking, text
 from ..operators import gcs, heavy_keys, index, language, search
 from ..runtime import table
+from ..sources import lexicon_files, wet
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -153,9 +154,10 @@ _GAPS = "SELECT term, doc_id, doc_id - lag(doc_id, 1, 0) OVER (PARTITION BY term
 _P = "WITH p AS (SELECT term, doc_id, max(freq)::BIGINT AS tf, max(score) AS score FROM postings WHERE doc_id IS NOT NULL AND term IS NOT NULL AND score IS NOT NULL GROUP BY ALL)"
 
 
-def _segment(spark, sf_dir):
-    """The lists of all index segments as one index, each posting once."""
-    p = table(spark, sf_dir, "postings").where("doc_id IS NOT NULL AND term IS NOT NULL AND score IS NOT NULL")
+def _segment(spark, sf_dir, scored: bool = True):
+    """The lists of all index segments as one index, each posting once; only those with a score, unless all are asked for."""
+    p = table(spark, sf_dir, "postings").where("doc_id IS NOT NULL AND term IS NOT NULL")
+    p = p.where("score IS NOT NULL") if scored else p
     return p.groupBy("term", "doc_id").agg(F.max("freq").cast("bigint").alias("tf"), F.max("score").alias("score"))
 
 
@@ -219,17 +221,80 @@ def codec_sizes(spark, sf_dir):
         codecs.dword_size(g).alias("dword"), codecs.smaller(codecs.varint_size(g), codecs.varnibble_size(g)).alias("smaller"))
 
 
-@query("codec_varbits")
+_BLOCK_GAPS = (f"{_P}, b AS (SELECT *, ((row_number() OVER (PARTITION BY term ORDER BY doc_id) - 1) // 2048)::INT AS block_no FROM p),"
+               " z AS (SELECT term, block_no, doc_id, doc_id - lag(doc_id, 1, 0) OVER (PARTITION BY term, block_no ORDER BY doc_id) AS gap FROM b)")
+
+
+def _width_sql(b: int) -> str:
+    return "sum(1" + "".join(f" + (gap >= {1 << (b * k)})::INT" for k in range(1, 62 // b + 1)) + f") * {b + 1} * 32 + {b}"
+
+
+@query("codec_varbits", f"{_BLOCK_GAPS}, w AS (SELECT term, block_no, least({', '.join(_width_sql(b) for b in range(1, 17))}) AS best FROM z GROUP BY term, block_no)"
+       " SELECT term, block_no, (1 + (best // 32 + best % 32 - 1) // 8)::BIGINT AS varbits FROM w")
 def codec_varbits(spark, sf_dir):
-    return _lists(spark, sf_dir).select("term", "block_no", codecs.varbits_size(F.col("gaps")).alias("varbits"))
+    return _lists(spark, sf_dir).select("term", "block_no", codecs.varbits_size("gaps").alias("varbits"))
+
+
+def _digits(x: str) -> str:
+    return f"length(bin({x}))"
+
+
+def _omega_sql(x: str, steps: int = 4) -> str:
+    return f"CASE WHEN {x} > 1 THEN {_digits(x)} + {_omega_sql(f'({_digits(x)} - 1)', steps - 1)} ELSE 0 END" if steps else "0"
+
 
+def _fibonacci(upto: int) -> list[int]:
+    out = [1, 2]
+    while out[-1] < upto:
+        out.append(out[-1] + out[-2])
+    return out
 
-@query("codec_bit_codes")
+
+@query("codec_bit_codes", f"{_BLOCK_GAPS}, x AS (SELECT term, block_no, gap + 1 AS n FROM z) SELECT term, block_no, sum(2 * {_digits('n')} - 1)::BIGINT AS gamma,"
+       f" sum(1 + {_omega_sql('n')})::BIGINT AS omega, sum(1 + {' + '.join(f'(n >= {f})::INT' for f in _fibonacci(1 << 40))})::BIGINT AS fibonacci FROM x GROUP BY term, block_no")
 def codec_bit_codes(spark, sf_dir):
     one_up = F.transform("gaps", lambda g: g + 1)
     return _lists(spark, sf_dir).select("term", "block_no", *(codecs.code_sizes_udf(n)(one_up).alias(n) for n in ("gamma", "omega", "fibonacci")))
 
 
+_VARINT_HEX = ("CASE WHEN gap < 128 THEN printf('%02X', gap) WHEN gap < 16384 THEN printf('%02X%02X', gap % 128 + 128, gap // 128)"
+               " ELSE printf('%02X%02X%02X', gap % 128 + 128, gap // 128 % 128 + 128, gap // 16384) END")
+_VBYTE_HEX = ("CASE WHEN gap < 128 THEN printf('%02X', gap + 128) WHEN gap < 16384 THEN printf('%02X%02X', gap // 128, gap % 128 + 128)"
+              " ELSE printf('%02X%02X%02X', gap // 16384, gap // 128 % 128, gap % 128 + 128) END")
+
+
+@query("codec_bytes", f"{_BLOCK_GAPS} SELECT term, block_no, string_agg({_VARINT_HEX}, '' ORDER BY doc_id) AS varint, string_agg({_VBYTE_HEX}, '' ORDER BY doc_id) AS vbyte FROM z GROUP BY term, block_no")
+def codec_bytes(spark, sf_dir):
+    """The bytes themselves, as hexadecimal digits."""
+    return _lists(spark, sf_dir).select("term", "block_no", F.hex(codecs.varint_encode(F.col("gaps"))).alias("varint"), F.hex(codecs.vbyte_encode(F.col("gaps"))).alias("vbyte"))
+
+
+@query("varint_roundtrip", f"{_P} SELECT term, doc_id FROM p")
+def varint_roundtrip(spark, sf_dir):
+    b = _lists(spark, sf_dir).select("term", codecs.varint_encode(F.col("gaps")).alias("data"))
+    return b.select("term", F.explode(codecs.partial_sums(codecs.varint_decode("data"))).alias("doc_id"))
+
+
+@query("integer_codes", "WITH n AS (SELECT DISTINCT doc_id + 1 AS n FROM docs), a AS (SELECT n, n AS x1, length(bin(n)) - 1 AS x2 FROM n), b AS (SELECT *, CASE WHEN x2 > 1 THEN length(bin(x2)) - 1 ELSE 1 END AS x3 FROM a),"
+       " c AS (SELECT *, CASE WHEN x3 > 1 THEN length(bin(x3)) - 1 ELSE 1 END AS x4 FROM b)"
+       " SELECT n, substr(bin(n), 2) AS headless, CASE WHEN n > 1 THEN length(bin(n - 1)) ELSE 0 END::INT AS ceil_log2, repeat('0', length(bin(n)) - 1) || bin(n) AS gamma,"
+       " CASE WHEN x4 > 1 THEN bin(x4) ELSE '' END || CASE WHEN x3 > 1 THEN bin(x3) ELSE '' END || CASE WHEN x2 > 1 THEN bin(x2) ELSE '' END || CASE WHEN x1 > 1 THEN bin(x1) ELSE '' END || '0' AS omega FROM c")
+def integer_codes(spark, sf_dir):
+    n = F.col("n")
+    return table(spark, sf_dir, "docs").select((F.col("doc_id") + 1).alias("n")).distinct().select(
+        "n", codecs.headless(n).alias("headless"), codecs.ceil_log2(n).cast("int").alias("ceil_log2"), codecs.gamma_code(n).alias("gamma"), codecs.omega_code(n).alias("omega"))
+
+
+_RUN_SQL = "repeat('1', length(r) // 4) || '0' || lpad(bin(length(r) % 4), 2, '0')"
+
+
+@query("golomb_run_lengths", f"WITH d AS (SELECT DISTINCT doc_id, bin(doc_id * 257) AS bits FROM docs) SELECT doc_id, array_to_string(list_transform(string_split(bits, '1'), lambda r: {_RUN_SQL}), '') AS code, bits AS back FROM d")
+def golomb_run_lengths(spark, sf_dir):
+    """Bit strings (of a multiple of each id) by their runs of zeroes, and back."""
+    code = codecs.run_lengths_encode(F.bin(F.col("doc_id") * 257), 2)
+    return table(spark, sf_dir, "docs").select("doc_id").distinct().select("doc_id", code.alias("code")).withColumn("back", codecs.run_lengths_decode(F.col("code"), 2))
+
+
 @query("golomb_roundtrip", f"{_P} SELECT term, doc_id FROM p")
 def golomb_roundtrip(spark, sf_dir):
     bits = F.greatest(F.lit(0), F.floor(F.log2(F.array_max("gaps") / F.size("gaps") + 1))).cast("int")
@@ -242,10 +307,22 @@ def bitmap_roundtrip(spark, sf_dir):
     return _lists(spark, sf_dir).select("term", F.explode(codecs.bitmap_round_trip(codecs.partial_sums(F.col("gaps")))).alias("doc_id"))
 
 
-@query("gcs_membership", "SELECT DISTINCT term, true AS contained FROM lexicon WHERE term <> ''")
+@query("gcs_membership", "WITH t AS (SELECT DISTINCT term FROM lexicon WHERE term <> '') SELECT term, term IN (SELECT term FROM terms WHERE term IS NOT NULL) AS contained FROM t"
+       " UNION ALL SELECT term || '†' AS term, false AS contained FROM t")
 def gcs_membership(spark, sf_dir):
-    terms = table(spark, sf_dir, "lexicon").where("term <> ''").select("term").distinct()
-    return gcs.contains(gcs.build(terms, "term"), terms, "term").select("term", "contained")
+    """Words of the lexicon and as many that nothing holds, asked of the set of the segments' terms; at 32 bits a wrong yes has odds of 1 in 4 billion."""
+    held = table(spark, sf_dir, "terms").where("term IS NOT NULL").select("term").distinct()
+    words = table(spark, sf_dir, "lexicon").where("term <> ''").select("term").distinct()
+    asked = words.unionByName(words.select(F.concat("term", F.lit("†")).alias("term")))
+    return gcs.contains(gcs.build(held, "term", 32), asked, "term", 32).select("term", "contained")
+
+
+@query("spelling_check", f"WITH {_POST} SELECT DISTINCT term FROM post WHERE term NOT IN (SELECT term FROM terms WHERE term IS NOT NULL)")
+def spelling_check(spark, sf_dir):
+    """Words of the documents that the compact set of the segments' terms denies."""
+    held = table(spark, sf_dir, "terms").where("term IS NOT NULL").select("term").distinct()
+    words = index.lexicon(_documents(spark, sf_dir)).select("term").distinct()
+    return gcs.contains(gcs.build(held, "term", 32), words, "term", 32).where("NOT contained").select("term")
 
 
 # --- retrieval ---
@@ -436,13 +513,31 @@ def readable_urls(spark, sf_dir):
     return _documents(spark, sf_dir).select("doc_id", "url", text.readable_url(F.col("url")).alias("shown"), text.thousands(F.col("n_chars")).alias("chars"))
 
 
-@query("detect_language")
+_PADDED = r"' ' || regexp_replace(lower(trim(text)), '\s+', ' ', 'g') || ' '"
+_KNOWN = ", ".join(f"'{x}'" for x in language.LANGUAGES)
+_MODEL = (f"WITH s AS (SELECT lang, {_PADDED} AS t FROM lang_samples WHERE lang IN ({_KNOWN}) AND text IS NOT NULL),"
+          " g AS (SELECT lang, substr(t, i, 3) AS gram FROM (SELECT lang, t, unnest(range(1, length(t) - 1)) AS i FROM s)),"
+          f" c AS (SELECT gram, lang, count(*) AS c FROM g GROUP BY ALL), k AS (SELECT unnest([{_KNOWN}]) AS lang),"
+          " t AS (SELECT k.lang, count(g.gram) AS total FROM k LEFT JOIN g USING (lang) GROUP BY ALL), v AS (SELECT count(DISTINCT gram) AS v FROM g),"
+          " m AS (SELECT a.gram, t.lang, ln((coalesce(c.c, 0) + 0.5::DOUBLE) / (total + 0.5::DOUBLE * v)) AS logp FROM (SELECT DISTINCT gram FROM g) a CROSS JOIN t CROSS JOIN v"
+          " LEFT JOIN c ON c.gram = a.gram AND c.lang = t.lang)")
+
+
+def _detected(languages) -> str:
+    return (_MODEL + f", d AS (SELECT doc_id, {_PADDED} AS t FROM documents WHERE text IS NOT NULL),"
+            " p AS (SELECT doc_id, substr(t, a, 302) AS piece FROM (SELECT doc_id, t, unnest(range(1, length(t) - 1, 300)) AS a FROM d)),"
+            " x AS (SELECT doc_id, gram, count(*) AS n FROM (SELECT doc_id, substr(piece, i, 3) AS gram FROM (SELECT doc_id, piece, unnest(range(1, length(piece) - 1)) AS i FROM p)) GROUP BY ALL),"
+            f" z AS (SELECT doc_id, lang, sum(n * logp) AS score FROM x JOIN m USING (gram) WHERE lang IN ({', '.join(repr(x) for x in languages)}) GROUP BY ALL)"
+            " SELECT doc_id, lang AS detected FROM z QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, lang DESC) = 1")
+
+
+@query("detect_language", _detected(language.LANGUAGES))
 def detect_language(spark, sf_dir):
     model = language.train(table(spark, sf_dir, "lang_samples"))
     return language.detect(_documents(spark, sf_dir), model, "doc_id")
 
 
-@query("detect_language_restricted")
+@query("detect_language_restricted", _detected(index.INDEX_LANGUAGES))
 def detect_language_restricted(spark, sf_dir):
     model = language.train(table(spark, sf_dir, "lang_samples"))
     return language.detect(_documents(spark, sf_dir), model, "doc_id", languages=list(index.INDEX_LANGUAGES))
@@ -469,9 +564,13 @@ def run_merge(spark, sf_dir):
     return runs[0].unionByName(runs[1]).repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
 
 
-@query("unscored_postings", f"{_P} SELECT term, doc_id, tf FROM p")
+@query("unscored_postings", "WITH p AS (SELECT term, doc_id, max(freq)::BIGINT AS tf FROM postings WHERE doc_id IS NOT NULL AND term IS NOT NULL GROUP BY ALL),"
+       " b AS (SELECT *, ((row_number() OVER (PARTITION BY term ORDER BY doc_id) - 1) // 2048)::INT AS block_no FROM p) SELECT term, block_no, doc_id, tf FROM b")
 def unscored_postings(spark, sf_dir):
-    return _segment(spark, sf_dir).select("term", "doc_id", "tf")
+    """Blocks without the score stream, as written before scores are known: all postings, read back from their bytes."""
+    b = index.blocks(_segment(spark, sf_dir, scored=False).withColumn("score", F.lit(0)))
+    gaps = b.select("term", "block_no", codecs.partial_sums(codecs.vbyte_decode(F.col("ids"))).alias("ids"), codecs.vbyte_decode(F.col("tfs")).alias("tfs"))
+    return gaps.select("term", "block_no", F.explode(F.arrays_zip("ids", "tfs")).alias("p")).select("term", "block_no", F.col("p.ids").alias("doc_id"), F.col("p.tfs").alias("tf"))
 
 
 @query("unknown_terms", "SELECT DISTINCT term FROM lexicon WHERE term <> '' AND term NOT IN (SELECT term FROM terms WHERE term IS NOT NULL)")
@@ -526,3 +625,135 @@ def batch_search(spark, sf_dir):
     """Many queries at once, each with its ten best documents."""
     queries = spark.createDataFrame([(1, "the"), (1, "and"), (2, "der"), (2, "und"), (3, "les")], "query_id int, term string")
     return search.batch(the_index(spark, sf_dir), queries)
+
+
+def _engine(spark, sf_dir):
+    return search.SearchEngine(the_index(spark, sf_dir))
+
+
+_HITS = ", n AS (SELECT count(DISTINCT doc_id) AS results FROM im WHERE term IN ({}))"
+
+
+@query("engine_search", _ALL + ", pg AS (" + _ranked(["der", "les"]) + ")" + _HITS.format("'der', 'les'")
+       + " SELECT doc_id, url, lang, split_part(text, chr(10), 1) AS title, bm25, count, results, ceil(results / 10)::BIGINT AS pages, row_number() OVER (ORDER BY est DESC, doc_id DESC)::BIGINT AS place"
+       " FROM pg JOIN documents USING (doc_id), n")
+def engine_search(spark, sf_dir):
+    """A whole search from its text: page, total and order of the results."""
+    got = _engine(spark, sf_dir).search("der | les")
+    rows = [(r["doc_id"], r["url"], r["lang"], r["title"], r["bm25"], r["count"], got["meta"]["results"], got["meta"]["pages"], i) for i, r in enumerate(got["results"], 1)]
+    return spark.createDataFrame(rows, "doc_id bigint, url string, lang string, title string, bm25 double, count bigint, results bigint, pages bigint, place bigint")
+
+
+@query("engine_auto", _ALL + ", md AS (" + _AUTO.format("'the', 'and'") + "), h AS (SELECT doc_id, round(sum(idf * score), 6) AS est, round(sum(w), 6) AS bm25, sum(tf)::BIGINT AS count"
+       " FROM im, md WHERE term IN ('the', 'and') GROUP BY doc_id, mode HAVING mode = 'or' OR count(*) = 2)"
+       " SELECT doc_id, bm25, count, (SELECT count(*) FROM h) AS results FROM h ORDER BY est DESC, doc_id DESC LIMIT 10")
+def engine_auto(spark, sf_dir):
+    """Two words without a sign: the engine takes AND where both are frequent, else OR."""
+    got = _engine(spark, sf_dir).search("and the")
+    return spark.createDataFrame([(r["doc_id"], r["bm25"], r["count"], got["meta"]["results"]) for r in got["results"]], "doc_id bigint, bm25 double, count bigint, results bigint")
+
+
+@query("engine_single", "WITH x AS (" + _single_sql(0) + ") SELECT doc_id, bm25, row_number() OVER (ORDER BY bm25 DESC, doc_id DESC)::BIGINT AS place FROM x")
+def engine_single(spark, sf_dir):
+    """One word: the page is chosen by impact and then sorted by its exact weights."""
+    got = _engine(spark, sf_dir).search("the")
+    return spark.createDataFrame([(r["doc_id"], r["bm25"], i) for i, r in enumerate(got["results"], 1)], "doc_id bigint, bm25 double, place bigint")
+
+
+@query("engine_chinese", _ALL + " SELECT DISTINCT doc_id FROM im WHERE term = '我们'")
+def engine_chinese(spark, sf_dir):
+    """Chinese is found by its characters in every document that holds them, whatever the label; with and without a sign the words are the same."""
+    e = _engine(spark, sf_dir)
+    _, words = e.plan("我们 | zzz")
+    assert e.plan("我们")[1] == ["我们"] and words == ["zzz", "我们"]
+    return search.matches(e.index, words, "or").select("doc_id")
+
+
+@query("engine_commands", "SELECT * FROM (VALUES (':cache', 'cached', '1'), (':cache', 'hits', '1'), (':cache', 'misses', '1'), (':cache', 'size', '512'), (':cache-clear', 'cached', '0'), (':nonsense', 'error', 'unknown command :nonsense'), ('', 'results', '0'), ('|', 'results', '0')) AS v(command, key, value)")
+def engine_commands(spark, sf_dir):
+    """The commands of the prompt, after one search asked twice, and empty queries."""
+    e = _engine(spark, sf_dir)
+    e.search("les")
+    e.search("les")
+    rows = [(c, k, str(v)) for c in (":cache", ":cache-clear", ":nonsense") for k, v in e.command(c).items()]
+    rows += [(q, "results", str(e.search(q)["meta"]["results"])) for q in ("", "|")]
+    return spark.createDataFrame(rows, "command string, key string, value string")
+
+
+@query("query_words", "WITH t AS (SELECT doc_id, split_part(text, chr(10), 1) AS text FROM documents), x AS (SELECT doc_id, unnest(" + _TOKENS + ") AS w FROM t)"
+       " SELECT doc_id, list_sort(list(DISTINCT w)) AS words FROM x WHERE w <> '' GROUP BY doc_id")
+def query_words(spark, sf_dir):
+    """All titles as queries: their words, each once and sorted."""
+    words = text.query_words(text.title(F.col("text")))
+    return _documents(spark, sf_dir).select("doc_id", words.alias("words")).where(F.size("words") > 0)
+
+
+def _folder(spark, name: str) -> str:
+    from ..runtime import new_scratch
+
+    return new_scratch(spark, name)
+
+
+_WET = "FROM wet_records WHERE source_file IS NOT NULL"
+
+
+@query("wet_scan", f"SELECT record_id, url, coalesce(octet_length(content), 0)::BIGINT AS bytes, md5(coalesce(content, ''::BLOB)) AS digest {_WET}")
+def wet_scan(spark, sf_dir):
+    """The page records as compressed WET files and read again from all of them."""
+    path = _folder(spark, "wet")
+    wet.write_wet(table(spark, sf_dir, "wet_records"), path)
+    return wet.read_wet(spark, path).select("record_id", "url", F.octet_length("content").cast("bigint").alias("bytes"), F.md5("content").alias("digest"))
+
+
+@query("wet_projection", f"SELECT record_id, url {_WET}")
+def wet_projection(spark, sf_dir):
+    """Records without their bodies, which the readers skip."""
+    path = _folder(spark, "wet")
+    wet.write_wet(table(spark, sf_dir, "wet_records"), path)
+    return wet.read_wet(spark, path, content=False).select("record_id", "url")
+
+
+@query("wet_seek", f"SELECT record_id, md5(coalesce(content, ''::BLOB)) AS digest {_WET} AND url IS NOT NULL")
+def wet_seek(spark, sf_dir):
+    """Every record with a url fetched alone by its file and offset, its url checked there."""
+    path = _folder(spark, "wet")
+    wet.write_wet(table(spark, sf_dir, "wet_records"), path, compress=False)
+    places = wet.read_wet(spark, path, content=False).where("url IS NOT NULL").select("record_id", "url", "source_file", "off")
+    return wet.fetch(places).select("record_id", F.md5("content").alias("digest"))
+
+
+@query("lexicon_text", "SELECT term, doc_id, sum(freq)::INT AS tf FROM lexicon WHERE term <> '' AND doc_id IS NOT NULL AND freq IS NOT NULL GROUP BY ALL")
+def lexicon_text(spark, sf_dir):
+    """The lexicon as sorted text lines and read again."""
+    lex = table(spark, sf_dir, "lexicon").where("term <> '' AND doc_id IS NOT NULL AND freq IS NOT NULL").groupBy("term", "doc_id").agg(F.sum("freq").alias("tf"))
+    path = _folder(spark, "lexicon-text")
+    lexicon_files.write_lexicon(lex, path)
+    return lexicon_files.read_lexicon(spark, path)
+
+
+@query("range_text", r"SELECT start_id, end_id, regexp_replace(file, '\.gz$', '') AS file FROM doc_ranges")
+def range_text(spark, sf_dir):
+    path = _folder(spark, "ranges-text")
+    lexicon_files.write_ranges(table(spark, sf_dir, "doc_ranges"), path)
+    return lexicon_files.read_ranges(spark, path)
+
+
+@query("url_text", "SELECT DISTINCT doc_id, url FROM docs WHERE url <> ''")
+def url_text(spark, sf_dir):
+    path = _folder(spark, "urls-text")
+    lexicon_files.write_url_table(table(spark, sf_dir, "docs").where("url <> ''").select("doc_id", "url").distinct(), path)
+    return spark.read.schema("doc_id bigint, url string").option("sep", "\t").csv(path)
+
+
+@query("scan_probe", "SELECT count(*) AS n, count(url) AS urls, sum(octet_length(content))::BIGINT AS bytes FROM wet_records")
+def scan_probe(spark, sf_dir):
+    return table(spark, sf_dir, "wet_records").agg(F.count(F.lit(1)).alias("n"), F.count("url").alias("urls"), F.sum(F.octet_length("content")).alias("bytes"))
+
+
+@query("index_languages", _detected(index.INDEX_LANGUAGES).replace("SELECT doc_id, lang AS detected FROM z", "SELECT doc_id, lang FROM z"))
+def index_languages(spark, sf_dir):
+    """An index built with a language model: what it detects replaces missing and wrong labels. Texts without a letter keep theirs and are left out here."""
+    docs = _documents(spark, sf_dir)
+    ix = index.Index.build(docs, model=language.train(table(spark, sf_dir, "lang_samples")))
+    some = docs.where(F.col("text").rlike(r"\p{L}")).select("doc_id")
+    return ix.docs.join(some, "doc_id", "left_semi").select("doc_id", "lang")

@@ -8,8 +8,6 @@ from dataclasses import dataclass, fields
 
 @dataclass(frozen=True)
 class Settings:
-    index_path: str = "index"
-    documents_path: str = "documents"
     page_length: int = 10
     cache_size: int = 512
 

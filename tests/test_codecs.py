@@ -1,3 +1,4 @@
+import numpy as np
 import pandas as pd
 from hypothesis import given, strategies as st
 from pyspark.sql import functions as F
@@ -59,3 +60,31 @@ def test_pair_grammar_round_trip(xs):
 def test_decode_ignores_an_open_value():
     assert list(C.vbyte_values(bytes([0x81, 0x05]))) == [1] and not len(C.vbyte_values(b""))
     assert C.partial_sums.func(pd.Series([None, [1, 2]])).tolist()[1].tolist() == [1, 3]
+
+
+@given(st.lists(st.integers(0, 5000), max_size=60), st.integers(0, 8))
+def test_numpy_golomb_equals_bit_strings(xs, bits):
+    data = C.golomb_pack(np.array(xs, np.int64), bits)
+    assert data == C.pack("".join(C.golomb_bits(x, bits) for x in xs))
+    assert C.golomb_unpack(data, bits, len(xs)).tolist() == xs
+
+
+def test_varint_bytes_and_round_trip(spark):
+    xs = [0, 1, 127, 128, 300, 16384, 2 ** 62]
+    row = lists(spark, [xs]).select(F.hex(C.varint_encode(F.col("xs"))).alias("h"), C.varint_decode(C.varint_encode(F.col("xs"))).alias("b")).first()
+    assert row["h"].startswith("00017F8001AC02808001") and row["b"] == xs
+    assert list(C.varint_values(bytes([1, 0x80]))) == [1] and not len(C.varint_values(b""))
+
+
+def test_run_lengths(spark):
+    rows = [("000001000000000000000000",), ("010",), ("",), ("1",), ("0000",), ("01x1\n",)]
+    df = spark.createDataFrame(rows, "b string").withColumn("c", C.run_lengths_encode(F.col("b"), 2)).withColumn("d", C.run_lengths_decode(F.col("c"), 2))
+    got = {r["b"]: (r["c"], r["d"]) for r in df.collect()}
+    assert got["010"] == ("001001", "010") and got[""] == ("000", "") and got["1"] == ("000000", "1") and got["0000"] == ("1000", "0000")
+    assert got[rows[0][0]] == ("1001" + "1111010", rows[0][0]) and got["01x1\n"][1] == "011"
+
+
+def test_code_expressions_equal_plain_codes(spark):
+    n = F.col("n")
+    for r in spark.range(1, 400).select(F.col("id").alias("n")).select("n", C.gamma_code(n).alias("g"), C.omega_code(n).alias("o"), C.headless(n).alias("h"), C.ceil_log2(n).alias("c")).collect():
+        assert (r["g"], r["o"], r["h"]) == (C.gamma_bits(r["n"]), C.omega_bits(r["n"]), bin(r["n"])[3:]) and 2 ** r["c"] >= r["n"] > 2 ** r["c"] // 2

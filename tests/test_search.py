@@ -1,7 +1,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from termloom.operators import gcs, heavy_keys, index, search
+from termloom.functions import text
+from termloom.operators import gcs, heavy_keys, index, language, search
 from termloom.operators.snippet import sliding_window, snippets
 
 DOCS = [(0, "the cat sat\nthe dog", "en", "u0"), (1, "the dog", "en", "u1"), (2, "cat", "en", None), (3, "黑龙江 cat", "zh", "u3"), (4, "", "en", "u4"), (5, None, "en", "u5"),
@@ -23,6 +24,23 @@ def test_index_tables(ix):
     assert ix.docs.where("doc_id = 4").first()["len"] == 1
 
 
+def test_chinese_is_found_whatever_the_label(spark):
+    docs = [(0, "黑龙江 cat", None, "u"), (1, "see 龙江", "en", "u"), (2, "水 x", "zh-CN", "u"), (3, "none", "zh", "u")]
+    ix = index.Index.build(spark.createDataFrame(docs, "doc_id bigint, text string, lang string, url string"))
+    e = search.SearchEngine(ix)
+    assert [sorted(r["doc_id"] for r in e.search(q)["results"]) for q in ("龙江", "黑龙江 | zzz", "水", "none")] == [[0, 1], [0, 1], [2], [3]]
+    assert search.query_words("a-b 黑龙江x水") == ["a", "b", "x", "水", "黑龙", "龙江"]
+    got = spark.createDataFrame([("a-b 黑龙江x水",)], "q string").select(text.query_words(F.col("q"))).first()[0]
+    assert got == search.query_words("a-b 黑龙江x水")
+
+
+def test_detected_languages_replace_labels(spark):
+    samples = spark.createDataFrame([("en", "the house is small and the garden is old"), ("fr", "la maison est petite et le jardin est vieux")], "lang string, text string")
+    docs = spark.createDataFrame([(1, "the old garden", None, "u"), (2, "le vieux jardin", "en", "u"), (3, "??", "de", "u")], "doc_id bigint, text string, lang string, url string")
+    ix = index.Index.build(docs, model=language.train(samples))
+    assert {r["doc_id"]: r["lang"] for r in ix.docs.collect()} == {1: "en", 2: "fr", 3: "de"}
+
+
 def test_boolean_modes(ix):
     assert ids(search.matches(ix, ["cat", "dog"], "and")) == [0]
     assert ids(search.matches(ix, ["cat", "dog"], "or")) == [0, 1, 2, 3, 6]
