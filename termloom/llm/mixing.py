@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..runtime import materialize
-from .tokens import token_count
+from .tokens import VOCABULARY, token_count
 
 BLOCK_ROWS = 20_000
 FAN_IN = 16
@@ -89,14 +89,14 @@ def budgets(sizes: DataFrame, targets: DataFrame, total_tokens: float | None = N
 
 
 def mix(docs: DataFrame, targets: DataFrame, size: Column | None = None, total_tokens: float | None = None, seed: int = 11,
-        block_rows: int = BLOCK_ROWS) -> DataFrame:
+        block_rows: int = BLOCK_ROWS, vocabulary: str = VOCABULARY) -> DataFrame:
     """``(doc_id, source, tokens, copies)`` for every document; 0 copies for sources without a target and for texts without tokens.
 
     All documents of a source have the same expected number of copies; its whole part is given, its fraction is rounded by the pivotal
     method within blocks of a source (hashed, so that a source of any size spreads over tasks), largest first, so that what stays open is
     small and a source misses its share by a small document at most. The open one of each block goes up a tree of FAN_IN blocks a node.
     """
-    sizes = materialize(docs.select("doc_id", "source", (size if size is not None else token_count(F.col("text"))).cast("int").alias("tokens")), "token-sizes")
+    sizes = materialize(docs.select("doc_id", "source", (size if size is not None else token_count(F.col("text"), vocabulary)).cast("int").alias("tokens")), "token-sizes")
     plan = budgets(sizes.where("tokens > 0"), targets, total_tokens)
     spark = docs.sparkSession
     table = spark.createDataFrame([(r["source"], r["expected"], max(1, -(-(r["docs"] or 1) // block_rows))) for r in plan],

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .tokens import token_count
+from .tokens import VOCABULARY, token_count
 
 #: Documents that are packed together by one task.
 GROUP_ROWS = 20_000
@@ -48,7 +48,8 @@ def pieces(tokens: int, capacity: int) -> list[tuple[int, int]]:
     return [(a, min(capacity, tokens - a)) for a in range(0, tokens, capacity)]
 
 
-def pack(docs: DataFrame, specs: DataFrame, size: Column | None = None, group_rows: int = GROUP_ROWS, max_specs: int = 100) -> DataFrame:
+def pack(docs: DataFrame, specs: DataFrame, size: Column | None = None, group_rows: int = GROUP_ROWS, max_specs: int = 100,
+         vocabulary: str = VOCABULARY) -> DataFrame:
     """Where each document lies: one row per spec and piece (columns of PLACES).
 
     Documents are put into groups by a hash of their id, and each (spec, group) is packed by one task; only ids and sizes move.
@@ -59,7 +60,7 @@ def pack(docs: DataFrame, specs: DataFrame, size: Column | None = None, group_ro
     if len(wanted) > max_specs:
         raise ValueError(f"more than {max_specs} pack specs")
     groups = max(1, -(-docs.count() // group_rows))
-    sized = docs.select("doc_id", (size if size is not None else token_count(F.col("text"))).alias("tokens"),
+    sized = docs.select("doc_id", (size if size is not None else token_count(F.col("text"), vocabulary)).alias("tokens"),
                         F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(groups)).cast("int").alias("group"))
     each = F.array(*(F.struct(F.lit(s).cast("string").alias("spec"), F.lit(c).alias("capacity")) for s, c in wanted)) if wanted else \
         F.array().cast("array<struct<spec:string,capacity:int>>")
