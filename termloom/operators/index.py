@@ -116,6 +116,12 @@ def next_geq(postings: DataFrame, term: str, doc_id: int) -> DataFrame:
         F.min("doc_id").alias("doc_id"))
 
 
+def next_geq_many(postings: DataFrame, asked: DataFrame) -> DataFrame:
+    """The first posting at or after ``target`` for each of many ``(term, target)``; pairs without one have no row."""
+    hits = postings.select("term", "doc_id").join(asked, "term").where(F.col("doc_id") >= F.col("target"))
+    return hits.groupBy("term", "target").agg(F.min("doc_id").alias("doc_id"))
+
+
 def file_ranges(docs: DataFrame, file: str = "source") -> DataFrame:
     return docs.groupBy(F.col(file).alias("file")).agg((F.min("doc_id") - 1).alias("start_id"), F.max("doc_id").alias("end_id"))
 

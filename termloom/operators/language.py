@@ -27,11 +27,10 @@ def train(samples: DataFrame, smooth: float = 0.5) -> DataFrame:
     """One row per trigram of the labelled ``(lang, text)`` with its log probability in each language; languages weigh alike."""
     counts = (samples.where(F.col("lang").isin(*LANGUAGES)).select("lang", F.explode(trigrams(F.col("text"))).alias("gram"))
               .groupBy("gram").pivot("lang", list(LANGUAGES)).count().na.fill(0))
-    sums = counts.agg(*(F.sum(c).alias(c) for c in LANGUAGES), F.count(F.lit(1)).alias("v"))
+    totals = counts.agg(*(F.sum(c).alias(c) for c in LANGUAGES), F.count(F.lit(1)).alias("v")).first()  # one row
 
     def logp(c: str) -> Column:
-        total = sums.select((F.col(c) + smooth * F.col("v")).alias("t")).scalar()
-        return F.log((F.col(c) + smooth) / total).alias(c)
+        return F.log((F.col(c) + smooth) / F.lit((totals[c] or 0) + smooth * totals["v"])).alias(c)
 
     return counts.select("gram", *(logp(c) for c in LANGUAGES))
 

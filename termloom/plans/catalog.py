@@ -199,6 +199,14 @@ def next_geq(spark, sf_dir):
     return index.next_geq(_segment(spark, sf_dir), "the", 100)
 
 
+@query("next_geq_many", f"{_P}, t AS (SELECT DISTINCT term, count AS target FROM terms WHERE term IS NOT NULL AND count IS NOT NULL)"
+       " SELECT term, target, min(doc_id) AS doc_id FROM t JOIN p USING (term) WHERE doc_id >= target GROUP BY ALL")
+def next_geq_many(spark, sf_dir):
+    """The seek for every term at once, each from an id of its own."""
+    asked = table(spark, sf_dir, "terms").where("term IS NOT NULL AND count IS NOT NULL").select("term", F.col("count").alias("target")).distinct()
+    return index.next_geq_many(_segment(spark, sf_dir), asked)
+
+
 def _lists(spark, sf_dir, size=index.BLOCK):
     """Each term's doc_ids in order, in blocks, so that no list is held whole."""
     b = index.blocks(_segment(spark, sf_dir), size)
@@ -428,7 +436,22 @@ def search_results(spark, sf_dir):
     return search.present(ix, search.top_documents(ix, TERMS, "or"), TERMS).select("doc_id", "url", "lang", "title", "bm25", "count")
 
 
-@query("snippets")
+#: Lines of each body as lists of words and separators (Chinese: characters), cut into pieces for two budgets: the usual one, and one thrice as large for a single piece.
+_SNIPPETS = (r", b AS (SELECT doc_id, coalesce(lang, 'en') AS lang, CASE WHEN contains(text, chr(10)) THEN substr(text, strpos(text, chr(10)) + 1) ELSE '' END AS body FROM pg JOIN documents USING (doc_id)),"
+             r" l AS (SELECT doc_id, lang, CASE WHEN lang = 'zh' THEN 30 ELSE 20 END AS budget, unnest(string_split(body, chr(10))) AS line, len(string_split(body, chr(10))) AS n_lines FROM b WHERE length(body) > 1),"
+             r" w AS (SELECT *, regexp_split_to_array(line, '[^\p{L}\p{N}_]+') AS ws, regexp_extract_all(line, '[^\p{L}\p{N}_]+') AS ss FROM l),"
+             " r AS (SELECT doc_id, n_lines, k, budget * k AS budget, CASE WHEN lang = 'zh' THEN (CASE WHEN line = '' THEN [] ELSE string_split(line, '') END)"
+             "  ELSE list_transform(range(0, 2 * len(ws) - 1), lambda i: CASE WHEN i % 2 = 0 THEN ws[i // 2 + 1] ELSE ss[i // 2 + 1] END) END AS x FROM w, (SELECT unnest([1, 3]) AS k)),"
+             " h AS (SELECT doc_id, n_lines, k, x, budget, budget // 2 AS half, unnest(CASE WHEN len(x) <= budget THEN [0] ELSE range(0, (len(x) - 1) // (budget // 2)) END) AS i FROM r),"
+             " p AS (SELECT doc_id, n_lines, k, CASE WHEN len(x) <= budget THEN [x] ELSE [list_slice(x, i * half + 1, i * half + half), list_slice(x, i * half + half + 1, i * half + 2 * half)] END AS parts FROM h),"
+             " c AS (SELECT DISTINCT doc_id, n_lines, k, list_sum(list_transform(parts, lambda q: len(list_distinct(list_filter(q, lambda v: v IN ('the', 'and')))))) AS score, flatten(parts) AS t FROM p),"
+             " o AS (SELECT *, row_number() OVER (PARTITION BY doc_id, k ORDER BY score DESC, t DESC) AS rank FROM c),"
+             " m AS (SELECT doc_id, CASE WHEN max(n_lines) < 3 OR count(*) FILTER (WHERE k = 1) < 3 OR max(score) FILTER (WHERE k = 1 AND rank = 2) < 2 THEN 3 ELSE 1 END AS k FROM o GROUP BY doc_id),"
+             " f AS (SELECT doc_id, list(array_to_string(t, '') ORDER BY rank) AS snippets FROM o JOIN m USING (doc_id, k) WHERE rank <= CASE WHEN k = 3 THEN 1 ELSE 3 END GROUP BY doc_id)"
+             " SELECT doc_id, coalesce(snippets, []) AS snippets FROM pg LEFT JOIN f USING (doc_id)")
+
+
+@query("snippets", _ALL + ", pg AS (" + _ranked(TERMS) + ")" + _SNIPPETS)
 def snippets(spark, sf_dir):
     ix = the_index(spark, sf_dir)
     return search.present(ix, search.top_documents(ix, TERMS, "or"), TERMS).select("doc_id", "snippets")
@@ -460,15 +483,16 @@ def docid_skip_numbering(spark, sf_dir):
     return n.select("doc_id", "n", ids.skip_byte_id(F.col("n")).alias("new_id"))
 
 
-@query("id_bytes_roundtrip", "SELECT doc_id, doc_id AS back FROM docs")
+@query("id_bytes_roundtrip", "SELECT doc_id, printf('%08X', doc_id) AS bytes, doc_id AS back FROM docs")
 def id_bytes_roundtrip(spark, sf_dir):
-    return table(spark, sf_dir, "docs").select("doc_id", ids.id_from_bytes(ids.id_bytes(F.col("doc_id"))).alias("back"))
+    b = ids.id_bytes(F.col("doc_id"))
+    return table(spark, sf_dir, "docs").select("doc_id", F.hex(b).alias("bytes"), ids.id_from_bytes(b).alias("back"))
 
 
-@query("record_slugs", "SELECT record_id, record_id AS back, 22 AS length FROM wet_records")
+@query("record_slugs", "SELECT record_id, record_id AS back, substr(translate(to_base64(unhex(replace(record_id, '-', ''))), '+/', '-_'), 1, 22) AS slug FROM wet_records")
 def record_slugs(spark, sf_dir):
     s = ids.slug(F.col("record_id"))
-    return table(spark, sf_dir, "wet_records").select("record_id", ids.uuid_from_slug(s).alias("back"), F.length(s).alias("length"))
+    return table(spark, sf_dir, "wet_records").select("record_id", ids.uuid_from_slug(s).alias("back"), s.alias("slug"))
 
 
 @query("doc_point_read", "SELECT DISTINCT doc_id, url, lang, len, off FROM docs WHERE doc_id = 100")
@@ -498,14 +522,18 @@ def sliding_window_tokens(spark, sf_dir):
     return _documents(spark, sf_dir).select("doc_id", F.posexplode(w).alias("n", "c")).select("doc_id", "n", F.array_join("c", " ").alias("chunk"))
 
 
-@query("words_and_separators", "SELECT doc_id, string_split(text, chr(10))[1] AS line FROM documents")
+@query("words_and_separators", r"SELECT doc_id, md5(text) AS joined, len(regexp_extract_all(text, '[\p{L}\p{N}_]+'))::INT AS words, len(regexp_extract_all(text, '[^\p{L}\p{N}_]+'))::INT AS separators FROM documents")
 def words_and_separators(spark, sf_dir):
-    return _documents(spark, sf_dir).select("doc_id", F.array_join(text.words_and_separators(text.title(F.col("text"))), "").alias("line"))
+    """Whole texts as words and what stands between them, which join back to the text."""
+    parts = text.let(text.words_and_separators(F.col("text")), lambda p: F.struct(
+        F.md5(F.array_join(p, "").cast("binary")).alias("joined"), F.size(F.filter(p, lambda x: x.rlike(r"^[\p{L}\p{N}_]"))).alias("words"),
+        F.size(F.filter(p, lambda x: x.rlike(r"^[^\p{L}\p{N}_]"))).alias("separators")))
+    return _documents(spark, sf_dir).select("doc_id", parts.alias("p")).select("doc_id", "p.*")
 
 
-@query("highlighted", r"SELECT doc_id, regexp_replace(split_part(text, chr(10), 1), '(\b)(and|the)(\b)', '<mark>\2</mark>', 'gi') AS title FROM documents WHERE lang = 'en'")
+@query("highlighted", r"SELECT doc_id, md5(regexp_replace(text, '\b(and|the)\b', '<mark>\1</mark>', 'gi')) AS marked FROM documents")
 def highlighted(spark, sf_dir):
-    return _documents(spark, sf_dir).where("lang = 'en'").select("doc_id", text.highlight(text.title(F.col("text")), TERMS).alias("title"))
+    return _documents(spark, sf_dir).select("doc_id", F.md5(text.highlight(F.col("text"), TERMS).cast("binary")).alias("marked"))
 
 
 @query("readable_urls", "SELECT doc_id, url, url_decode(url) AS shown, format('{:,}', n_chars) AS chars FROM documents")
