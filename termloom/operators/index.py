@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -188,6 +188,18 @@ class Index:
         docs, terms, postings, stats = (spark.read.parquet(f"{path}/{n}") for n in ("docs", "terms", "postings", "stats"))
         return cls(path, docs, postings, terms, stats.first().asDict())
 
+    def write_blocks(self) -> DataFrame:
+        """Write the posting lists as blocks under ``path``, sorted by term."""
+        path = f"{self.path}/blocks"
+        blocks(self.postings).repartition("term", "block_no").sortWithinPartitions("term", "block_no").write.option("compression", "zstd").parquet(path)
+        return self.docs.sparkSession.read.parquet(path)
+
+    def served_from_blocks(self) -> "Index":
+        """The same index with its postings decoded from the written blocks when they are asked for: a query's terms reach the scan of the
+        blocks, and only their blocks are decoded."""
+        rows = decode_blocks(self.docs.sparkSession.read.parquet(f"{self.path}/blocks"))
+        return replace(self, postings=rows.join(self.docs.select("doc_id", "len"), "doc_id"), _known={})
+
     def frequencies(self, words: list[str]) -> dict[str, int]:
         """Document counts of those of the words that the index holds: one lookup for all not asked before, one row a word at most."""
         new = [w for w in set(words) if w not in self._known]

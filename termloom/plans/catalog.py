@@ -14,6 +14,7 @@ from ..sources import lexicon_files, wet
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 _INDEXES: dict[tuple[str, str], index.Index] = {}
+_BLOCKS: set[str] = set()
 
 TERMS = ["the", "and"]
 
@@ -339,6 +340,16 @@ def or_topk(spark, sf_dir):
     return search.top_documents(the_index(spark, sf_dir), TERMS, "or")
 
 
+@query("or_from_blocks", _ALL + " " + _ranked(TERMS))
+def or_from_blocks(spark, sf_dir):
+    """The same page from the coded blocks of the stored lists."""
+    ix = the_index(spark, sf_dir)
+    if ix.path not in _BLOCKS:
+        ix.write_blocks()
+        _BLOCKS.add(ix.path)
+    return search.top_documents(ix.served_from_blocks(), TERMS, "or")
+
+
 @query("or_page2", _ALL + " " + _ranked(["the", "der"], page=1))
 def or_page2(spark, sf_dir):
     return search.top_documents(the_index(spark, sf_dir), ["the", "der"], "or", 1)
