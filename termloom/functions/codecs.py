@@ -107,6 +107,22 @@ def omega_code(n: Column) -> Column:
     return out
 
 
+def digit_code(n: Column, k: int) -> Column:
+    """Digits in base 2**k - 1, k bits each, ended by k ones; n >= 0."""
+    digits = F.transform(base_digits(n, (1 << k) - 1), lambda d: F.lpad(F.bin(d), k, "0"))
+    return F.concat(F.when(n > 0, F.array_join(digits, "")).otherwise(""), F.lit("1" * k))
+
+
+def digit_code_value(code: str, k: int) -> int:
+    n = 0
+    for i in range(0, len(code), k):
+        d = int(code[i:i + k], 2)
+        if d == (1 << k) - 1:
+            break
+        n = n * ((1 << k) - 1) + d
+    return n
+
+
 def run_lengths_encode(bits: Column, m: int) -> Column:
     """A bit string as its runs of zeroes: a one for every full 2**m zeroes, then a zero and the rest in m digits. Other characters are skipped;
     the last run is coded as if a one followed."""
@@ -270,25 +286,47 @@ def omega_value(code: str) -> int:
     return n
 
 
-def bitmap_runs(values: list[int], least: int = 4) -> bytes:
-    """Increasing values as varint gaps; a value followed by at least ``least`` others within 32 carries them as a bitmap (flag in the lowest bit)."""
-    out, i, before = bytearray(), 0, 0
-    while i < len(values):
-        first, j = values[i], i + 1
-        while j < len(values) and values[j] - first <= 32:
-            j += 1
-        dense = j - i - 1 >= least
-        gap = (first - before) << 1 | dense
+def bitmap_runs(values: list[int], least: int = 4, greedy: bool = False) -> bytes:
+    """Increasing values as varint gaps; a value followed by at least ``least`` others within 32 carries them as a bitmap (flag in the lowest bit).
+
+    Runs are taken from the left as they come; with ``greedy`` the longest first, the leftmost among equals.
+    """
+    out, before = bytearray(), 0
+    for first, rest in _greedy_runs(values, least) if greedy else _first_runs(values, least):
+        gap = (first - before) << 1 | bool(rest)
         while gap > 127:
             out.append(gap & 127 | 128)
             gap >>= 7
         out.append(gap)
-        if dense:
-            out += sum(1 << (v - first - 1) for v in values[i + 1:j]).to_bytes(4, "little")
-        before, i = first, j if dense else i + 1
+        if rest:
+            out += sum(1 << (v - first - 1) for v in rest).to_bytes(4, "little")
+        before = first
     return bytes(out)
 
 
+def _first_runs(values: list[int], least: int) -> Iterator[tuple[int, list[int]]]:
+    i = 0
+    while i < len(values):
+        j = i + 1
+        while j < len(values) and values[j] - values[i] <= 32:
+            j += 1
+        dense = j - i - 1 >= least
+        yield values[i], values[i + 1:j] if dense else []
+        i = j if dense else i + 1
+
+
+def _greedy_runs(values: list[int], least: int) -> list[tuple[int, list[int]]]:
+    left, out = np.asarray(values, np.int64), []
+    while len(left):
+        ends = np.searchsorted(left, left + 32, side="right")
+        i = int((ends - np.arange(len(left))).argmax())
+        if ends[i] - i - 1 < least:
+            break
+        out.append((int(left[i]), left[i + 1:ends[i]].tolist()))
+        left = np.delete(left, np.s_[i:ends[i]])
+    return sorted([*out, *((int(v), []) for v in left)])
+
+
 def bitmap_runs_decode(data: bytes) -> list[int]:
     out, at, before = [], 0, 0
     while at < len(data):
@@ -389,9 +427,17 @@ def code_sizes_udf(name: str):
     return size
 
 
-@F.pandas_udf(_LONGS)
-def bitmap_round_trip(s: pd.Series) -> pd.Series:
-    return s.map(lambda xs: bitmap_runs_decode(bitmap_runs([int(x) for x in xs])))
+def bitmap_round_trip(xs: Column, greedy: bool = False) -> Column:
+    @F.pandas_udf(_LONGS)
+    def there_and_back(s: pd.Series) -> pd.Series:
+        return s.map(lambda v: bitmap_runs_sorted(bitmap_runs([int(x) for x in v], greedy=greedy)))
+
+    return there_and_back(xs)
+
+
+def bitmap_runs_sorted(data: bytes) -> list[int]:
+    """The values in order: a greedy run may have plain values between its own."""
+    return sorted(bitmap_runs_decode(data))
 
 
 @F.pandas_udf(T.BinaryType())

@@ -287,11 +287,12 @@ def varint_roundtrip(spark, sf_dir):
 @query("integer_codes", "WITH n AS (SELECT DISTINCT doc_id + 1 AS n FROM docs), a AS (SELECT n, n AS x1, length(bin(n)) - 1 AS x2 FROM n), b AS (SELECT *, CASE WHEN x2 > 1 THEN length(bin(x2)) - 1 ELSE 1 END AS x3 FROM a),"
        " c AS (SELECT *, CASE WHEN x3 > 1 THEN length(bin(x3)) - 1 ELSE 1 END AS x4 FROM b)"
        " SELECT n, substr(bin(n), 2) AS headless, CASE WHEN n > 1 THEN length(bin(n - 1)) ELSE 0 END::INT AS ceil_log2, repeat('0', length(bin(n)) - 1) || bin(n) AS gamma,"
-       " CASE WHEN x4 > 1 THEN bin(x4) ELSE '' END || CASE WHEN x3 > 1 THEN bin(x3) ELSE '' END || CASE WHEN x2 > 1 THEN bin(x2) ELSE '' END || CASE WHEN x1 > 1 THEN bin(x1) ELSE '' END || '0' AS omega FROM c")
+       " CASE WHEN x4 > 1 THEN bin(x4) ELSE '' END || CASE WHEN x3 > 1 THEN bin(x3) ELSE '' END || CASE WHEN x2 > 1 THEN bin(x2) ELSE '' END || CASE WHEN x1 > 1 THEN bin(x1) ELSE '' END || '0' AS omega,"
+       " array_to_string(list_transform(list_filter(range(30, -1, -1), lambda i: n >= (3 ** i)::BIGINT), lambda i: lpad(bin(n // (3 ** i)::BIGINT % 3), 2, '0')), '') || '11' AS thirds FROM c")
 def integer_codes(spark, sf_dir):
     n = F.col("n")
     return table(spark, sf_dir, "docs").select((F.col("doc_id") + 1).alias("n")).distinct().select(
-        "n", codecs.headless(n).alias("headless"), codecs.ceil_log2(n).cast("int").alias("ceil_log2"), codecs.gamma_code(n).alias("gamma"), codecs.omega_code(n).alias("omega"))
+        "n", codecs.headless(n).alias("headless"), codecs.ceil_log2(n).cast("int").alias("ceil_log2"), codecs.gamma_code(n).alias("gamma"), codecs.omega_code(n).alias("omega"), codecs.digit_code(n, 2).alias("thirds"))
 
 
 _RUN_SQL = "repeat('1', length(r) // 4) || '0' || lpad(bin(length(r) % 4), 2, '0')"
@@ -634,6 +635,12 @@ def codec_diff_sizes(spark, sf_dir):
     return _lists(spark, sf_dir).select("term", "block_no", codecs.varint_size(codecs.partial_sums(F.col("gaps"))).alias("plain"))
 
 
+@query("bitmap_greedy", f"{_P} SELECT term, doc_id FROM p")
+def bitmap_greedy(spark, sf_dir):
+    """Bitmaps of the densest runs first, and back."""
+    return _lists(spark, sf_dir).select("term", F.explode(codecs.bitmap_round_trip(codecs.partial_sums(F.col("gaps")), greedy=True)).alias("doc_id"))
+
+
 @query("pair_roundtrip", f"{_P} SELECT term, doc_id FROM p")
 def pair_roundtrip(spark, sf_dir):
     """Gaps through a pair grammar and back, in blocks of 256: the codec is quadratic in a block."""

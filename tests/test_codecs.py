@@ -88,3 +88,19 @@ def test_code_expressions_equal_plain_codes(spark):
     n = F.col("n")
     for r in spark.range(1, 400).select(F.col("id").alias("n")).select("n", C.gamma_code(n).alias("g"), C.omega_code(n).alias("o"), C.headless(n).alias("h"), C.ceil_log2(n).alias("c")).collect():
         assert (r["g"], r["o"], r["h"]) == (C.gamma_bits(r["n"]), C.omega_bits(r["n"]), bin(r["n"])[3:]) and 2 ** r["c"] >= r["n"] > 2 ** r["c"] // 2
+
+
+@given(st.lists(st.integers(0, 300), max_size=80, unique=True), st.integers(1, 6))
+def test_greedy_bitmaps_round_trip_and_take_no_fewer_values(xs, least):
+    xs = sorted(xs)
+    data = C.bitmap_runs(xs, least, greedy=True)
+    assert C.bitmap_runs_sorted(data) == xs
+    first, longest = ([len(r) for _, r in runs] for runs in (C._first_runs(xs, least), C._greedy_runs(xs, least)))
+    assert max(longest, default=0) >= max(first, default=0)
+
+
+def test_digit_codes(spark):
+    df = spark.createDataFrame([(10,), (0,), (3,)], "n bigint").select("n", C.digit_code(F.col("n"), 2).alias("a"), C.digit_code(F.col("n"), 3).alias("b"))
+    got = {r["n"]: (r["a"], r["b"]) for r in df.collect()}
+    assert got[10] == ("01000111", "001011111") and got[0] == ("11", "111")
+    assert all(C.digit_code_value(a, 2) == n and C.digit_code_value(b, 3) == n for n, (a, b) in got.items())
