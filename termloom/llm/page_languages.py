@@ -53,14 +53,18 @@ def languages(records: DataFrame, samples: DataFrame, model: langid.Model | None
             at, texts, p, kinds = pages_of(reader, b)
             ids, labels = b.column(1).to_pylist(), b.column(2).to_pylist()
             bounds = np.searchsorted(p.page, np.arange(len(texts) + 1)).tolist()
-            parts = [_main(t, p.number[i:j].tolist(), kinds[i:j]) for t, i, j in zip(texts, bounds, bounds[1:])]
+            main, prose_ = (~np.isin(kinds, NOT_MAIN)).tolist(), (kinds == PROSE).tolist()
+            numbers = p.number.tolist()
+            parts = [_main(t, numbers[i:j], prose_[i:j], main[i:j]) for t, i, j in zip(texts, bounds, bounds[1:])]
             flat = [s for x in parts for s in x[0]]
             logp = model.log_probabilities(model.logits(flat)) if flat else np.zeros((0, len(model.languages)))
+            prob, best, size = np.exp(logp), logp.argmax(axis=1), np.fromiter(map(len, flat), float, len(flat))
             got, k = [], 0
             for row, (ss, lines, prose) in zip(at, parts):
                 if ss:
-                    got.append((ids[row], label(labels[row], known), *_judge(model, ss, lines, prose, logp[k:k + len(ss)])))
-                k += len(ss)
+                    j = k + len(ss)
+                    got.append((ids[row], label(labels[row], known), *_judge(model.languages, lines, prose, logp[k:j], prob[k:j], best[k:j], size[k:j])))
+                    k = j
             cols = list(zip(*got)) or [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types)],
                                              names=["record_id", "label", "lang", "confidence", "mixed", "passages"])
@@ -68,43 +72,41 @@ def languages(records: DataFrame, samples: DataFrame, model: langid.Model | None
     return rows.mapInArrow(run, f"record_id string, label string, lang string, confidence double, mixed array<string>, passages {_PASSAGES}")
 
 
-def _main(text: str, numbers: list[int], kinds: np.ndarray) -> tuple[list[str], list[int], np.ndarray]:
+def _main(text: str, numbers: list[int], prose_lines: list[bool], main: list[bool]) -> tuple[list[str], list[int], np.ndarray]:
     """Sentences and other lines of the main text, their line numbers and whether they are sentences of prose."""
     rows = text.split("\n")
-    main = ~np.isin(kinds, NOT_MAIN)
-    if not main.any():  # key words alone tell little, so the title alone decides before them
-        main = np.ones(len(kinds), bool)
+    every = not any(main)  # key words alone tell little, so the title alone decides before them
     ss, at, prose = [], [], []
-    for n, k, use in zip(numbers, kinds.tolist(), main.tolist()):
-        if use:
+    for n, is_prose, use in zip(numbers, prose_lines, main):
+        if use or every:
             line = rows[n - 1].strip()
-            parts = langid.sentences(line) if k == PROSE else [line]
+            parts = langid.sentences(line) if is_prose else [line]
             ss += parts
             at += [n] * len(parts)
-            prose += [k == PROSE] * len(parts)
+            prose += [is_prose] * len(parts)
     return ss, at, np.array(prose, bool)
 
 
-def _judge(model: langid.Model, ss: list[str], at: list[int], prose: np.ndarray, logp: np.ndarray) -> tuple:
-    sure = prose if prose.any() else np.ones(len(ss), bool)
-    size = np.fromiter(map(len, ss), float, len(ss))
-    p = np.exp(logp)
-    amount = (p[~sure] * size[~sure, None]).sum(axis=0)
-    where, p, size = np.flatnonzero(sure), p[sure], size[sure]
-    path = langid.smooth(logp[sure])
-    amount += np.bincount(path, weights=size, minlength=len(model.languages))
+def _judge(languages: tuple[str, ...], at: list[int], prose: np.ndarray, logp: np.ndarray, p: np.ndarray, best: np.ndarray, size: np.ndarray) -> tuple:
+    sure = prose if prose.any() else np.ones(len(at), bool)
+    amount = size[~sure] @ p[~sure]
+    where, p, size, best = np.flatnonzero(sure), p[sure], size[sure], best[sure]
+    same = bool((best == best[0]).all())
+    path = best if same else langid.smooth(logp[sure])
+    amount += np.bincount(path, weights=size, minlength=len(languages))
     main = int(amount.argmax())
     own = path == main
-    confidence = float(np.average(p[own, main], weights=size[own]) if own.any() else np.average(p[:, main], weights=size))
-    cuts = np.flatnonzero(np.diff(path)) + 1
+    own = own if own.any() else ~own
+    confidence = float(p[own, main] @ size[own] / max(size[own].sum(), 1.0))
+    cuts = [] if same else (np.flatnonzero(np.diff(path)) + 1).tolist()
     passages, long_ = [], set()
     for a, b in zip([0, *cuts], [*cuts, len(path)]):
         c = int(path[a])
-        passages.append({"first_line": at[where[a]], "last_line": at[where[b - 1]], "sentences": int(b - a), "lang": model.languages[c],
+        passages.append({"first_line": at[where[a]], "last_line": at[where[b - 1]], "sentences": int(b - a), "lang": languages[c],
                          "confidence": round(float(p[a:b, c].mean()), 6)})
         if prose[where[a]] and b - a >= PASSAGE:
-            long_.add(model.languages[c])
-    return model.languages[main], round(confidence, 6), sorted(long_) if len(long_) > 1 else [], passages
+            long_.add(languages[c])
+    return languages[main], round(confidence, 6), sorted(long_) if len(long_) > 1 else [], passages
 
 
 def wrong_or_mixed(found: DataFrame) -> DataFrame:
