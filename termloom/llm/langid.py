@@ -16,20 +16,14 @@ MAX_SAMPLES = 20_000
 ORDERS = (2, 4)
 BITS = 15
 BUCKETS = 1 << BITS
-#: Where a sentence ends. Begins with a set of letters, which is searched for much faster than a look behind at every letter.
-_END = re.compile(r"[.!?]\s+|[。！？]\s*|\n+")
+#: Where a sentence ends. Begins with one set of letters, which is searched for much faster than a choice or a look behind at every letter.
+_END = re.compile(r"([.!?。！？\n])(?:(?<=[.!?])\s+|(?<=[。！？])\s*|(?<=\n)\n*)")
 
 
 def sentences(text: str) -> list[str]:
-    out, a = [], 0
-    for m in _END.finditer(text):
-        b = m.start()
-        piece = text[a:b if text[b] == "\n" else b + 1].strip()
-        if piece:
-            out.append(piece)
-        a = m.end()
-    rest = text[a:].strip()
-    return [*out, rest] if rest else out
+    parts = _END.split(text)  # texts and the marks between them
+    parts.append("")
+    return [s for t, mark in zip(parts[::2], parts[1::2]) if (s := (t + mark).strip())]
 
 
 def grams(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray]:

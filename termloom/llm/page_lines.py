@@ -32,6 +32,9 @@ BULLET = _table(lambda c: c in "-*•»›>·–")
 #: Marks between the items of a list in one line.
 BETWEEN = _table(lambda c: c in ",，、;|*•·/#")
 NAME_END = _table(lambda c: c in ",.:;")
+#: A bit for each class that is asked of all letters, so that one look-up finds them all.
+_IS_SPACE, _IS_HAN, _IS_ALNUM, _IS_CLOSING, _IS_MARK, _IS_SPLIT, _IS_WIDE, _IS_BETWEEN = (np.uint8(1 << i) for i in range(8))
+_CLASSES = sum(t * np.uint8(1 << i) for i, t in enumerate((SPACE, HAN, ALNUM, CLOSING, MARK, SPLIT_STOP, WIDE_STOP, BETWEEN)))
 _BASE = 0x9E3779B97F4A7C15
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 #: Paths of forms of lines rather than of their words: so many titles or entries below one another, marked lists, menus in one line, and the way to the page.
@@ -67,17 +70,29 @@ class _Sums:
         self.up, self.down = _Powers.of(len(codes) + 1)
         self.sums = np.zeros(len(codes) + 1, np.uint64)
         with np.errstate(over="ignore"):
-            np.cumsum(codes.astype(np.uint64) * self.up[:len(codes)], out=self.sums[1:])
+            np.cumsum(np.multiply(codes, self.up[:len(codes)], dtype=np.uint64), out=self.sums[1:])
 
     def of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
             return _mixed((self.sums[b] - self.sums[a]) * self.down[a] + (b - a).astype(np.uint64))
 
 
-def _running(flags: np.ndarray) -> np.ndarray:
-    """How many are true before each position, and at the end."""
-    out = np.zeros(len(flags) + 1, np.int32)
-    np.cumsum(flags, out=out[1:])
+def _first_at(at: np.ndarray, skip: np.ndarray) -> np.ndarray:
+    """The first position at or behind each of ``at`` that isn't one to skip; the length where there is none."""
+    n, out = len(skip), at.copy()
+    on = np.flatnonzero((at < n) & skip[np.minimum(at, n - 1)])
+    if len(on):
+        ends = np.append(np.flatnonzero(~skip & _before(skip)), n)
+        out[on] = ends[np.searchsorted(ends, at[on])]
+    return out
+
+
+def _final_at(at: np.ndarray, skip: np.ndarray) -> np.ndarray:
+    """The last position at or before each of ``at`` that isn't one to skip; -1 where there is none."""
+    out, on = at.copy(), np.flatnonzero(skip[at])
+    if len(on):
+        begins = np.append(-1, np.flatnonzero(~skip & _behind(skip)))
+        out[on] = begins[np.searchsorted(begins, at[on]) - 1]
     return out
 
 
@@ -110,38 +125,40 @@ class PageLines:
     """Lines, units and their paths of a list of texts. Line arrays are over lines that aren't blank."""
 
     def __init__(self, texts: list[str]):
-        raw = np.frombuffer("\n".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+        c = np.frombuffer("\n".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+        c = np.minimum(c, _TOP).astype(np.uint16)
+        flags = _CLASSES[c]
         # Runs of digits become one, words with an @ only that.
-        digit = (raw >= 48) & (raw <= 57)
+        digit = (c >= 48) & (c <= 57)
         keep = ~(digit & _before(digit))
-        c = np.minimum(raw, _TOP).astype(np.int32)
-        if (c == 64).any():
-            word = np.cumsum(SPACE[c] | (c == 10))
-            mail = np.zeros(word[-1] + 1, bool)
-            mail[word[c == 64]] = True
-            keep &= ~mail[word] | (c == 64) | SPACE[c] | (c == 10)
-        c = c[keep]
-        c[digit[keep]] = 48
-        self.c, n = c, len(c)
-        space, self.nl = SPACE[c], c == 10
+        c[digit] = 48
+        mail = np.flatnonzero(c == 64)
+        if len(mail):
+            blanks = np.append(-1, np.flatnonzero((flags & _IS_SPACE != 0) | (c == 10)))
+            word = np.unique(np.searchsorted(blanks, mail))
+            i, j = expand(blanks[word] - blanks[word - 1] - 1)
+            j += blanks[word[i] - 1] + 1
+            keep[j[c[j] != 64]] = False
+        c, flags = c[keep], flags[keep]
+        self.c, self._flags = c, flags
+        space, self.nl = flags & _IS_SPACE != 0, c == 10
         edge = space | (c == 0xFFFD)
-        self._first, self._final = _next(~edge), _last(~edge)
         ends = np.flatnonzero(self.nl)
         starts = np.concatenate([[0], ends[:-1] + 1]) if len(ends) else ends
         per_page = np.array([t.count("\n") + 1 for t in texts], np.int64)
         page, place = expand(per_page)
-        s, e = self._first[starts], self._final[np.maximum(ends - 1, 0)] + 1
+        s, e = _first_at(starts, edge), _final_at(np.maximum(ends - 1, 0), edge) + 1
         full = s < np.minimum(e, ends)
         self.pages = len(texts)
         self.page, self.number, s, e, ends = page[full], place[full] + 1, s[full], e[full], ends[full]
         self.lines = len(s)
         self.is_title_line = self.number == 1
         # Pieces.
-        apart = self.nl | (MARK[c] & _before(space) & _behind(space)) | (c == 124) | (c == 9) | (space & _before(space))
-        cut = (SPLIT_STOP[c] & _behind(space | self.nl)) | WIDE_STOP[c]
+        apart = self.nl | ((flags & _IS_MARK != 0) & _before(space) & _behind(space)) | (c == 124) | (c == 9) | (space & _before(space))
+        cut = ((flags & _IS_SPLIT != 0) & _behind(space | self.nl)) | (flags & _IS_WIDE != 0)
         a = np.flatnonzero(~apart & (_before(apart, True) | _before(cut)))
         b = np.flatnonzero(~apart & (_behind(apart, True) | cut)) + 1
-        a, b = self._first[a], self._final[b - 1] + 1
+        a, b = _first_at(a, edge), _final_at(b - 1, edge) + 1
         whole = a < b
         a, b = a[whole], b[whole]
         of = np.searchsorted(ends, a)
@@ -152,40 +169,44 @@ class PageLines:
         self.s, self.e = np.concatenate([s, a]), np.concatenate([e, b])
         self.marked = (c[s] == 187) | (c[s] == 0x203A)
         self._terms = None
-        self._words(space)
-        self._shapes(space)
+        self._words(space, edge)
+        self._shapes()
         self._paths()
 
     # --- words ---
-    def _words(self, space: np.ndarray) -> None:
+    def _words(self, space: np.ndarray, edge: np.ndarray) -> None:
         c = self.c
         blank = space | self.nl
-        self.ws = np.flatnonzero(~blank & _before(blank, True))
+        self._begins = ~blank & _before(blank, True)
+        self.ws = np.flatnonzero(self._begins)
         self.we = np.flatnonzero(~blank & _behind(blank, True)) + 1
-        self._w = _running(~blank & _before(blank, True))
-        self._han = _running(HAN[c])
-        self._w_latin = _running(~blank & _before(blank, True) & ~HAN[c])
+        self._han = np.flatnonzero(self._flags & _IS_HAN)
+        self._han_words = self.ws[HAN[c[self.ws]]]
         # The bullet is no part of the path.
         k = self.s
         after = c[np.minimum(k + 1, len(c) - 1)]
         later = c[np.minimum(k + 2, len(c) - 1)]
         one = BULLET[c[k]] & SPACE[after]
         two = (c[k] == 48) & ((after == 46) | (after == 41)) & SPACE[later]
-        bare = np.where(one, self._first[np.minimum(k + 1, len(c))], np.where(two, self._first[np.minimum(k + 2, len(c))], k))
+        bare = np.where(one | two, _first_at(np.minimum(k + 1 + two, len(c)), edge), k)
         self.k = np.where(bare < self.e, bare, k)
-        self.weight = self._weight(self.k, self.e)
+        # The words that begin before a unit's first letter, and before its end.
+        self._w0, self._w1 = np.searchsorted(self.ws, self.k), np.searchsorted(self.ws, self.e)
+        self.weight = self._weight()
 
-    def _weight(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    def _weight(self) -> np.ndarray:
         """Words by spaces; Chinese characters count two to a word."""
-        han = self._han[b] - self._han[a]
-        words = self._w[b] - self._w[a] + (self._w[np.minimum(a + 1, len(self._w) - 1)] == self._w[a])
-        latin = self._w_latin[b] - self._w_latin[a]
-        return np.where(han > 0, (han + 1) // 2 + latin, words)
+        words = self._w1 - self._w0 + ~self._begins[self.k]
+        han = np.searchsorted(self._han, self.e) - np.searchsorted(self._han, self.k)
+        i = np.flatnonzero(han)
+        latin = self._w1[i] - self._w0[i] - (np.searchsorted(self._han_words, self.e[i]) - np.searchsorted(self._han_words, self.k[i]))
+        words[i] = (han[i] + 1) // 2 + latin
+        return words
 
     # --- shapes ---
-    def _shapes(self, space: np.ndarray) -> None:
+    def _shapes(self) -> None:
         c, n = self.c, self.lines
-        last = _last(~CLOSING[c])[self.e - 1]
+        last = _final_at(self.e - 1, self._flags & _IS_CLOSING != 0)
         self.stops = (last >= self.s) & STOP[c[np.maximum(last, 0)]]
         s, k, e = self.s[:n], self.k[:n], self.e[:n]
         self.size = e - s
@@ -199,8 +220,8 @@ class PageLines:
         self.numbered_end = self.numeric & ~counted
         #: Items of a list by their bullet and number: lists belong to a text.
         self.counted_item = self.numeric & counted & (k > s)
-        han = (self._han[e] - self._han[s]) > 0
-        self.chinese = (self._han[e] - self._han[s]) * 3 >= e - s
+        n_han = np.searchsorted(self._han, e) - np.searchsorted(self._han, s)
+        han, self.chinese = n_han > 0, n_han * 3 >= e - s
         self.entry = ~self.ends & ~self.numeric & ~self.link & (w <= 3)
         self.title = ~self.ends & ~self.numeric & (self.size <= 120) & (w >= np.where(han, 3, 4))
         piece = np.arange(n, len(self.s))
@@ -208,8 +229,8 @@ class PageLines:
         self.sentence_pieces = np.bincount(owner[self.stops[piece]], minlength=n)
         long_ = np.bincount(owner[self.weight[piece] > 4], minlength=n)
         self.menu = (self.pieces > 1) & (long_ == 0) & (self.sentence_pieces == 0)
-        between = _running(BETWEEN[c])
-        self.items = between[e] - between[s] + 1
+        between = np.flatnonzero(self._flags & _IS_BETWEEN)
+        self.items = np.searchsorted(between, e) - np.searchsorted(between, s) + 1
 
     # --- paths ---
     def _paths(self) -> None:
@@ -221,7 +242,7 @@ class PageLines:
         m = len(ws)
         up = UPPER[c[ws]] if m else np.zeros(0, bool)
         ends = NAME_END[c[we - 1]] if m else up
-        w0, w1 = np.searchsorted(ws, k), np.searchsorted(ws, e)
+        w0, w1 = self._w0, self._w1
         ok = np.flatnonzero((w1 > w0) & (ws[np.minimum(w0, m - 1)] == k) & (c[k] != 48)) if m else np.zeros(0, np.int64)
         w0, w1, k, e = w0[ok], w1[ok], k[ok], e[ok]
         at = np.arange(m)
@@ -271,16 +292,18 @@ class PageLines:
         """``(line, term)`` of the words of the chosen lines, in order: hashes of lower-cased words, of pairs of Chinese characters."""
         if self._terms is None:
             c, n = self.c, self.lines
-            han, word = HAN[c], ALNUM[c] & ~HAN[c]
+            han = self._flags & _IS_HAN != 0
+            word = (self._flags & _IS_ALNUM != 0) & ~han
             begins, pair = word & ~_before(word), han & _behind(han)
             ends = np.flatnonzero(word & ~_behind(word)) + 1
             at = np.flatnonzero(begins | pair)
             end = at + 2
             latin = begins[at]
             end[latin] = ends
-            line = np.searchsorted(self.e[:n], at, side="right")
-            inside = line < n
-            inside[inside] = at[inside] >= self.s[line[inside]]
+            bounds = np.searchsorted(at, self.e[:n])
+            line = np.repeat(np.arange(n), np.diff(bounds, prepend=0))
+            at, end = at[:len(line)], end[:len(line)]
+            inside = at >= self.s[line]
             at, end, line = at[inside], end[inside], line[inside]
             self._terms = line, _Sums(LOWER[c]).of(at, end)
         line, term = self._terms
@@ -314,7 +337,7 @@ def hashed_words(words: list[str]) -> np.ndarray:
 
 def gaps(group: np.ndarray, term: np.ndarray) -> np.ndarray:
     """For each term, how many places before it the same one stands in its group (of neighbouring terms); 0 if none does."""
-    order = np.lexsort((np.arange(len(term)), term, group))
+    order = np.lexsort((term, group))  # equal ones keep their order
     g, t = group[order], term[order]
     again = np.concatenate([[False], (g[1:] == g[:-1]) & (t[1:] == t[:-1])]) if len(order) else np.zeros(0, bool)
     out = np.zeros(len(term), np.int64)

@@ -1,4 +1,6 @@
 import random
+import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -115,6 +117,32 @@ def test_pages_are_looked_at_one_by_one_or_together(texts):
         assert path1.tolist() == path[page == i].tolist() and counts1.tolist() == counts[page == i].tolist()
 
 
+def test_letters_are_looked_at_in_narrow_arrays():
+    """All letters have some bytes each in memory, not an array of long numbers for every question asked of them (84 bytes a letter)."""
+    text = "\n".join(["Home | News | About us", "Mail anna@b.de 12.3.2020", *["So small files are stored there. And Zarok Bix says 12 of them, too."] * 40])
+    texts = [text] * 100
+    pg.PageLines(texts)
+    tracemalloc.start()
+    try:
+        pg.PageLines(texts)
+        assert tracemalloc.get_traced_memory()[1] < 60 * len(text) * len(texts)
+    finally:
+        tracemalloc.stop()
+
+
+@given(st.text("ab \n\t\x1c\u3000.!?。！？", max_size=30))
+def test_sentences_end_at_marks(text):
+    ends = re.compile(r"(?:(?<=[.!?])\s+|(?<=[。！？])\s*|\n+)")
+    assert langid.sentences(text) == [s.strip() for s in ends.split(text) if s.strip()]
+
+
+@given(st.lists(st.booleans(), min_size=1, max_size=12))
+def test_next_and_last_place_that_counts(skip):
+    every, skip = np.arange(len(skip)), np.array(skip)
+    assert pg._first_at(np.arange(len(skip) + 1), skip).tolist() == [*(pg._next(~skip)[:-1].tolist()), len(skip)]
+    assert pg._final_at(every, skip).tolist() == pg._last(~skip).tolist()
+
+
 def test_gaps():
     assert pg.gaps(np.array([0, 0, 0, 1, 1]), np.array([7, 8, 7, 7, 7])).tolist() == [0, 0, 2, 0, 1]
 
