@@ -10,6 +10,16 @@ from ..runtime import materialize
 HOT_SHARE = 2e-6
 
 
+def chunk_sets(lines: DataFrame) -> DataFrame:
+    """``(doc_id, term, freq, block, chunks)``: the distinct lines as sets of chunk numbers, each a bit of ``chunks``, 64 to a block; placed by ``doc_id``.
+
+    A set takes each line but once, so that few rows are kept to find repeated lines. A null chunk is the only one of its block.
+    """
+    rows = lines.where("term IS NOT NULL AND term <> '' AND doc_id IS NOT NULL").select("term", "doc_id", "chunk_no", "freq").repartition("doc_id")
+    bit = F.expr("shiftleft(1L, cast(coalesce(chunk_no, 0) & 63 AS int))")
+    return rows.groupBy("doc_id", "term", "freq", F.shiftright("chunk_no", 6).alias("block")).agg(F.bit_or(bit).alias("chunks"))
+
+
 def term_statistics(lines: DataFrame, docs: DataFrame) -> DataFrame:
     """``(doc_id, term, tf, len)`` over the distinct lines, written once; ``len`` is null where docs has none.
 
@@ -17,12 +27,7 @@ def term_statistics(lines: DataFrame, docs: DataFrame) -> DataFrame:
     file of the written table, the later per-record ranking all stay local. Null and empty terms and null ids are dropped.
     A doc_id with several lengths gets the largest.
     """
-    tf = (
-        lines.where("term IS NOT NULL AND term <> '' AND doc_id IS NOT NULL")
-        .select("term", "doc_id", "chunk_no", "freq")
-        .repartition("doc_id").distinct()
-        .groupBy("doc_id", "term").agg(F.sum(F.col("freq").cast("bigint")).alias("tf"))
-    )
+    tf = chunk_sets(lines).groupBy("doc_id", "term").agg(F.sum(F.col("freq").cast("bigint") * F.bit_count("chunks")).alias("tf"))
     length = docs.groupBy("doc_id").agg(F.max("len").cast("bigint").alias("len"))
     return materialize(tf.join(length, "doc_id", "left"), "term-statistics")
 

@@ -99,6 +99,16 @@ def test_weights_against_brute_force(spark):
     assert empty.count() == 0
 
 
+def test_repeated_lines_are_found_in_sets_of_chunks(spark):
+    many = [("hot", 1, c, 2) for c in range(200)]
+    odd = [("a", 2, c, f) for c in (None, -65, -64, -1, 0, 63, 64, 2**31 - 1, -2**31) for f in (1, 3, None)] + [("b", 2, 5, None)]
+    left_out = [("", 2, 1, 1), (None, 2, 1, 1), ("a", None, 1, 1)]
+    df = lines(spark, (many + odd) * 2 + left_out)
+    assert distinctive.chunk_sets(df).where("term = 'hot'").count() == 4  # of 400 lines
+    got = {(r["doc_id"], r["term"]): r["tf"] for r in distinctive.term_statistics(df, docs(spark, [(1, 9)])).collect()}
+    assert got == {(1, "hot"): 400, (2, "a"): 36, (2, "b"): None}
+
+
 def test_llr_of_a_known_table(spark):
     row = spark.createDataFrame([(10, 100, 12), (1, 100, 500)], "tf bigint, len bigint, cf bigint")
     got = [r[0] for r in row.select(distinctive.llr(F.lit(10000.0))).collect()]
